@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, packing, token_counts
 
 QUERIES = {
+    "op2_token_counts": token_counts.q_token_counts,
     "op3_exact_dedup": exact_dedup.q_exact_dedup,
+    "op5_packing": packing.q_pack,
 }
 
 ORACLE_SQL = {
