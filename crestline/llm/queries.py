@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_counts
+from . import exact_dedup, packing, quality_rules, token_counts, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.q_toxicity,
     "op2_token_counts": token_counts.q_token_counts,
     "op3_exact_dedup": exact_dedup.q_exact_dedup,
     "op5_packing": packing.q_pack,
+    "op7_quality_rules": quality_rules.q_quality_rules,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
+    "op7_quality_rules": quality_rules.SQL,
 }
