@@ -45,7 +45,7 @@ class OrdinalModel:
         return sigmoid(score - np.array(self.thresholds))
 
 
-def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, n_features: int, penalty: float = 0.02, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, n_features: int, penalty: float = 0.004, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by full-batch gradient ascent (Adam) on the penalised mean log likelihood.
 
     rows holds the present features of each example. Thresholds are a first one plus positive
@@ -108,7 +108,7 @@ def sample_words(docs: DataFrame, labels: DataFrame, grade_col: str, max_labelle
 
 
 def choose_features(sample: DataFrame, max_features: int) -> list[str]:
-    """The words whose presence tells grades above 0 from grade 0 beyond chance (G squared over 2 ln of the number of words), strongest first."""
+    """The words whose presence tells grades above 0 from grade 0 beyond chance (G squared over 1.5 ln of the number of words), strongest first."""
     counts = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("grade") > 0).cast("long")), F.lit(0)).alias("pos")).first()
     n, pos = counts["n"], counts["pos"]
     if not 0 < pos < n:
@@ -121,7 +121,7 @@ def choose_features(sample: DataFrame, max_features: int) -> list[str]:
 
     df, hit, share = F.col("df"), F.col("hit"), pos / n
     g2 = 2 * (term(hit, df * share) + term(df - hit, df * (1 - share)) + term(pos - hit, (n - df) * share) + term(n - df - (pos - hit), (n - df) * (1 - share)))
-    strong = by_word.select("word", g2.alias("g2")).where(F.col("g2") >= 2 * float(np.log(max(words, 2))))
+    strong = by_word.select("word", g2.alias("g2")).where(F.col("g2") >= 1.5 * float(np.log(max(words, 2))))
     return [r["word"] for r in strong.orderBy(F.desc("g2"), "word").limit(max_features).collect()]
 
 
