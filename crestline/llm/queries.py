@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality_rules, token_counts, toxicity
+from . import exact_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.q_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.q_exact_dedup,
     "op5_packing": packing.q_pack,
     "op7_quality_rules": quality_rules.q_quality_rules,
+    "op9_substring_dedup": substring_dedup.q_substring_dedup,
 }
 
 ORACLE_SQL = {
