@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity
+from . import exact_dedup, near_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.q_toxicity,
@@ -11,9 +11,11 @@ QUERIES = {
     "op5_packing": packing.q_pack,
     "op7_quality_rules": quality_rules.q_quality_rules,
     "op9_substring_dedup": substring_dedup.q_substring_dedup,
+    "op10_near_dedup": near_dedup.q_near_dedup,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op10_near_dedup": near_dedup.SQL,
 }
