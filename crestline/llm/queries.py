@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity
+from . import exact_dedup, license_scan, near_dedup, packing, quality_rules, substring_dedup, token_counts, token_output, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.q_toxicity,
     "op2_token_counts": token_counts.q_token_counts,
     "op3_exact_dedup": exact_dedup.q_exact_dedup,
+    "op4_license_scan": license_scan.q_license_scan,
     "op5_packing": packing.q_pack,
     "op7_quality_rules": quality_rules.q_quality_rules,
+    "op8_token_output": token_output.q_token_output,
     "op9_substring_dedup": substring_dedup.q_substring_dedup,
     "op10_near_dedup": near_dedup.q_near_dedup,
 }
