@@ -8,10 +8,12 @@ leaves as soon as its rank is unique or `match` is reached:
    of `match` bytes the seed with the least hash speaks for the window, so equal windows
    pick equal seeds, and one position stands for a run of some fourteen windows.
    Seeds that occur in one document only are unique and leave.
-2. rank of a run's whole text. Of equal runs, those outside the least document are decided.
-   A run whose seed has no other text around it is decided, too.
-3. rank pairs (first half, second half at offset `match` / 2) of every window that is left:
-   Spark groups the pairs with map-side combining and the least document keeps its bytes.
+2. rank of a run's whole text, among the runs that Spark brings together by seed. Of equal
+   runs, those outside the least document are decided; so is a run whose seed has no other
+   text around it. Where texts differ around a seed, the windows themselves are compared.
+3. A seed that many blocks hold is not brought together. Its runs are dealt by their text,
+   and the windows of those that stay get rank pairs (first half, second half at offset
+   `match` / 2), which Spark groups with map-side combining; the least document keeps its bytes.
 
 Texts travel in compressed blocks of whole documents; a seed is six bytes on its way, each
 seed once per block. Ranks are exact texts in step 2 and 128-bit hashes in step 3.
@@ -20,23 +22,25 @@ seed once per block. Ranks are exact texts in step 2 and 128-bit hashes in step
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, id_and_text, partitions, settle
 
 MATCH = 50
 SEED = 24
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 HOT_BLOCKS = 64
 CHUNK = 1 << 20
-PARTS_PER_PARTITION = 4
+PARTS_PER_PARTITION = 3
 
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -65,19 +69,19 @@ def string_hashes(raw: np.ndarray, length: int, salt: int) -> np.ndarray:
     return finish(h)
 
 
-def seed_runs(raw: np.ndarray, match: int = MATCH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seed hash, first, last): windows first..last, by their starts, are those for which that seed speaks.
+def seed_runs(raw: np.ndarray, match: int = MATCH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(seed hash, first, last, seed position): windows first..last, by their starts, are those for which that seed speaks.
 
     Of equal hashes within a window the leftmost speaks. A long text is cut into chunks; a run
     that a cut splits is merely two runs.
     """
     found = [chunk_runs(raw[at : at + CHUNK + match - 1], at, match, seed) for at in range(0, len(raw) - match + 1, CHUNK)]
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def chunk_runs(raw: np.ndarray, base: int, match: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def chunk_runs(raw: np.ndarray, base: int, match: int, seed: int) -> tuple[np.ndarray, ...]:
     h = string_hashes(raw, seed, 0)
     least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     width, span = match - seed + 1, 1
@@ -89,21 +93,29 @@ def chunk_runs(raw: np.ndarray, base: int, match: int, seed: int) -> tuple[np.nd
     at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.append(first[1:], len(at)) - 1
-    return h[at[first]], first + base, last + base
+    return finish(h[at[first]] ^ A), first + base, last + base, at[first] + base  # least hashes are small: mixed again, seeds spread evenly
+
+
+def pack_table(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def to_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, payload: rows of docs, all columns, in compressed blocks of about block_bytes of text."""
+    """block, payload: rows of docs, all columns, in compressed blocks of about block_bytes of text.
+
+    The table is bucketed by block, so that what is found out about blocks is joined to them
+    without moving a text again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def block() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            table = pa.Table.from_batches(held).combine_chunks()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(table)
-            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
+            packed = pack_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + number]), pa.array([packed], pa.binary())], names=["block", "payload"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -115,7 +127,9 @@ def to_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield block()
 
-    return settle(docs.mapInArrow(run, "block long, payload binary"))
+    name = f"text_blocks_{uuid.uuid4().hex}"
+    docs.mapInArrow(run, "block long, payload binary").write.bucketBy(partitions(docs.sparkSession), "block").format("parquet").saveAsTable(name)
+    return docs.sparkSession.table(name)
 
 
 def open_block(payload: bytes) -> pa.Table:
@@ -193,124 +207,180 @@ def unique_seeds_leave(blocks: DataFrame, match: int, seed: int) -> DataFrame:
     return ranked.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "codes"))).alias("ranks"))
 
 
-RUN_COLUMNS = "kind int, rank_key long, first_half long, second_half long, doc_id long, block long, row int, start long, stop long, run_text binary"
-RUN_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-GONE, OPEN, OPEN_HOT, WINDOW = 0, 1, 2, 3
+OUT_COLUMNS = "block long, spans binary, first_half long, second_half long, doc_id long, row int, start long"
+OUT_TYPES = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+OUT_NAMES = [c.split()[0] for c in OUT_COLUMNS.split(", ")]
 
 
-def run_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[]] * len(RUN_TYPES)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, RUN_TYPES, strict=True)], names=[c.split()[0] for c in RUN_COLUMNS.split(", ")])
+def pack_spans(spans: list[tuple[int, int, int]]) -> bytes:
+    """Spans (row, start, stop) of one block; those that touch become one."""
+    spans.sort()
+    merged: list[list[int]] = []
+    for row, start, stop in spans:
+        if merged and merged[-1][0] == row and start <= merged[-1][2]:
+            merged[-1][2] = max(stop, merged[-1][2])
+        else:
+            merged.append([row, start, stop])
+    return zstandard.ZstdCompressor(level=3).compress(np.array(merged, "<i8").T.tobytes())
 
 
-def signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+def unpack_spans(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<i8").reshape(3, -1).T
 
 
 def open_runs(blocks: DataFrame, ranks: DataFrame, match: int, seed: int) -> DataFrame:
-    """Runs whose seed is not unique. Of equal runs in one block only the least document's go on; the others are gone."""
+    """block, part, decided, payload: the runs whose seed is not unique, dealt by seed (by their text, if the seed is in many blocks).
+
+    Of equal runs in one block only the least document's go on; the others are decided here.
+    """
+    parts = PARTS_PER_PARTITION * partitions(blocks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for block, payload, codes in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("ranks"), strict=True):
-                table = open_block(payload.as_py())
-                per_doc = [(row, doc_id, raw, seed_runs(np.frombuffer(raw, np.uint8), match, seed)) for row, doc_id, raw in texts_of(table)]
+                per_doc = [(row, doc_id, raw, seed_runs(np.frombuffer(raw, np.uint8), match, seed)) for row, doc_id, raw in texts_of(open_block(payload.as_py()))]
                 seeds = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(runs[0] >> np.uint64(16)) for *_, runs in per_doc)]))
                 code = np.frombuffer(b"".join(unpacker.decompress(c["codes"]) for c in codes.as_py()), np.uint8)
                 least: dict[bytes, int] = {}
                 held: list[tuple] = []
-                for row, doc_id, raw, (hashes, first, last) in per_doc:
-                    own = code[np.searchsorted(seeds, hashes >> np.uint64(16))]
+                for row, doc_id, raw, (hashes, first, last, at) in per_doc:
+                    short = hashes >> np.uint64(16)
+                    own = code[np.searchsorted(seeds, short)]
                     keep = np.flatnonzero(own)
-                    for h, c, a, z in zip(hashes[keep].astype(np.int64).tolist(), own[keep].tolist(), first[keep].tolist(), (last[keep] + match).tolist(), strict=True):
+                    dealt = ((short[keep] >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)
+                    columns = (dealt.astype(np.int64), own[keep], first[keep], last[keep] + match, at[keep] - first[keep])
+                    for part, kind, a, z, rel in zip(*(c.tolist() for c in columns), strict=True):
                         text = raw[a:z]
                         if doc_id < least.setdefault(text, doc_id):
                             least[text] = doc_id
-                        held.append((h, c, doc_id, row, a, z, text))
-                rows: list[tuple] = []
-                for h, c, doc_id, row, a, z, text in held:
-                    if doc_id > least[text]:
-                        rows.append((GONE, (row * 31 + a) & 0xFFFFFF, None, None, doc_id, block, row, a, z, None))
-                    else:
-                        key = h if c == 1 else int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big", signed=True)
-                        rows.append((OPEN if c == 1 else OPEN_HOT, key, None, None, doc_id, block, row, a, z, text))
-                    if len(rows) >= 20_000:
-                        yield run_batch(rows)
-                        rows = []
-                yield run_batch(rows)
+                        if kind == 2:
+                            part = int.from_bytes(hashlib.blake2b(text, digest_size=6).digest(), "little") % parts
+                        held.append((part, kind, doc_id, row, a, z, rel, text))
+                gone = [(r[3], r[4], r[5]) for r in held if r[2] > least[r[7]]]
+                left = [r for r in held if r[2] == least[r[7]]]
+                rows = [(block, block % parts, True, pack_spans(gone))] if gone else []
+                if left:
+                    columns = list(zip(*left, strict=True))
+                    order = np.argsort(np.array(columns[0]), kind="stable")
+                    types = (pa.int32(), pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int8(), pa.binary())
+                    table = pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "kind", "doc_id", "row", "start", "stop", "rel", "text"]).take(order)
+                    part = table.column("part").to_numpy()
+                    edges = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(part)]
+                    rows += [(block, int(part[i]), False, pack_table(table.slice(i, j - i).drop(["part"]))) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["block", "part", "decided", "payload"])
 
-    return blocks.join(ranks, "block").select("block", "payload", "ranks").mapInArrow(run, RUN_COLUMNS)
+    return blocks.join(ranks.hint("merge"), "block").select("block", "payload", "ranks").mapInArrow(run, "block long, part int, decided boolean, payload binary")
 
 
-def decide_runs(runs: DataFrame, match: int) -> DataFrame:
-    """GONE rows, and a WINDOW row with its rank pair for each window that only its own bytes can decide."""
+def hot_windows(left: list[tuple], match: int) -> pa.RecordBatch:
+    """The rank pair of every window of left: (block, doc_id, row, start, text); the texts are hashed as one string."""
     half = match // 2
-
-    def windows(left: list[tuple]) -> pa.RecordBatch | None:
-        """left: (doc_id, block, row, start, text); the texts are hashed as one string."""
-        if not left:
-            return None
-        sizes = np.array([len(r[4]) for r in left])
-        raw = np.frombuffer(b"".join(r[4] for r in left), np.uint8)
-        head, tail = string_hashes(raw, half, 1), string_hashes(raw, match - half, 2)
-        many = sizes - match + 1
-        which = np.repeat(np.arange(len(left)), many)
-        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at = np.repeat(np.cumsum(sizes) - sizes, many) + within
-        pick = lambda k: np.array([r[k] for r in left], np.int64)[which]
-        start = pick(3) + within
-        null = pa.nulls(len(at), pa.binary())
-        columns = [np.full(len(at), WINDOW), np.zeros(len(at), np.int64), head[at].astype(np.int64), tail[at + half].astype(np.int64), pick(0), pick(1), pick(2), start, start + match]
-        return pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)).cast(t) for c, t in zip(columns, RUN_TYPES, strict=False)), null], names=[c.split()[0] for c in RUN_COLUMNS.split(", ")])
+    sizes = np.array([len(r[4]) for r in left])
+    raw = np.frombuffer(b"".join(r[4] for r in left), np.uint8)
+    head, tail = string_hashes(raw, half, 1), string_hashes(raw, match - half, 2)
+    many = sizes - match + 1
+    which = np.repeat(np.arange(len(left)), many)
+    within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    at = np.repeat(np.cumsum(sizes) - sizes, many) + within
+    block, doc_id, row, start = (np.array(c, np.int64)[which] for c in list(zip(*left, strict=True))[:4])
+    columns = [block, None, head[at].astype(np.int64), tail[at + half].astype(np.int64), doc_id, row, start + within]
+    return pa.RecordBatch.from_arrays([pa.nulls(len(at), t) if c is None else pa.array(c).cast(t) for c, t in zip(columns, OUT_TYPES, strict=True)], names=OUT_NAMES)
+
+
+def decide_part(rows: pa.Table, match: int, seed: int) -> tuple[dict[int, list], list[tuple]]:
+    """(spans by block, hot runs left to window ranks) of one part's runs.
+
+    All runs of a seed are here, so their windows are compared as they are; the runs of a
+    seed that is in many blocks meet their equals only.
+    """
+    block, kind, doc_id, row, start, stop, rel = (rows.column(c).to_numpy() for c in ("block", "kind", "doc_id", "row", "start", "stop", "rel"))
+    texts = rows.column("text").to_pylist()
+    least: dict[bytes, int] = {}
+    for own, text in zip(doc_id.tolist(), texts, strict=True):
+        if own < least.setdefault(text, own):
+            least[text] = own
+    first = doc_id == np.fromiter(map(least.__getitem__, texts), np.int64, len(texts))
+    spans: dict[int, list] = {}
+    for k in np.flatnonzero(~first).tolist():
+        spans.setdefault(int(block[k]), []).append((int(row[k]), int(start[k]), int(stop[k])))
+    hot = [(int(block[k]), int(doc_id[k]), int(row[k]), int(start[k]), texts[k]) for k in np.flatnonzero(first & (kind == 2)).tolist()]
+    by_seed: dict[bytes, list[int]] = {}
+    alone: dict[bytes, int] = {}
+    for k in np.flatnonzero(first & (kind == 1)).tolist():
+        key = texts[k][rel[k] : rel[k] + seed]
+        other = alone.setdefault(key, k)
+        if other != k:
+            by_seed.setdefault(key, [other]).append(k)
+    for near in by_seed.values():
+        runs = {texts[k] for k in near}
+        if len(runs) == 1:
+            continue
+        windows: dict[bytes, int] = {}
+        for text in runs:
+            of = least[text]
+            for j in range(len(text) - match + 1):
+                window = text[j : j + match]
+                if of < windows.setdefault(window, of):
+                    windows[window] = of
+        for k in near:
+            text, own, end = texts[k], least[texts[k]], None
+            for j in range(len(text) - match + 1):
+                if windows[text[j : j + match]] < own:
+                    begin = j if end is None else begin
+                    end = j + match
+                elif end is not None:
+                    spans.setdefault(int(block[k]), []).append((int(row[k]), int(start[k]) + begin, int(start[k]) + end))
+                    end = None
+            if end is not None:
+                spans.setdefault(int(block[k]), []).append((int(row[k]), int(start[k]) + begin, int(start[k]) + end))
+    return spans, hot
+
+
+def decide_runs(runs: DataFrame, match: int, seed: int) -> DataFrame:
+    """Rows with a block's packed spans, and rows with the rank pair of a window of a hot run."""
+
+    def spans_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        columns = [[r[0] for r in rows], [r[1] for r in rows], *[[None] * len(rows)] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, OUT_TYPES, strict=True)], names=OUT_NAMES)
+
+    def close(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        if not tables:
+            return
+        spans, hot = decide_part(pa.concat_tables(tables).combine_chunks(), match, seed)
+        if spans:
+            yield spans_batch([(block, pack_spans(found)) for block, found in spans.items()])
+        for at in range(0, len(hot), 5_000):
+            yield hot_windows(hot[at : at + 5_000], match)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        left: list[tuple] = []
-        group: list[tuple] = []
-        key = None
-
-        def close() -> None:
-            least: dict[bytes, int] = {}
-            for _, doc_id, *_, text in group:
-                if doc_id < least.setdefault(text, doc_id):
-                    least[text] = doc_id
-            for kind, doc_id, block, row, a, z, text in group:
-                if doc_id > least[text]:
-                    out.append((GONE, 0, None, None, doc_id, block, row, a, z, None))
-                elif len(least) > 1 or kind == OPEN_HOT:
-                    left.append((doc_id, block, row, a, text))
-
+        part, tables = None, []
         for batch in batches:
-            for kind, own, _, _, doc_id, block, row, a, z, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == GONE:
-                    out.append((GONE, 0, None, None, doc_id, block, row, a, z, None))
+            for block, own, decided, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "decided", "payload")), strict=True):
+                if decided:
+                    yield spans_batch([(block, payload)])
                     continue
-                if own != key:
-                    close()
-                    group, key = [], own
-                group.append((kind, doc_id, block, row, a, z, text))
-            if len(left) >= 5_000:
-                yield windows(left)
-                left.clear()
-            yield run_batch(out)
-            out.clear()
-        close()
-        if left:
-            yield windows(left)
-        yield run_batch(out)
-
-    dealt = runs.repartition(partitions(runs.sparkSession), "rank_key").sortWithinPartitions("rank_key")
-    return settle(dealt.mapInArrow(run, RUN_COLUMNS).drop("rank_key", "run_text"))
-
-
-def removed_spans(decided: DataFrame) -> DataFrame:
-    """block, row, start, stop of bytes to remove; spans may overlap."""
-    windows = decided.where(F.col("kind") == WINDOW)
-    pair = ("first_half", "second_half")
+                if own != part:
+                    yield from close(tables)
+                    part, tables = own, []
+                table = open_block(payload)
+                tables.append(table.append_column("block", pa.array(np.full(table.num_rows, block))))
+        yield from close(tables)
+
+    dealt = runs.repartition(partitions(runs.sparkSession), "part").sortWithinPartitions("part")
+    return settle(dealt.mapInArrow(run, OUT_COLUMNS))
+
+
+def removed_spans(decided: DataFrame, match: int) -> DataFrame:
+    """block, packed (a list of packed spans), late (a list of window starts): bytes to remove; spans may overlap."""
+    windows = decided.where("spans IS NULL")
+    pair = ["first_half", "second_half"]
     least = windows.groupBy(*pair).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    late = windows.join(least, list(pair)).where("doc_id > least").select("block", "row", "start", "stop")
-    return decided.where(F.col("kind") == GONE).select("block", "row", "start", "stop").union(late)
+    late = windows.join(least, pair).where("doc_id > least").select("block", F.lit(None).cast("binary").alias("spans"), "row", "start")
+    both = decided.where("spans IS NOT NULL").select("block", "spans", F.lit(None).cast("int").alias("row"), F.lit(None).cast("long").alias("start")).union(late)
+    window = F.when(F.col("row").isNotNull(), F.struct(F.col("row").cast("long").alias("row"), F.col("start"), (F.col("start") + match).alias("stop")))
+    return both.groupBy("block").agg(F.collect_list("spans").alias("packed"), F.collect_list(window).alias("late"))
 
 
 def cut_repeats(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFrame:
@@ -321,19 +391,20 @@ def cut_repeats(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFr
     The text column is left as it was.
     """
     blocks = to_blocks(docs)
-    decided = decide_runs(open_runs(blocks, unique_seeds_leave(blocks, match, seed), match, seed), match)
-    gone = removed_spans(decided).groupBy("block").agg(F.collect_list(F.struct("row", "start", "stop")).alias("spans"))
+    decided = decide_runs(open_runs(blocks, unique_seeds_leave(blocks, match, seed), match, seed), match, seed)
+    gone = removed_spans(decided, match)
     names = [f.name for f in docs.schema.fields]
     added = ["kept_bytes", "n_bytes", "n_removed", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, spans in zip(batch.column("payload"), batch.column("spans"), strict=True):
+            for payload, packed, late in zip(batch.column("payload"), batch.column("packed"), batch.column("late"), strict=True):
                 table = open_block(payload.as_py())
-                cuts = np.zeros((0, 3), np.int64)
-                if spans.is_valid and len(spans.values):
-                    cuts = np.stack([spans.values.field(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
-                    cuts = cuts[np.argsort(cuts[:, 0], kind="stable")]
+                cuts = [np.zeros((0, 3), np.int64), *map(unpack_spans, packed.as_py() or [])]
+                if late.is_valid and len(late.values):
+                    cuts.append(np.stack([late.values.field(k).to_numpy() for k in range(3)], axis=1))
+                cuts = np.concatenate(cuts)
+                cuts = cuts[np.argsort(cuts[:, 0], kind="stable")]
                 edges = np.searchsorted(cuts[:, 0], np.arange(table.num_rows + 1))
                 kept, sizes, removed, counts = [], [], [], []
                 for row, raw in enumerate(table.column("text").cast(pa.large_binary()).to_pylist()):
@@ -360,7 +431,17 @@ def cut_repeats(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFr
                     yield pa.RecordBatch.from_arrays([*columns, *(c.slice(at, step) for c in more)], names=[*names, *added])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "kept_bytes binary, n_bytes long, n_removed long, n_spans long"])
-    return blocks.join(gone, "block", "left").select("payload", "spans").mapInArrow(run, schema)
+    return blocks.join(gone.hint("merge"), "block", "left").select("payload", "packed", "late").mapInArrow(run, schema)
+
+
+def whole_characters(kept: Column) -> Column:
+    """UTF-8 bytes as text, without the remains of characters that a cut went through."""
+
+    @F.pandas_udf("string")
+    def decoded(raws: pd.Series) -> pd.Series:
+        return raws.map(lambda raw: None if raw is None else raw.decode("utf-8", "ignore"))
+
+    return decoded(kept)
 
 
 def substring_dedup(docs: DataFrame, match: int = MATCH) -> DataFrame:
