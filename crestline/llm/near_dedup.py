@@ -7,9 +7,10 @@ class; classes are joined as follows.
   probability that makes 1 / threshold picks on average) and branches its documents by the
   value, so a pair of similarity s stays together at a branch with probability s.
 * In every node each document is compared with the node's least one, which costs one
-  comparison per document however large the node. Nodes of at most SMALL documents are
-  compared exhaustively; larger ones branch again. A node whose documents are already
-  connected is done at any size, since only components are asked for.
+  comparison per document however large the node. A node whose documents are then connected
+  is done at any size, since only components are asked for. Where at most SMALL documents
+  are outside the node's largest component, they are compared with all others of the node, in
+  chunks of it; other nodes branch again.
 * TREES independent trees repeat this. A pair at the threshold is missed by one tree with
   probability 0.13 at depth one and 0.3 at depth three, by ten trees with 1e-9 and 6e-6.
 * A candidate must agree in 36 of the 64 values (a pair at the threshold fails with
@@ -34,7 +35,8 @@ PERCENT = 85
 VALUES = 64
 AGREE = 36
 TREES = 10
-SMALL = 64
+SMALL = 512
+CHUNK = 1024
 MAX_DEPTH = 60
 MULTIPLIERS = finish(np.arange(1, VALUES + 1, dtype=np.uint64) * A) | np.uint64(1)
 SECOND_BRANCH = 100 / PERCENT - 1
@@ -74,16 +76,16 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (a 128-bit hash of the set), sketch (the minwise values)."""
+    """doc_id, n_shingles, set_a and set_b (a 128-bit hash of the set), sketch (the minwise values), small (their low bytes)."""
 
     def of_texts(texts: list[str]) -> list[pa.Array]:
         hashes, rows = WordHashes(), []
         for text in texts:
             s = shingle_set(text, hashes)
-            rows.append((len(s), int(finish(s ^ A).sum(dtype=np.uint64).astype(np.int64)), int(finish(s ^ B).sum(dtype=np.uint64).astype(np.int64)), minwise(s).tobytes()))
-        return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 3 + (pa.binary(),), strict=True)]
+            rows.append((len(s), int(finish(s ^ A).sum(dtype=np.uint64).astype(np.int64)), int(finish(s ^ B).sum(dtype=np.uint64).astype(np.int64)), (values := minwise(s)).tobytes(), values.astype(np.uint8).tobytes()))
+        return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 3 + (pa.binary(),) * 2, strict=True)]
 
-    return per_text(docs, "n_shingles long, set_a long, set_b long, sketch binary", of_texts)
+    return per_text(docs, "n_shingles long, set_a long, set_b long, sketch binary, small binary", of_texts)
 
 
 def mixed(node: np.ndarray, salt: int) -> np.ndarray:
@@ -102,8 +104,8 @@ def branch(node: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return index, child
 
 
-def sketch_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, VALUES)
+def sketch_rows(column: pa.Array, dtype: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, VALUES)
 
 
 def first_level(classes: DataFrame) -> DataFrame:
@@ -132,13 +134,20 @@ def next_level(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def unsettled(members: DataFrame, components: DataFrame | None) -> DataFrame:
-    """node, rep, component, n, pivot of the nodes that hold more than one component."""
-    known = members.withColumn("component", F.col("rep"))
-    if components is not None:
-        known = members.join(components, F.col("rep") == F.col("id"), "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
-    known = settle(known) if components is not None else known
-    nodes = known.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return settle(known.join(nodes.drop("low", "high"), "node"))
+    """node, rep, component, n, pivot, main, main_n of the nodes that hold more than one component; main is the largest, of main_n."""
+    if components is None:
+        known = members.withColumn("component", F.col("rep"))
+        nodes = known.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").withColumns({"main": F.col("pivot"), "main_n": F.lit(1).cast("long")})
+    else:
+        known = settle(members.join(components, F.col("rep") == F.col("id"), "left").select("node", "rep", F.coalesce("component", "rep").alias("component")))
+        parts = known.groupBy("node", "component").agg(F.count("*").alias("c"), F.min("rep").alias("least"))
+        nodes = (
+            parts.groupBy("node")
+            .agg(F.sum("c").alias("n"), F.min("least").alias("pivot"), F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts"))
+            .where("parts > 1")
+            .select("node", "n", "pivot", F.col("most.component").alias("main"), F.col("most.c").alias("main_n"))
+        )
+    return settle(known.join(nodes, "node"))
 
 
 def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -147,11 +156,11 @@ def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                same = (sketch_rows(batch.column("sketch_a")) == sketch_rows(batch.column("sketch_b"))).sum(axis=1) >= AGREE
+                same = (sketch_rows(batch.column("sketch_a"), np.uint8) == sketch_rows(batch.column("sketch_b"), np.uint8)).sum(axis=1) >= AGREE
                 yield batch.select(["a", "b"]).filter(pa.array(same))
 
-    one = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    two = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    one = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("small").alias("sketch_a"))
+    two = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("small").alias("sketch_b"))
     sized = pairs.join(one, "a").join(two, "b").where(F.expr(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"))
     return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
@@ -182,26 +191,30 @@ def texts_for(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def exhaustive(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of one node but of two components, whose sketches agree; a node's documents meet in one task."""
+    """Pairs (a, b), a < b, of one node but of two components, whose sketches agree.
+
+    The documents of a node's largest component are dealt over chunks; the others go to every chunk.
+    """
 
     def compare(node: list[tuple]) -> list[tuple[int, int]]:
-        rep, component = (np.array(c) for c in list(zip(*node, strict=True))[:2])
-        sketches = np.frombuffer(b"".join(r[2] for r in node), np.uint32).reshape(-1, VALUES)
+        rep, component, outside = (np.array(c) for c in list(zip(*node, strict=True))[:3])
+        sketches = np.frombuffer(b"".join(r[3] for r in node), np.uint8).reshape(-1, VALUES)
         found = []
-        for k in range(len(node) - 1):
-            same = (sketches[k + 1 :] == sketches[k]).sum(axis=1) >= AGREE
-            for j in (np.flatnonzero(same & (component[k + 1 :] != component[k])) + k + 1).tolist():
-                found.append((int(min(rep[k], rep[j])), int(max(rep[k], rep[j]))))
+        for k in np.flatnonzero(outside).tolist():
+            other = (component != component[k]) & (~outside | (np.arange(len(node)) > k))
+            at = np.flatnonzero(other)
+            at = at[(sketches[at] == sketches[k]).sum(axis=1) >= AGREE]
+            found += [(int(min(rep[k], rep[j])), int(max(rep[k], rep[j]))) for j in at.tolist()]
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, held, found = None, [], []
         for batch in batches:
-            for own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own != node:
+            for own, chunk, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (own, chunk) != node:
                     if len(held) > 1:
                         found += compare(held)
-                    node, held = own, []
+                    node, held = (own, chunk), []
                 held.append(row)
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
             found = []
@@ -209,8 +222,11 @@ def exhaustive(members: DataFrame, classes: DataFrame) -> DataFrame:
             found = compare(held)
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    rows = members.join(classes.select("rep", "sketch"), "rep").select("node", "rep", "component", "sketch")
-    return rows.repartition(partitions(members.sparkSession), "node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
+    outside = F.col("component") != F.col("main")
+    chunks = F.ceil(F.col("main_n") / CHUNK)
+    dealt = members.select("node", "rep", "component", outside.alias("outside"), F.explode(F.when(outside, F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), chunks)))).alias("chunk"))
+    rows = dealt.join(classes.select("rep", "small"), "rep").select("node", "chunk", "rep", "component", "outside", "small")
+    return rows.repartition(partitions(members.sparkSession), "node", "chunk").sortWithinPartitions("node", "chunk").mapInArrow(run, "a long, b long").distinct()
 
 
 def apart(pairs: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -261,7 +277,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = settle(
         rows.where("doc_id IS NOT NULL AND n_shingles > 0")
         .groupBy("set_a", "set_b")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("small").alias("small"))
     )
     found = Links(docs, classes)
     members = unsettled(first_level(classes), None)
@@ -269,9 +285,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     while not members.isEmpty():
         found.try_pairs(stars(members))
         members = unsettled(members.select("node", "rep"), found.components)
-        small = members.where((F.col("n") <= SMALL) | F.lit(depth >= MAX_DEPTH)).where("n > 2 OR pivot <> rep OR component <> rep")
-        found.try_pairs(exhaustive(small, classes))
-        large = members.where(F.col("n") > SMALL)
+        few = F.col("n") - F.col("main_n") <= SMALL
+        found.try_pairs(exhaustive(members.where(few | F.lit(depth >= MAX_DEPTH)).where("n > 2"), classes))
+        large = members.where(~few)
         if depth >= MAX_DEPTH or large.isEmpty():
             break
         members = unsettled(next_level(large, classes), found.components)
