@@ -102,17 +102,30 @@ def _four(a: Point, b: Point, c: Point, d: Point) -> list[Planar]:
     return [planar(p, latitude) for p in (a, b, c, d)]
 
 
+def let(values: dict[str, Column], body) -> Column:
+    """body(names bound to values): each value is computed once, however often body names it."""
+    bound = F.array(F.struct(*(v.alias(k) for k, v in values.items())))
+    return F.element_at(F.transform(bound, body), 1)
+
+
 def intersection(a: Point, b: Point, c: Point, d: Point) -> Column:
     """struct(lat, lng) where a-b meets c-d, else null. Parallel segments meet at the first shared end in the order a, b, c, d."""
-    p, q, r, s = _four(a, b, c, d)
-    denominator = (p.x - q.x) * (r.y - s.y) - (p.y - q.y) * (r.x - s.x)
-    safe = F.when(F.abs(denominator) >= 1e-5, denominator)
-    first = ((p.x - r.x) * (r.y - s.y) - (p.y - r.y) * (r.x - s.x)) / safe
-    second = ((p.x - r.x) * (p.y - q.y) - (p.y - r.y) * (p.x - q.x)) / safe
-    met = interpolate(a, b, first)
-    inside = first.between(-1e-5, 1.00001) & second.between(-1e-5, 1.00001)
-    shared = F.coalesce(*(F.when(on_segment(e, a, b) & on_segment(e, c, d), F.struct(e.lat.alias("lat"), e.lng.alias("lng"))) for e in (a, b, c, d)))
-    return F.when(safe.isNull(), shared).when(inside, F.struct(met.lat.alias("lat"), met.lng.alias("lng")))
+
+    def meet(v: Column) -> Column:
+        ends = [Point(v[f"{n}_lat"], v[f"{n}_lng"]) for n in "abcd"]
+        p, q, r, s = (Planar(v[f"{n}_x"], v[f"{n}_y"]) for n in "abcd")
+        denominator = (p.x - q.x) * (r.y - s.y) - (p.y - q.y) * (r.x - s.x)
+        safe = F.when(F.abs(denominator) >= 1e-5, denominator)
+        first = ((p.x - r.x) * (r.y - s.y) - (p.y - r.y) * (r.x - s.x)) / safe
+        second = ((p.x - r.x) * (p.y - q.y) - (p.y - r.y) * (p.x - q.x)) / safe
+        met = interpolate(ends[0], ends[1], first)
+        inside = first.between(-1e-5, 1.00001) & second.between(-1e-5, 1.00001)
+        shared = F.coalesce(*(F.when(on_segment(e, *ends[:2]) & on_segment(e, *ends[2:]), F.struct(e.lat.alias("lat"), e.lng.alias("lng"))) for e in ends))
+        return F.when(safe.isNull(), shared).when(inside, F.struct(met.lat.alias("lat"), met.lng.alias("lng")))
+
+    flat = _four(a, b, c, d)
+    values = {f"{n}_{k}": getattr(p, k) for n, p in zip("abcd", (a, b, c, d), strict=True) for k in ("lat", "lng")}
+    return let(values | {f"{n}_{k}": getattr(p, k) for n, p in zip("abcd", flat, strict=True) for k in ("x", "y")}, meet)
 
 
 def parallel(a: Point, b: Point, c: Point, d: Point, tolerance: float = 0.42) -> Column:
