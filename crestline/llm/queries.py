@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, near_dedup, packing, quality_rules, substring_dedup, token_counts, token_output, toxicity
+from . import exact_dedup, license_scan, near_dedup, packing, quality_rules, spiece, substring_dedup, token_counts, token_output, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.q_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.q_exact_dedup,
     "op4_license_scan": license_scan.q_license_scan,
     "op5_packing": packing.q_pack,
+    "op6_spiece": spiece.q_spiece,
     "op7_quality_rules": quality_rules.q_quality_rules,
     "op8_token_output": token_output.q_token_output,
     "op9_substring_dedup": substring_dedup.q_substring_dedup,
