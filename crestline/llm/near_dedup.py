@@ -3,7 +3,7 @@
 A document's set is its distinct five-word shingles. Documents with the same set form one
 class; classes are joined as follows.
 
-* Each class has 64 minwise values. A tree node picks one of them (a second one with the
+* Each class has 128 minwise values. A tree node picks one of them (a second one with the
   probability that makes 1 / threshold picks on average) and branches its documents by the
   value, so a pair of similarity s stays together at a branch with probability s.
 * In every node each document is compared with the node's least one, which costs one
@@ -13,8 +13,8 @@ class; classes are joined as follows.
   chunks of it; other nodes branch again.
 * TREES independent trees repeat this. A pair at the threshold is missed by one tree with
   probability 0.13 at depth one and 0.3 at depth three, by ten trees with 1e-9 and 6e-6.
-* A candidate must agree in 36 of the 64 values (a pair at the threshold fails with
-  probability below 1e-8) and is then confirmed on its full shingle sets, made from the whole texts.
+* A candidate must agree in 90 of the 128 values (a pair at the threshold fails with
+  probability 1e-5) and is then confirmed on its full shingle sets, made from the whole texts.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from .substring_dedup import A, B, finish
 
 WORDS = 5
 PERCENT = 85
-VALUES = 64
-AGREE = 36
+VALUES = 128
+AGREE = 90
 TREES = 10
 SMALL = 512
 CHUNK = 1024
@@ -45,7 +45,7 @@ SECOND_BRANCH = 100 / PERCENT - 1
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a number of words."""
 
-    LIMIT = 300_000
+    LIMIT = 50_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -70,8 +70,8 @@ def shingle_set(text: str, hashes: WordHashes) -> np.ndarray:
 
 def minwise(shingles: np.ndarray) -> np.ndarray:
     least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        least = np.minimum(least, (shingles[None, at : at + 2048] * MULTIPLIERS[:, None]).min(axis=1))
+    for at in range(0, len(shingles), 1024):
+        least = np.minimum(least, (shingles[None, at : at + 1024] * MULTIPLIERS[:, None]).min(axis=1))
     return (least >> np.uint64(32)).astype(np.uint32)
 
 

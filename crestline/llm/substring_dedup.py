@@ -26,7 +26,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -437,9 +436,9 @@ def cut_repeats(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFr
 def whole_characters(kept: Column) -> Column:
     """UTF-8 bytes as text, without the remains of characters that a cut went through."""
 
-    @F.pandas_udf("string")
-    def decoded(raws: pd.Series) -> pd.Series:
-        return raws.map(lambda raw: None if raw is None else raw.decode("utf-8", "ignore"))
+    @F.arrow_udf("string")
+    def decoded(raws: pa.Array) -> pa.Array:
+        return pa.array([None if raw is None else raw.decode("utf-8", "ignore") for raw in raws.to_pylist()], pa.string())
 
     return decoded(kept)
 
