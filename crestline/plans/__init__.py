@@ -1,7 +1,7 @@
 """Queries by name, and the SQL that returns the same rows."""
 
-from . import tracks
+from . import network, rasters, tracks
 
-PARTS = (tracks,)
+PARTS = (tracks, rasters, network)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 SQL = {name: text for part in PARTS for name, text in part.SQL.items()}

@@ -115,7 +115,7 @@ def point_segment_distance(spark, d):
 
 def segment_intersection(spark, d):
     met = pairs_of_hops(spark, d).select("user_id", "seq", geo.intersection(*map(geo.at, "abcd")).alias("p"))
-    return met.where("p IS NOT NULL").select("user_id", "seq", F.round("p.lat", 7).alias("lat"), F.round("p.lng", 7).alias("lng"))
+    return met.where("p IS NOT NULL").select("user_id", "seq", F.round("p.lat", 6).alias("lat"), F.round("p.lng", 6).alias("lng"))
 
 
 def segments_parallel(spark, d):
@@ -213,7 +213,7 @@ SQL = {
   SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) END AS t FROM (
   SELECT user_id, seq, c_lng * k AS px, c_lat * 111132.0::DOUBLE AS py, a_lng * k AS ax, a_lat * 111132.0::DOUBLE AS ay, b_lng * k - a_lng * k AS dx, b_lat * 111132.0::DOUBLE - a_lat * 111132.0::DOUBLE AS dy
   FROM (SELECT *, 111132.0::DOUBLE * cos((c_lat + a_lat + b_lat) / 3 * pi() / 180) AS k FROM (""" + FOUR + "))))"),
-    "segment_intersection": with_views("track_points hops", "").strip() + f", four AS ({FOUR}), planar AS ({PLANAR}) SELECT user_id, seq, round(lat, 7) AS lat, round(lng, 7) AS lng FROM ({MET}) WHERE lat IS NOT NULL",
+    "segment_intersection": with_views("track_points hops", "").strip() + f", four AS ({FOUR}), planar AS ({PLANAR}) SELECT user_id, seq, round(lat, 6) AS lat, round(lng, 6) AS lng FROM ({MET}) WHERE lat IS NOT NULL",
     "segments_parallel": with_views("track_points hops", "").strip() + f""", four AS ({FOUR}), planar AS ({PLANAR}) SELECT user_id, seq,
   l1 >= 1 AND l2 >= 1 AND coalesce(abs((b_x - a_x) * (d_y - c_y) - (b_y - a_y) * (d_x - c_x)) / nullif(l1 * l2, 0) < 0.42, false) AS is_parallel
   FROM (SELECT *, sqrt(pow(b_x - a_x, 2) + pow(b_y - a_y, 2)) AS l1, sqrt(pow(d_x - c_x, 2) + pow(d_y - c_y, 2)) AS l2 FROM planar)""",
