@@ -27,7 +27,7 @@ from .common import documents, id_and_text, slices
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 ROWS = 1024
-MOST_WORDS = 600_000
+MOST_WORDS = 1_200_000
 MOST_PAIRS = 1_000_000
 UNKNOWN_SCORE = -1e6
 
@@ -57,6 +57,7 @@ class PieceModel:
         self.raw = raw
         self.width, self.code = ("<u2", "H") if size <= 1 << 16 else ("<u4", "I")
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words not met since the newer half began
         self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -120,10 +121,13 @@ class PieceModel:
             before = word
 
     def learn(self, words: set[str]) -> None:
-        new = sorted(words - self.words.keys())
-        if len(self.words) + len(new) > MOST_WORDS:
-            self.words.clear()
-            new = sorted(words)
+        new = words - self.words.keys()
+        if len(self.words) + len(new) > MOST_WORDS // 2:
+            self.older, self.words = self.words, {}
+            new = words
+        again = new & self.older.keys()
+        self.words.update((word, self.older[word]) for word in again)
+        new = sorted(new - again)
         for word, pieces in self.forward(new):
             if min(pieces) < 0:
                 pieces = [x for i in pieces for x in ([i] if i >= 0 else [self.byte_ids[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")])]
