@@ -82,7 +82,7 @@ def nearest_nodes_topk(spark, d):
 
 
 def segment_profile(spark, d):
-    return network.segment_profile(segments(spark, d), ["way_id", "pos"], dem(spark, d), PLACE).select("way_id", "pos", *(r(c) for c in ("distance_m", "change_m", "ascent_m", "descent_m", "max_grade", "minutes")))
+    return network.segment_profile(segments(spark, d), ["way_id", "pos"], dem(spark, d), PLACE).select("way_id", "pos", *((F.round(c, 4) + 0.0).alias(c) for c in ("distance_m", "change_m", "ascent_m", "descent_m", "max_grade", "minutes")))
 
 
 def edge_cost(spark, d):
@@ -183,8 +183,8 @@ SQL = {
     SELECT o.request_id, lat_e6, lng_e6, sqrt(pow((n.lng - o.lng) * (111132.0::DOUBLE * cos((o.lat + n.lat) / 2 * pi() / 180)), 2) + pow((n.lat - o.lat) * 111132.0::DOUBLE, 2)) AS meters,
       (SELECT min(g) FROM range(1, 9) t(g) WHERE floor(n.lat / 0.001) BETWEEN floor((o.lat - g * 0.001::DOUBLE) / 0.001) AND floor((o.lat + g * 0.001::DOUBLE) / 0.001) AND floor(n.lng / 0.001) BETWEEN floor((o.lng - g * 0.001::DOUBLE) / 0.001) AND floor((o.lng + g * 0.001::DOUBLE) / 0.001)) AS ring
     FROM origins o JOIN nodes n ON abs(n.lat - o.lat) < 0.01 AND abs(n.lng - o.lng) < 0.01) WHERE ring IS NOT NULL)) WHERE ring <= coalesce(last, 8)) WHERE k <= 24""", "ways vertices origins known nodes"),
-    "segment_profile": q(f"""SELECT s.way_id, s.pos, round(coalesce(sum(step), 0), 4) AS distance_m, round(coalesce(sum(dz), 0), 4) AS change_m, round(coalesce(sum(greatest(dz, 0)), 0), 4) AS ascent_m, round(coalesce(sum(greatest(-dz, 0)), 0), 4) AS descent_m, round(coalesce(max(abs(dz / step)), 0), 4) AS max_grade,
-  round(coalesce(sum(step / {SPEED.format(g='(dz / step)', s='0.92::DOUBLE')}), 0), 4) AS minutes
+    "segment_profile": q(f"""SELECT s.way_id, s.pos, round(coalesce(sum(step), 0), 4) + 0.0::DOUBLE AS distance_m, round(coalesce(sum(dz), 0), 4) + 0.0::DOUBLE AS change_m, round(coalesce(sum(greatest(dz, 0)), 0), 4) + 0.0::DOUBLE AS ascent_m, round(coalesce(sum(greatest(-dz, 0)), 0), 4) + 0.0::DOUBLE AS descent_m, round(coalesce(max(abs(dz / step)), 0), 4) + 0.0::DOUBLE AS max_grade,
+  round(coalesce(sum(step / {SPEED.format(g='(dz / step)', s='0.92::DOUBLE')}), 0), 4) + 0.0::DOUBLE AS minutes
 FROM segments s LEFT JOIN (SELECT way_id, pos, step, z - lag(z) OVER (PARTITION BY way_id, pos ORDER BY k) AS dz FROM (
   SELECT way_id, pos, k, step, d00.z * (1 - fc) * (1 - fr) + d01.z * fc * (1 - fr) + d10.z * (1 - fc) * fr + d11.z * fc * fr AS z FROM (
     SELECT *, y - floor(y) AS fr, x - floor(x) AS fc, floor(y)::BIGINT AS r0, floor(x)::BIGINT AS c0, least(floor(y)::BIGINT + 1, nr - 1) AS r1, least(floor(x)::BIGINT + 1, nc - 1) AS c1 FROM (
