@@ -37,7 +37,7 @@ from .common import documents, id_and_text, partitions, settle
 MATCH = 50
 SEED = 24
 BLOCK_BYTES = 4 << 20
-HOT_BLOCKS = 64
+HOT_BLOCKS = 4096
 CHUNK = 1 << 20
 PARTS_PER_PARTITION = 3
 
