@@ -79,7 +79,8 @@ def contour_lines(dem: DataFrame, interval: float, north: float, west: float, la
         group = group.sort_values(["r", "c", "part"])
         ends = [((north - a * lat_step, west + b * lng_step), (north - c * lat_step, west + d * lng_step)) for a, b, c, d in group[["a_r", "a_c", "b_r", "b_c"]].itertuples(index=False)]
         kept = [simplify(np.array(line), tolerance) for line in stitch(ends) if len(line) >= minimum]
-        return pd.DataFrame({"level": float(group["level"].iloc[0]), "points": [[{"lat": p[0], "lng": p[1]} for p in line] for line in kept]})
+        points = pd.Series([[{"lat": float(p[0]), "lng": float(p[1])} for p in line] for line in kept], dtype=object)
+        return pd.DataFrame({"level": pd.Series(float(group["level"].iloc[0]), index=points.index, dtype=float), "points": points})
 
     smoothed = raster.smooth(dem, passes) if passes else dem
     segments = raster.marching_squares(smoothed, interval).withColumn("strip", F.floor(F.col("r") / STRIP_ROWS))
