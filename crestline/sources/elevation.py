@@ -21,7 +21,7 @@ def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
 
     nodata is carried, not applied.
     """
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.trim("value"), r"\s+").alias("w"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+").alias("w"))
     named = text.withColumn("n", F.expr("aggregate(sequence(0, 12, 2), 0, (n, k) -> if(n = k AND k < size(w) AND w[k] RLIKE '^[A-Za-z_]+$', n + 2, n))"))
     header = F.map_from_arrays(F.expr("transform(sequence(0, n - 2, 2), k -> lower(w[k]))"), F.expr("transform(sequence(1, n - 1, 2), k -> double(w[k]))"))
     h = named.withColumn("h", header).withColumns({"columns": F.expr("int(h['ncols'])"), "rows": F.expr("int(h['nrows'])")})
