@@ -6,8 +6,8 @@ class; classes are joined as follows.
 * Each class has 128 minwise values. A tree node picks one of them (a second one with the
   probability that makes 1 / threshold picks on average) and branches its documents by the
   value, so a pair of similarity s stays together at a branch with probability s.
-* In every node each document is compared with the node's least one, which costs one
-  comparison per document however large the node. A node whose documents are then connected
+* In every node of the first level each document is compared with the node's least one, which
+  costs one comparison per document however large the node. A node whose documents are then connected
   is done at any size, since only components are asked for. Where at most SMALL documents
   are outside the node's largest component, they are compared with all others of the node, in
   chunks of it; other nodes branch again.
@@ -186,7 +186,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def texts_for(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """One text for each id in pairs."""
-    ids = settle(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"))
+    ids = pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id")
     return settle(id_and_text(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
@@ -229,38 +229,29 @@ def exhaustive(members: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.repartition(partitions(members.sparkSession), "node", "chunk").sortWithinPartitions("node", "chunk").mapInArrow(run, "a long, b long").distinct()
 
 
-def apart(pairs: DataFrame, components: DataFrame | None) -> DataFrame:
-    if components is None:
-        return pairs
-    one, two = components.toDF("a", "in_a"), components.toDF("b", "in_b")
-    found = pairs.join(one, "a", "left").join(two, "b", "left")
-    return found.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
-
-
 class Links:
-    """Confirmed links so far, and the components that they make."""
+    """Confirmed links so far, and the components that they make, worked out when next asked for."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame):
         self.docs, self.classes = docs, classes
         self.links: DataFrame | None = None
-        self.components: DataFrame | None = None
+        self.known: DataFrame | None = None
+        self.more = False
 
-    def add(self, found: DataFrame) -> None:
-        found = settle(found)
-        if not found.isEmpty():
-            self.links = found if self.links is None else self.links.union(found)
-            self.components = connected_components(self.links)
+    @property
+    def components(self) -> DataFrame | None:
+        if self.more:
+            self.known, self.more = connected_components(self.links), False
+        return self.known
 
     def try_pairs(self, pairs: DataFrame) -> None:
-        """Confirm pairs. First one for each document, which connects most; then those still between components."""
         likely = settle(alike(pairs, self.classes))
         if likely.isEmpty():
             return
-        texts = texts_for(likely, self.docs)
-        self.add(confirmed(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts))
-        rest = settle(apart(likely, self.components))
-        if not rest.isEmpty():
-            self.add(confirmed(rest, texts))
+        found = settle(confirmed(likely, texts_for(likely, self.docs)))
+        if not found.isEmpty():
+            self.links = found if self.links is None else self.links.union(found)
+            self.more = True
 
 
 def stars(members: DataFrame) -> DataFrame:
@@ -282,11 +273,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     found = Links(docs, classes)
     members = unsettled(first_level(classes), None)
     depth = 1
+    found.try_pairs(stars(members))
+    members = unsettled(members.select("node", "rep"), found.components)
     while not members.isEmpty():
-        found.try_pairs(stars(members))
-        members = unsettled(members.select("node", "rep"), found.components)
         few = F.col("n") - F.col("main_n") <= SMALL
-        found.try_pairs(exhaustive(members.where(few | F.lit(depth >= MAX_DEPTH)).where("n > 2"), classes))
+        compared = F.col("n") > (2 if depth == 1 else 1)  # a pair of the first level has met already
+        found.try_pairs(exhaustive(members.where(few | F.lit(depth >= MAX_DEPTH)).where(compared), classes))
         large = members.where(~few)
         if depth >= MAX_DEPTH or large.isEmpty():
             break
