@@ -6,6 +6,7 @@ rest, so extra columns cannot clash with the names it makes.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,6 +64,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple
             yield part.column(0), part.column(1).to_pylist()
 
 
+def release() -> None:
+    """Give unused memory of this Python worker back, as idle workers live on beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(run):
+    """run for mapInArrow, with release() after the last batch."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def per_text(docs: DataFrame, schema: str, of_text) -> DataFrame:
     """doc_id and the columns of schema, which of_text(list of texts) returns as a list of columns."""
 
@@ -71,7 +91,7 @@ def per_text(docs: DataFrame, schema: str, of_text) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, *of_text(texts)], names=names)
 
     names = ["doc_id", *(part.split()[0] for part in schema.split(", "))]
-    return id_and_text(docs).mapInArrow(run, f"doc_id long, {schema}")
+    return id_and_text(docs).mapInArrow(tidy(run), f"doc_id long, {schema}")
 
 
 _loaded: dict[tuple, object] = {}

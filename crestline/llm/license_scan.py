@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, id_and_text, slices
+from .common import documents, id_and_text, slices, tidy
 
 # The wording of public licence notices.
 TEMPLATES: dict[str, str] = {
@@ -148,7 +148,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> Da
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=NAMES)
 
-    return id_and_text(docs).mapInArrow(run, SCHEMA)
+    return id_and_text(docs).mapInArrow(tidy(run), SCHEMA)
 
 
 def q_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, documents, id_and_text, partitions, per_text, settle
+from .common import connected_components, documents, id_and_text, partitions, per_text, settle, tidy
 from .substring_dedup import A, B, finish
 
 WORDS = 5
@@ -120,7 +120,7 @@ def first_level(classes: DataFrame) -> DataFrame:
                     index, child = branch(root, sketches)
                     yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), pa.array(rep[index])], names=["node", "rep"])
 
-    return classes.select("rep", "sketch").mapInArrow(run, "node long, rep long")
+    return classes.select("rep", "sketch").mapInArrow(tidy(run), "node long, rep long")
 
 
 def next_level(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def next_level(members: DataFrame, classes: DataFrame) -> DataFrame:
                 index, child = branch(batch.column("node").to_numpy().astype(np.uint64), sketch_rows(batch.column("sketch")))
                 yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), pa.array(batch.column("rep").to_numpy()[index])], names=["node", "rep"])
 
-    return members.select("node", "rep").join(classes.select("rep", "sketch"), "rep").select("node", "rep", "sketch").mapInArrow(run, "node long, rep long")
+    return members.select("node", "rep").join(classes.select("rep", "sketch"), "rep").select("node", "rep", "sketch").mapInArrow(tidy(run), "node long, rep long")
 
 
 def unsettled(members: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -162,7 +162,7 @@ def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     one = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("small").alias("sketch_a"))
     two = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("small").alias("sketch_b"))
     sized = pairs.join(one, "a").join(two, "b").where(F.expr(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"))
-    return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def texts_for(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def exhaustive(members: DataFrame, classes: DataFrame) -> DataFrame:
     chunks = F.ceil(F.col("main_n") / CHUNK)
     dealt = members.select("node", "rep", "component", outside.alias("outside"), F.explode(F.when(outside, F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), chunks)))).alias("chunk"))
     rows = dealt.join(classes.select("rep", "small"), "rep").select("node", "chunk", "rep", "component", "outside", "small")
-    return rows.repartition(partitions(members.sparkSession), "node", "chunk").sortWithinPartitions("node", "chunk").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(partitions(members.sparkSession), "node", "chunk").sortWithinPartitions("node", "chunk").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 class Links:

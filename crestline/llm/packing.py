@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BPE_JSON, BPE_RANKS, ByteBpe, documents, hash_bucket, id_and_text, partitions, settle, slices
+from .common import BPE_JSON, BPE_RANKS, ByteBpe, documents, hash_bucket, id_and_text, partitions, settle, slices, tidy
 
 CAPACITY = 2048
 END_ID = 1
@@ -108,7 +108,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    return id_and_text(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return id_and_text(docs).mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names))
 
 
 def rank_by_length(pieces: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, ranks_
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     ranked = rank_by_length(pieces).select(*names[:5], F.col("rank").cast("long").alias("rank"))
-    return ranked.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return ranked.mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names))
 
 
 def q_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

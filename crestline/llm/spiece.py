@@ -22,7 +22,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, id_and_text, slices
+from .common import documents, id_and_text, slices, tidy
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
@@ -161,7 +161,7 @@ def encode(docs: DataFrame, path: str = MODEL, kind: str = "bpe") -> DataFrame:
         for ids, texts in slices(batches, ROWS):
             yield pa.RecordBatch.from_arrays([ids, pa.array([e.astype(np.int32) for e in model.encode(texts)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_and_text(docs).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str = MODEL, kind: str = "bpe") -> DataFrame:
@@ -173,7 +173,7 @@ def decode(encoded: DataFrame, path: str = MODEL, kind: str = "bpe") -> DataFram
             texts = [model.decode(np.asarray(i or [], np.int64)) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def encoding_digest(docs: DataFrame, path: str = MODEL, kind: str = "bpe") -> DataFrame:
@@ -191,7 +191,7 @@ def encoding_digest(docs: DataFrame, path: str = MODEL, kind: str = "bpe") -> Da
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 3, pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n_ids", "n_byte_ids", "ids_crc32", "round_trip"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_ids long, n_byte_ids long, ids_crc32 long, round_trip boolean")
+    return id_and_text(docs).mapInArrow(tidy(run), "doc_id long, n_ids long, n_byte_ids long, ids_crc32 long, round_trip boolean")
 
 
 def q_spiece(spark: SparkSession, sf_dir: str) -> DataFrame:

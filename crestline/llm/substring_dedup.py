@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, partitions, settle
+from .common import documents, id_and_text, partitions, settle, tidy
 
 MATCH = 50
 SEED = 24
@@ -127,7 +127,7 @@ def to_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             yield block()
 
     name = f"text_blocks_{uuid.uuid4().hex}"
-    docs.mapInArrow(run, "block long, payload binary").write.bucketBy(partitions(docs.sparkSession), "block").format("parquet").saveAsTable(name)
+    docs.mapInArrow(tidy(run), "block long, payload binary").write.bucketBy(partitions(docs.sparkSession), "block").format("parquet").saveAsTable(name)
     return docs.sparkSession.table(name)
 
 
@@ -201,8 +201,8 @@ def unique_seeds_leave(blocks: DataFrame, match: int, seed: int) -> DataFrame:
             packed = packer.compress(back[end - size : end].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names=["block", "part", "codes"])
 
-    sent = blocks.mapInArrow(send, "block long, part int, seeds binary, in_two binary").repartition(n, "part")
-    ranked = sent.mapInArrow(rank, "block long, part int, codes binary")
+    sent = blocks.mapInArrow(tidy(send), "block long, part int, seeds binary, in_two binary").repartition(n, "part")
+    ranked = sent.mapInArrow(tidy(rank), "block long, part int, codes binary")
     return ranked.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "codes"))).alias("ranks"))
 
 
@@ -270,7 +270,7 @@ def open_runs(blocks: DataFrame, ranks: DataFrame, match: int, seed: int) -> Dat
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["block", "part", "decided", "payload"])
 
-    return blocks.join(ranks.hint("merge"), "block").select("block", "payload", "ranks").mapInArrow(run, "block long, part int, decided boolean, payload binary")
+    return blocks.join(ranks.hint("merge"), "block").select("block", "payload", "ranks").mapInArrow(tidy(run), "block long, part int, decided boolean, payload binary")
 
 
 def hot_windows(left: list[tuple], match: int) -> pa.RecordBatch:
@@ -368,7 +368,7 @@ def decide_runs(runs: DataFrame, match: int, seed: int) -> DataFrame:
         yield from close(tables)
 
     dealt = runs.repartition(partitions(runs.sparkSession), "part").sortWithinPartitions("part")
-    return settle(dealt.mapInArrow(run, OUT_COLUMNS))
+    return settle(dealt.mapInArrow(tidy(run), OUT_COLUMNS))
 
 
 def removed_spans(decided: DataFrame, match: int) -> DataFrame:
@@ -430,7 +430,7 @@ def cut_repeats(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFr
                     yield pa.RecordBatch.from_arrays([*columns, *(c.slice(at, step) for c in more)], names=[*names, *added])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "kept_bytes binary, n_bytes long, n_removed long, n_spans long"])
-    return blocks.join(gone.hint("merge"), "block", "left").select("payload", "packed", "late").mapInArrow(run, schema)
+    return blocks.join(gone.hint("merge"), "block", "left").select("payload", "packed", "late").mapInArrow(tidy(run), schema)
 
 
 def whole_characters(kept: Column) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BPE_JSON, BPE_RANKS, ByteBpe, documents, id_and_text, settle, slices
+from .common import BPE_JSON, BPE_RANKS, ByteBpe, documents, id_and_text, settle, slices, tidy
 
 CAPACITY = 2048
 END_ID = 1
@@ -113,7 +113,7 @@ def packed_matrices(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END
 
     names = ["shard", "sequence", "ids", "id_bytes", "cu_lengths", "position_resets", "doc_ids", "starts", "doc_tokens"]
     schema = "shard long, sequence long, ids binary, id_bytes int, cu_lengths array<long>, position_resets array<long>, doc_ids array<long>, starts array<long>, doc_tokens array<long>"
-    return id_and_text(docs).mapInArrow(run, schema)
+    return id_and_text(docs).mapInArrow(tidy(run), schema)
 
 
 def write_packed(docs: DataFrame, path: str, capacity: int = CAPACITY, **options) -> None:
@@ -135,7 +135,7 @@ def segments(packed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "shard", "sequence", "offset"]
-    return packed.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return packed.mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names))
 
 
 def q_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,12 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, settle, slices
+from .common import documents, id_and_text, release, settle, slices, tidy
 
 WORD = re.compile(r"\w+")
 MAX_LABELLED = 20_000
@@ -104,7 +103,7 @@ def sample_words(docs: DataFrame, labels: DataFrame, grade_col: str, max_labelle
                 words = [sorted(words_of(t)) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "grade", "words"])
 
-    return rows.select("doc_id", "text", "grade").mapInArrow(run, "doc_id long, grade int, words array<string>")
+    return rows.select("doc_id", "text", "grade").mapInArrow(tidy(run), "doc_id long, grade int, words array<string>")
 
 
 def choose_features(sample: DataFrame, max_features: int) -> list[str]:
@@ -162,15 +161,19 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             columns = [ids, pa.array(reach.sum(axis=1)), pa.array(reach[:, 0]), pa.array(grade, pa.int32()), pa.array(reach[:, 0] < REJECT_AT)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "severity", "p_toxic", "grade", "kept"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, severity double, p_toxic double, grade int, kept boolean")
+    return id_and_text(docs).mapInArrow(tidy(run), "doc_id long, severity double, p_toxic double, grade int, kept boolean")
 
 
 def keep_clean(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """The rows of docs that are not rejected, with all their columns; no shuffle."""
 
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.at_least(t or "")[0] < REJECT_AT for t in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        kept: list[bool] = []
+        for at in range(0, len(texts), 256):
+            kept += [bool(model.at_least(t or "")[0] < REJECT_AT) for t in texts.slice(at, 256).to_pylist()]
+        release()
+        return pa.array(kept, pa.bool_())
 
     return docs.where(clean(F.col("text")))
 
