@@ -229,6 +229,15 @@ def exhaustive(members: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.repartition(partitions(members.sparkSession), "node", "chunk").sortWithinPartitions("node", "chunk").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
+def apart(pairs: DataFrame, components: DataFrame | None) -> DataFrame:
+    """The pairs that are not in one component yet."""
+    if components is None:
+        return pairs
+    one, two = components.toDF("a", "in_a"), components.toDF("b", "in_b")
+    found = pairs.join(one, "a", "left").join(two, "b", "left")
+    return settle(found.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b"))
+
+
 class Links:
     """Confirmed links so far, and the components that they make, worked out when next asked for."""
 
@@ -244,15 +253,23 @@ class Links:
             self.known, self.more = connected_components(self.links), False
         return self.known
 
-    def try_pairs(self, pairs: DataFrame) -> None:
-        likely = settle(alike(pairs, self.classes))
-        if likely.isEmpty():
-            return
-        found = settle(confirmed(likely, texts_for(likely, self.docs)))
+    def confirm(self, pairs: DataFrame, texts: DataFrame) -> None:
+        found = settle(confirmed(pairs, texts))
         if not found.isEmpty():
             self.links = found if self.links is None else self.links.union(found)
             self.more = True
 
+    def try_pairs(self, pairs: DataFrame, first: bool = False) -> None:
+        """Confirm pairs. With first, one for each document goes before the others, of which those still between components follow."""
+        likely = settle(alike(pairs, self.classes))
+        if likely.isEmpty():
+            return
+        texts = texts_for(likely, self.docs)
+        if first:
+            self.confirm(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts)
+            likely = apart(likely, self.components)
+        self.confirm(likely, texts)
+
 
 def stars(members: DataFrame) -> DataFrame:
     return members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
@@ -273,7 +290,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     found = Links(docs, classes)
     members = unsettled(first_level(classes), None)
     depth = 1
-    found.try_pairs(stars(members))
+    found.try_pairs(stars(members), first=True)
     members = unsettled(members.select("node", "rep"), found.components)
     while not members.isEmpty():
         few = F.col("n") - F.col("main_n") <= SMALL
