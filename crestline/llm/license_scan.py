@@ -9,6 +9,7 @@ put between its words are counted, and a difference in a number or a negation re
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -45,11 +46,11 @@ def words_at(text: str) -> list[tuple[str, int, int]]:
     return [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
 
 
-def regions(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) in characters: REACH words to either side of each cue, joined where they meet, cut every 4 * REACH words with an overlap of REACH."""
+def regions(text: str) -> tuple[list[tuple[str, int, int]], list[list[int]]]:
+    """The words of a text with a cue, and (low, high) in words: REACH words to either side of each cue, joined where they meet."""
     cues = [m.start() for m in CUE.finditer(text)]
     if not cues:
-        return
+        return [], []
     spans = words_at(text)
     index, near = 0, []
     for cue in cues:
@@ -60,10 +61,7 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
             near[-1][1] = high
         else:
             near.append([low, high])
-    for low, high in near:
-        for at in range(low, max(low + 1, high - REACH), 3 * REACH):
-            end = min(high, at + 4 * REACH)
-            yield spans[at][1], spans[end - 1][2]
+    return spans, near
 
 
 class Scanner:
@@ -74,6 +72,8 @@ class Scanner:
             (name, [w for w, _, _ in words_at(text)], zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)))
             for name, text in templates.items()
         ]
+        longest = max((len(words) for _, words, _ in self.templates), default=0)
+        self.overlap = max(REACH, int(longest * (1 + max_extra)) + 1)  # a confirmed notice is not longer
 
     def wording(self, words: list[str], found: list[tuple[str, int, int]]) -> tuple[int, int, list[str], list[str]] | None:
         """(first, last, missing, extra): the stretch of found that holds the template's words, and the differences."""
@@ -96,41 +96,67 @@ class Scanner:
 
         Templates are tried by falling reduction; the first whose wording is confirmed wins, else the first is
         reported unconfirmed. A winner's stretch is then taken as read and the rest of the block tried again.
+        Long regions are read in windows that overlap by more than a notice. A notice belongs to the window in
+        whose part before the overlap it starts; the next window starts behind it.
         """
-        out, seen = [], set()
-        for start, end in regions(text):
-            todo = [(start, end)]
-            while todo:
-                a, z = todo.pop()
-                block = text[a:z]
-                if not CUE.search(block):
-                    continue
-                raw = block.encode("utf-8", "replace")
-                plain = len(self.alone.compress(raw))
-                ranked = sorted(((plain - len(c.compress(raw)), k) for k, (_, _, c) in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
-                found = [(w, a + i, a + j) for w, i, j in words_at(block)]
-                best = None
-                for reduction, k in ranked:
-                    if reduction <= 0:
-                        break
-                    name, words, _ = self.templates[k]
-                    if not (w := self.wording(words, found)):
-                        continue
-                    first, last, missing, extra = w
-                    grave = any(x in NEGATIONS or any(c.isdigit() for c in x) for x in missing + extra)
-                    confirmed = not grave and len(missing) <= self.max_missing * len(words) and len(extra) <= self.max_extra * len(words)
-                    row = (a, z, name, plain, reduction, found[first][1], found[last][2], len(missing), len(extra), confirmed)
-                    if confirmed:
-                        best = row
-                        break
-                    best = best or row
-                if best and (best[2], best[5]) not in seen:
-                    seen.add((best[2], best[5]))
-                    out.append(best)
-                    if best[-1]:
-                        todo += [(x, y) for x, y in ((a, best[5]), (best[6], z)) if y > x]
+        out = []
+        spans, near = regions(text)
+        starts = [i for _, i, _ in spans]
+        for low, high in near:
+            at, held = low, ("", 0)
+            while at < high:
+                stop = min(high, at + self.overlap + 3 * REACH)
+                own = spans[stop - self.overlap][1] if stop < high else len(text)
+                rows = self.window(text, spans[at][1], spans[stop - 1][2], own, held)
+                out += rows
+                if stop == high:
+                    break
+                read = max((row[6] for row in rows if row[-1]), default=0)
+                at = max(stop - self.overlap, bisect_left(starts, read))
+                held = max(((row[2], row[6]) for row in rows if not row[-1]), key=lambda x: x[1], default=held)
         return sorted(out)
 
+    def window(self, text: str, start: int, end: int, own: int, held: tuple[str, int]) -> list[tuple]:
+        """The rows of text[start:end] whose notices start before own; held is (template, notice_end) of the last unconfirmed one before."""
+        out, todo = [], [(start, end)]
+        while todo:
+            a, z = todo.pop()
+            block = text[a:z]
+            if not CUE.search(block):
+                continue
+            raw = block.encode("utf-8", "replace")
+            plain = len(self.alone.compress(raw))
+            ranked = sorted(((plain - len(c.compress(raw)), k) for k, (_, _, c) in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
+            found = [(w, a + i, a + j) for w, i, j in words_at(block)]
+            best = None
+            for reduction, k in ranked:
+                if reduction <= 0:
+                    break
+                name, words, _ = self.templates[k]
+                if not (w := self.wording(words, found)):
+                    continue
+                first, last, missing, extra = w
+                grave = any(x in NEGATIONS or any(c.isdigit() for c in x) for x in missing + extra)
+                confirmed = not grave and len(missing) <= self.max_missing * len(words) and len(extra) <= self.max_extra * len(words)
+                row = (a, z, name, plain, reduction, found[first][1], found[last][2], len(missing), len(extra), confirmed)
+                if confirmed:
+                    best = row
+                    break
+                best = best or row
+            if not best:
+                continue
+            rest = [(a, best[5]), (best[6], z)]
+            if best[5] >= own:  # the next window has it whole
+                rest = rest[:1]
+            elif not best[-1] and best[2] == held[0] and best[5] < held[1]:
+                pass  # the rest of a notice that the window before has reported
+            else:
+                out.append(best)
+                if not best[-1]:
+                    continue
+            todo += [(x, y) for x, y in rest if y > x]
+        return out
+
 
 NAMES = ["doc_id", "block_start", "block_end", "template", "plain_size", "reduction", "notice_start", "notice_end", "n_missing", "n_extra", "confirmed"]
 TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 6, pa.bool_()]

@@ -177,6 +177,21 @@ def test_license_notices(spark):
     assert got[6][0][0] == "Apache-2.0-notice" and got.get(7, [("MIT", "")])[0][0] == "MIT"
 
 
+def test_license_notices_of_long_lists():
+    """Every notice of a list longer than a window is reported once and whole, as an exact search finds it."""
+    names = ["MIT", "Apache-2.0-notice", "GPL-3.0-notice", "MIT", "MIT-notice", "Apache-2.0", "BSD", "CC-BY-4.0", "GPL-2.0", "MPL-2.0"] * 3
+    for pad in (0, 3, 7, 40, 55, 71, 90):
+        text, want = "pad " * (pad % 5), []
+        for k, name in enumerate(names):
+            notice = license_scan.TEMPLATES[name]
+            words = license_scan.words_at(notice)
+            want.append((name, len(text) + words[0][1], len(text) + words[-1][2]))
+            text += notice + " " + " ".join(f"part{k}x{j}" for j in range(pad + k)) + "\n"
+        got = license_scan.Scanner(license_scan.TEMPLATES).scan(text)
+        assert sorted((r[5], r[6], r[2]) for r in got if r[-1]) == [(a, z, n) for n, a, z in want]
+        assert all(r[7] == r[8] == 0 for r in got if r[-1])
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
