@@ -13,13 +13,15 @@ class; classes are joined as follows.
   chunks of it; other nodes branch again.
 * TREES independent trees repeat this. A pair at the threshold is missed by one tree with
   probability 0.13 at depth one and 0.3 at depth three, by ten trees with 1e-9 and 6e-6.
-* A candidate must agree in 90 of the 128 values (a pair at the threshold fails with
-  probability 1e-5) and is then confirmed on its full shingle sets, made from the whole texts.
+* A candidate must agree in so many of the 128 values that a pair at the threshold fails with
+  probability 1e-5 (90 at 0.85, 82 at 0.80) and is then confirmed on its full shingle sets, made from the whole texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +35,20 @@ from .substring_dedup import A, B, finish
 WORDS = 5
 PERCENT = 85
 VALUES = 128
-AGREE = 90
 TREES = 10
 SMALL = 512
 CHUNK = 1024
 MAX_DEPTH = 60
 MULTIPLIERS = finish(np.arange(1, VALUES + 1, dtype=np.uint64) * A) | np.uint64(1)
-SECOND_BRANCH = 100 / PERCENT - 1
+
+
+@cache
+def least_agreement(percent: int) -> int:
+    """Of the VALUES, so many agree in a pair at the threshold but for one pair in 100,000."""
+    share, below, k = percent / 100, 0.0, 0
+    while (below := below + comb(VALUES, k) * share**k * (1 - share) ** (VALUES - k)) <= 1e-5:
+        k += 1
+    return k
 
 
 class WordHashes(dict):
@@ -92,12 +101,12 @@ def mixed(node: np.ndarray, salt: int) -> np.ndarray:
     return finish(node * A + np.uint64(salt))
 
 
-def branch(node: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def branch(node: np.ndarray, sketches: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(index, child node) of each document's children; node and sketches are aligned."""
     every = np.arange(len(node))
     first = (mixed(node, 1) % np.uint64(VALUES)).astype(np.int64)
     other = (first + 1 + (mixed(node, 2) % np.uint64(VALUES - 1)).astype(np.int64)) % VALUES
-    both = np.flatnonzero(mixed(node, 3) < np.uint64(int(SECOND_BRANCH * 2**64)))
+    both = np.flatnonzero(mixed(node, 3) < np.uint64(int((100 / percent - 1) * 2**64)))
     index = np.concatenate([every, both])
     place = np.concatenate([first, other[both]])
     child = finish((node[index] ^ (place.astype(np.uint64) + np.uint64(1)) * B) + sketches[index, place].astype(np.uint64) * A)
@@ -108,7 +117,7 @@ def sketch_rows(column: pa.Array, dtype: type = np.uint32) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, VALUES)
 
 
-def first_level(classes: DataFrame) -> DataFrame:
+def first_level(classes: DataFrame, percent: int) -> DataFrame:
     """node, rep: the children of the roots of all trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,17 +126,17 @@ def first_level(classes: DataFrame) -> DataFrame:
                 rep, sketches = batch.column("rep").to_numpy(), sketch_rows(batch.column("sketch"))
                 for tree in range(TREES):
                     root = finish(np.full(len(rep), tree + 1, np.uint64))
-                    index, child = branch(root, sketches)
+                    index, child = branch(root, sketches, percent)
                     yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), pa.array(rep[index])], names=["node", "rep"])
 
     return classes.select("rep", "sketch").mapInArrow(tidy(run), "node long, rep long")
 
 
-def next_level(members: DataFrame, classes: DataFrame) -> DataFrame:
+def next_level(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                index, child = branch(batch.column("node").to_numpy().astype(np.uint64), sketch_rows(batch.column("sketch")))
+                index, child = branch(batch.column("node").to_numpy().astype(np.uint64), sketch_rows(batch.column("sketch")), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), pa.array(batch.column("rep").to_numpy()[index])], names=["node", "rep"])
 
     return members.select("node", "rep").join(classes.select("rep", "sketch"), "rep").select("node", "rep", "sketch").mapInArrow(tidy(run), "node long, rep long")
@@ -150,23 +159,24 @@ def unsettled(members: DataFrame, components: DataFrame | None) -> DataFrame:
     return settle(known.join(nodes, "node"))
 
 
-def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow the threshold."""
+    agree = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                same = (sketch_rows(batch.column("sketch_a"), np.uint8) == sketch_rows(batch.column("sketch_b"), np.uint8)).sum(axis=1) >= AGREE
+                same = (sketch_rows(batch.column("sketch_a"), np.uint8) == sketch_rows(batch.column("sketch_b"), np.uint8)).sum(axis=1) >= agree
                 yield batch.select(["a", "b"]).filter(pa.array(same))
 
     one = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("small").alias("sketch_a"))
     two = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("small").alias("sketch_b"))
-    sized = pairs.join(one, "a").join(two, "b").where(F.expr(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"))
+    sized = pairs.join(one, "a").join(two, "b").where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
     return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(tidy(run), "a long, b long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= PERCENT * union of their full sets."""
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, held = WordHashes(), None, None
@@ -177,7 +187,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     last, held = a, shingle_set(text_a.as_py(), hashes)
                 other = shingle_set(text_b.as_py(), hashes)
                 common = len(held) + len(other) - len(np.union1d(held, other))
-                keep.append(100 * common >= PERCENT * (len(held) + len(other) - common))
+                keep.append(100 * common >= percent * (len(held) + len(other) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
@@ -190,11 +200,12 @@ def texts_for(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return settle(id_and_text(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
-def exhaustive(members: DataFrame, classes: DataFrame) -> DataFrame:
+def exhaustive(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a < b, of one node but of two components, whose sketches agree.
 
     The documents of a node's largest component are dealt over chunks; the others go to every chunk.
     """
+    agree = least_agreement(percent)
 
     def compare(node: list[tuple]) -> list[tuple[int, int]]:
         rep, component, outside = (np.array(c) for c in list(zip(*node, strict=True))[:3])
@@ -203,7 +214,7 @@ def exhaustive(members: DataFrame, classes: DataFrame) -> DataFrame:
         for k in np.flatnonzero(outside).tolist():
             other = (component != component[k]) & (~outside | (np.arange(len(node)) > k))
             at = np.flatnonzero(other)
-            at = at[(sketches[at] == sketches[k]).sum(axis=1) >= AGREE]
+            at = at[(sketches[at] == sketches[k]).sum(axis=1) >= agree]
             found += [(int(min(rep[k], rep[j])), int(max(rep[k], rep[j]))) for j in at.tolist()]
         return found
 
@@ -241,8 +252,8 @@ def apart(pairs: DataFrame, components: DataFrame | None) -> DataFrame:
 class Links:
     """Confirmed links so far, and the components that they make, worked out when next asked for."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame):
-        self.docs, self.classes = docs, classes
+    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int):
+        self.docs, self.classes, self.percent = docs, classes, percent
         self.links: DataFrame | None = None
         self.known: DataFrame | None = None
         self.more = False
@@ -254,14 +265,14 @@ class Links:
         return self.known
 
     def confirm(self, pairs: DataFrame, texts: DataFrame) -> None:
-        found = settle(confirmed(pairs, texts))
+        found = settle(confirmed(pairs, texts, self.percent))
         if not found.isEmpty():
             self.links = found if self.links is None else self.links.union(found)
             self.more = True
 
     def try_pairs(self, pairs: DataFrame, first: bool = False) -> None:
         """Confirm pairs. With first, one for each document goes before the others, of which those still between components follow."""
-        likely = settle(alike(pairs, self.classes))
+        likely = settle(alike(pairs, self.classes, self.percent))
         if likely.isEmpty():
             return
         texts = texts_for(likely, self.docs)
@@ -275,8 +286,8 @@ def stars(members: DataFrame) -> DataFrame:
     return members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row per row of docs.
+def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; one row per row of docs. Sets of a similarity of percent / 100 or more are linked.
 
     A text without words and a row without an id are linked with nothing and kept; the
     latter's component_id is null. Rows that share an id count as one document.
@@ -287,19 +298,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
         .groupBy("set_a", "set_b")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("small").alias("small"))
     )
-    found = Links(docs, classes)
-    members = unsettled(first_level(classes), None)
+    found = Links(docs, classes, percent)
+    members = unsettled(first_level(classes, percent), None)
     depth = 1
     found.try_pairs(stars(members), first=True)
     members = unsettled(members.select("node", "rep"), found.components)
     while not members.isEmpty():
         few = F.col("n") - F.col("main_n") <= SMALL
         compared = F.col("n") > (2 if depth == 1 else 1)  # a pair of the first level has met already
-        found.try_pairs(exhaustive(members.where(few | F.lit(depth >= MAX_DEPTH)).where(compared), classes))
+        found.try_pairs(exhaustive(members.where(few | F.lit(depth >= MAX_DEPTH)).where(compared), classes, percent))
         large = members.where(~few)
         if depth >= MAX_DEPTH or large.isEmpty():
             break
-        members = unsettled(next_level(large, classes), found.components)
+        members = unsettled(next_level(large, classes, percent), found.components)
         depth += 1
     groups = classes.select("set_a", "set_b", F.col("rep").alias("component"))
     if found.components is not None:
@@ -310,14 +321,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return labelled.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay, one of each group, with all their columns."""
-    gone = settle(near_groups(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct())
+    gone = settle(near_groups(docs, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct())
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def q_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(documents(spark, sf_dir))
+    return near_groups(documents(spark, sf_dir), PERCENT)
 
 
 #: Sets, sizes, all pairs that share a shingle, links, and the least document over links; feasible on small tables only.

@@ -25,3 +25,19 @@ def test_near_stage_leaves_one_of_each_group(spark):
     kept = near_dedup.drop_near_copies(docs)
     assert near_dedup.near_groups(kept).where("NOT kept").count() == 0
     assert toxicity.OrdinalModel({}, (50.0,)).at_least("x")[0] < 0.5
+
+
+def test_near_stage_links_from_four_fifths_on(spark):
+    rows, gone = [], set()
+    for k in range(30):
+        words = [f"b{k}w{j}" for j in range(120)]
+        changed = 10 + k % 5  # similarities 0.841, 0.827, 0.813, 0.798 and 0.785
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-changed] + [f"c{k}w{j}" for j in range(changed)]))]
+        a, b = ({tuple(t.split()[i : i + 5]) for i in range(116)} for _, t in rows[-2:])
+        if 100 * len(a & b) >= 80 * len(a | b):
+            gone.add(2 * k + 1)
+    assert len(gone) == 18
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF)
+    assert {r.doc_id for r in kept.collect()} == set(range(60)) - gone
+    assert near_dedup.drop_near_copies(docs).count() == 60
