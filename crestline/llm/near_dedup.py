@@ -11,8 +11,11 @@ class; classes are joined as follows.
   is done at any size, since only components are asked for. Where at most SMALL documents
   are outside the node's largest component, they are compared with all others of the node, in
   chunks of it; other nodes branch again.
-* TREES independent trees repeat this. A pair at the threshold is missed by one tree with
-  probability 0.13 at depth one and 0.3 at depth three, by ten trees with 1e-9 and 6e-6.
+* TREES independent trees repeat this. The deeper a node, the likelier that a pair has parted:
+  a pair at 0.85, whose values agree by chance more or less, is missed by ten trees with
+  probability 6e-9 at depth one, 5e-4 at five, 1e-2 at ten and 8e-2 at twenty. Documents of nodes that
+  branch where this is over MISS go through as many further trees as the depth reached needs
+  (18 in all at depth ten, 53 at twenty), and after MAX_DEPTH levels a node is compared whole.
 * A candidate must agree in so many of the 128 values that a pair at the threshold fails with
   probability 1e-5 (90 at 0.85, 82 at 0.80) and is then confirmed on its full shingle sets, made from the whole texts.
 """
@@ -20,7 +23,7 @@ class; classes are joined as follows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from math import comb
 
 import numpy as np
@@ -38,7 +41,8 @@ VALUES = 128
 TREES = 10
 SMALL = 512
 CHUNK = 1024
-MAX_DEPTH = 60
+MAX_DEPTH = 20
+MISS = 1e-3
 MULTIPLIERS = finish(np.arange(1, VALUES + 1, dtype=np.uint64) * A) | np.uint64(1)
 
 
@@ -51,6 +55,27 @@ def least_agreement(percent: int) -> int:
     return k
 
 
+def missed(depth: int, trees: int, percent: int) -> float:
+    """The probability that a pair at the threshold, with values enough in agreement, has parted before this depth in every tree."""
+    share, more, total = percent / 100, 100 / percent - 1, 0.0
+    for k in range(least_agreement(percent), VALUES + 1):
+        together = 1.0
+        for _ in range(depth):
+            once = together * k / VALUES
+            together = once * (1 + more) - more * once**2
+        total += comb(VALUES, k) * share**k * (1 - share) ** (VALUES - k) * (1 - together) ** trees
+    return total
+
+
+@cache
+def trees_for(depth: int, percent: int) -> int:
+    """TREES, or as many more as this depth needs."""
+    trees = TREES
+    while missed(depth, trees, percent) > MISS:
+        trees += 1
+    return trees
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a number of words."""
 
@@ -117,14 +142,14 @@ def sketch_rows(column: pa.Array, dtype: type = np.uint32) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, VALUES)
 
 
-def first_level(classes: DataFrame, percent: int) -> DataFrame:
-    """node, rep: the children of the roots of all trees."""
+def first_level(classes: DataFrame, percent: int, trees: range) -> DataFrame:
+    """node, rep: the children of the roots of these trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 rep, sketches = batch.column("rep").to_numpy(), sketch_rows(batch.column("sketch"))
-                for tree in range(TREES):
+                for tree in trees:
                     root = finish(np.full(len(rep), tree + 1, np.uint64))
                     index, child = branch(root, sketches, percent)
                     yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), pa.array(rep[index])], names=["node", "rep"])
@@ -203,17 +228,19 @@ def texts_for(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def exhaustive(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a < b, of one node but of two components, whose sketches agree.
 
-    The documents of a node's largest component are dealt over chunks; the others go to every chunk.
+    The documents of a node's largest component are dealt over chunks and so are the others, first in
+    number; each chunk of the others meets itself and every chunk behind it.
     """
     agree = least_agreement(percent)
 
     def compare(node: list[tuple]) -> list[tuple[int, int]]:
-        rep, component, outside = (np.array(c) for c in list(zip(*node, strict=True))[:3])
+        rep, component, chunk = (np.array(c) for c in list(zip(*node, strict=True))[:3])
         sketches = np.frombuffer(b"".join(r[3] for r in node), np.uint8).reshape(-1, VALUES)
         found = []
-        for k in np.flatnonzero(outside).tolist():
-            other = (component != component[k]) & (~outside | (np.arange(len(node)) > k))
-            at = np.flatnonzero(other)
+        first = chunk == chunk.min()
+        alone = first.all()
+        for k in np.flatnonzero(first).tolist():
+            at = np.flatnonzero((component != component[k]) & ((np.arange(len(node)) > k) if alone else ~first))
             at = at[(sketches[at] == sketches[k]).sum(axis=1) >= agree]
             found += [(int(min(rep[k], rep[j])), int(max(rep[k], rep[j]))) for j in at.tolist()]
         return found
@@ -221,23 +248,25 @@ def exhaustive(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, held, found = None, [], []
         for batch in batches:
-            for own, chunk, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (own, chunk) != node:
-                    if len(held) > 1:
+            for own, one, two, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (own, one, two) != node:
+                    if len(held) > 1 and (node[1] == node[2] or len({r[2] for r in held}) == 2):
                         found += compare(held)
-                    node, held = (own, chunk), []
+                    node, held = (own, one, two), []
                 held.append(row)
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
             found = []
-        if len(held) > 1:
+        if len(held) > 1 and (node[1] == node[2] or len({r[2] for r in held}) == 2):
             found = compare(held)
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     outside = F.col("component") != F.col("main")
-    chunks = F.ceil(F.col("main_n") / CHUNK)
-    dealt = members.select("node", "rep", "component", outside.alias("outside"), F.explode(F.when(outside, F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), chunks)))).alias("chunk"))
-    rows = dealt.join(classes.select("rep", "small"), "rep").select("node", "chunk", "rep", "component", "outside", "small")
-    return rows.repartition(partitions(members.sparkSession), "node", "chunk").sortWithinPartitions("node", "chunk").mapInArrow(tidy(run), "a long, b long").distinct()
+    others, mains = F.ceil((F.col("n") - F.col("main_n")) / CHUNK), F.ceil(F.col("main_n") / CHUNK)
+    hashed = F.xxhash64("rep")
+    dealt = members.select("node", "rep", "component", outside.alias("outside"), others.alias("others"), mains.alias("mains"), F.when(outside, F.pmod(hashed, others)).otherwise(others + F.pmod(hashed, mains)).alias("chunk"))
+    met = dealt.withColumn("other", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0).cast("long"), F.col("others") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("others") - 1))))
+    rows = met.join(classes.select("rep", "small"), "rep").select("node", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "rep", "component", "chunk", "small")
+    return rows.repartition(partitions(members.sparkSession), "node", "one", "two").sortWithinPartitions("node", "one", "two").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def apart(pairs: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -286,6 +315,26 @@ def stars(members: DataFrame) -> DataFrame:
     return members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
 
 
+def below(members: DataFrame, classes: DataFrame, found: Links, met: bool = False) -> tuple[int, list[DataFrame]]:
+    """Compare in or branch the nodes of the first level and all below. Returns the depth reached, and the documents (rep) of nodes that branched where TREES trees no longer do.
+
+    met: the pairs of first-level nodes of two documents have been compared.
+    """
+    depth, open_nodes = 1, []
+    while not members.isEmpty():
+        few = F.col("n") - F.col("main_n") <= SMALL
+        compared = F.col("n") > (2 if met and depth == 1 else 1)
+        found.try_pairs(exhaustive(members.where(few | F.lit(depth >= MAX_DEPTH)).where(compared), classes, found.percent))
+        large = members.where(~few)
+        if depth >= MAX_DEPTH or large.isEmpty():
+            break
+        if trees_for(depth + 1, found.percent) > TREES:
+            open_nodes.append(large.select("rep").distinct())
+        members = unsettled(next_level(large, classes, found.percent), found.components)
+        depth += 1
+    return depth, open_nodes
+
+
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of docs. Sets of a similarity of percent / 100 or more are linked.
 
@@ -299,19 +348,19 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("small").alias("small"))
     )
     found = Links(docs, classes, percent)
-    members = unsettled(first_level(classes, percent), None)
-    depth = 1
+    members = unsettled(first_level(classes, percent, range(TREES)), None)
     found.try_pairs(stars(members), first=True)
     members = unsettled(members.select("node", "rep"), found.components)
-    while not members.isEmpty():
-        few = F.col("n") - F.col("main_n") <= SMALL
-        compared = F.col("n") > (2 if depth == 1 else 1)  # a pair of the first level has met already
-        found.try_pairs(exhaustive(members.where(few | F.lit(depth >= MAX_DEPTH)).where(compared), classes, percent))
-        large = members.where(~few)
-        if depth >= MAX_DEPTH or large.isEmpty():
-            break
-        members = unsettled(next_level(large, classes, percent), found.components)
-        depth += 1
+    depth, open_nodes = below(members, classes, found, met=True)
+    done, trees = TREES, trees_for(depth, percent)
+    if trees > done:
+        open_reps = settle(reduce(DataFrame.union, open_nodes).distinct())
+        pending = settle(classes.join(open_reps, "rep", "left_semi"))
+        while trees > done:
+            members = unsettled(first_level(pending, percent, range(done, trees)), found.components)
+            reached, _ = below(members, pending, found)
+            depth, done = max(depth, reached), trees
+            trees = trees_for(depth, percent)
     groups = classes.select("set_a", "set_b", F.col("rep").alias("component"))
     if found.components is not None:
         groups = classes.join(found.components, F.col("rep") == F.col("id"), "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))

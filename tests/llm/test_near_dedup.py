@@ -2,6 +2,8 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+
 from crestline.llm import near_dedup as N
 
 
@@ -89,3 +91,46 @@ def test_empty_table_and_clashing_columns(spark):
     assert N.near_groups(docs.limit(0)).collect() == []
     kept = {r["doc_id"]: (r["component"], r["n_shingles"]) for r in N.drop_near_copies(docs).collect()}
     assert kept == {5: ("x", 1), 8: (None, None)}
+
+
+def test_deep_nodes_get_further_trees(spark, monkeypatch):
+    """Documents of one template at a similarity of 0.8, with pairs at the threshold among them, and a node that needs fifteen levels and more."""
+    monkeypatch.setattr(N, "SMALL", 4)
+    template = [f"t{i}" for i in range(404)]
+    texts = []
+    for k in range(60):
+        own = [f"o{k}x{j}" for j in range(50)]
+        texts.append(template + own)
+        texts.append(template + own[:14] + [f"p{k}x{j}" for j in range(36)])
+    for k in (0, 2):
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts[k : k + 2])
+        assert 85 <= 100 * len(a & b) / len(a | b) < 85.2
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    depths = []
+    monkeypatch.setattr(N, "next_level", lambda *a, f=N.next_level: depths.append(1) or f(*a))
+    got = sorted((tuple(r) for r in N.near_groups(spark.createDataFrame(rows, "doc_id long, text string").coalesce(3)).collect()), key=str)
+    assert got == brute(rows) and sum(g[3] for g in got) == 60
+    assert len(depths) >= 2 * 14
+
+
+def test_trees_follow_depth():
+    """Of 1,000 pairs at the threshold followed to depth fifteen, ten trees lose one in thirty or so; the trees for that depth at most a few."""
+    r = np.random.default_rng(1)
+    pairs, depth = 1000, 15
+    one = r.integers(0, 2**32, (pairs, N.VALUES), dtype=np.uint32)
+    two = np.where(r.random(one.shape) < 0.85, one, one + np.uint32(1))
+
+    def lost(trees: int) -> int:
+        met = set()
+        for tree in range(trees):
+            pair, node = np.arange(pairs), N.finish(np.full(pairs, tree + 1, np.uint64) + np.arange(pairs, dtype=np.uint64) * N.A)
+            for _ in range(depth):
+                index, child = N.branch(node, one[pair], 85)
+                _, other = N.branch(node, two[pair], 85)
+                both = child == other
+                pair, node = pair[index][both], child[both]
+            met |= set(pair.tolist())
+        return pairs - len(met)
+
+    assert lost(N.TREES) > 10
+    assert N.trees_for(3, 85) == N.TREES and lost(N.trees_for(depth, 85)) <= 5
