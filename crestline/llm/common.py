@@ -21,18 +21,33 @@ BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 END_OF_TEXT = "<|endoftext|>"
 
-_own_dirs: dict[str, str] = {}
+_scratch: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, one temporary folder for this application."""
+    """The folder in spark.checkpoint.dir, or the one set by setCheckpointDir. Where neither is, a local session gets a temporary folder; on a cluster that is an error, as executors would not share it."""
     context = spark.sparkContext
     if configured := context.getConf().get("spark.checkpoint.dir", None):
         return configured.rstrip("/")
-    if context.applicationId not in _own_dirs:
-        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="crestline-")
-        context.setCheckpointDir(_own_dirs[context.applicationId])
-    return _own_dirs[context.applicationId]
+    if (own := context._jsc.sc().getCheckpointDir()).isDefined():
+        return own.get().rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="crestline-"))
+    return shared_dir(spark)
+
+
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A new table name; drop_scratch drops the table."""
+    own = f"{name}_{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(own)
+    return own
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Drop this application's scratch tables; to be called when results that read them are written."""
+    for name in _scratch.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def settle(df: DataFrame) -> DataFrame:

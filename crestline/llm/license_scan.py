@@ -46,8 +46,8 @@ def words_at(text: str) -> list[tuple[str, int, int]]:
     return [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
 
 
-def regions(text: str) -> tuple[list[tuple[str, int, int]], list[list[int]]]:
-    """The words of a text with a cue, and (low, high) in words: REACH words to either side of each cue, joined where they meet."""
+def regions(text: str, reach: int = REACH) -> tuple[list[tuple[str, int, int]], list[list[int]]]:
+    """The words of a text with a cue, and (low, high) in words: reach words to either side of each cue, joined where they meet."""
     cues = [m.start() for m in CUE.finditer(text)]
     if not cues:
         return [], []
@@ -56,7 +56,7 @@ def regions(text: str) -> tuple[list[tuple[str, int, int]], list[list[int]]]:
     for cue in cues:
         while index + 1 < len(spans) and spans[index + 1][1] <= cue:
             index += 1
-        low, high = max(0, index - REACH), min(len(spans), index + REACH + 1)
+        low, high = max(0, index - reach), min(len(spans), index + reach + 1)
         if near and low <= near[-1][1]:
             near[-1][1] = high
         else:
@@ -67,13 +67,15 @@ def regions(text: str) -> tuple[list[tuple[str, int, int]], list[list[int]]]:
 class Scanner:
     def __init__(self, templates: dict[str, str], max_missing: float = 0.1, max_extra: float = 0.1):
         self.max_missing, self.max_extra = max_missing, max_extra
+        if cueless := [name for name, text in templates.items() if not CUE.search(text)]:
+            raise ValueError(f"templates without a licence cue are not looked for: {cueless}")
         self.alone = zstandard.ZstdCompressor(level=3)
         self.templates = [
             (name, [w for w, _, _ in words_at(text)], zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)))
             for name, text in templates.items()
         ]
         longest = max((len(words) for _, words, _ in self.templates), default=0)
-        self.overlap = max(REACH, int(longest * (1 + max_extra)) + 1)  # a confirmed notice is not longer
+        self.overlap = max(REACH, int(longest * (1 + max_extra)) + 1)  # a confirmed notice is not longer, so a cue in it has all of it within as many words
 
     def wording(self, words: list[str], found: list[tuple[str, int, int]]) -> tuple[int, int, list[str], list[str]] | None:
         """(first, last, missing, extra): the stretch of found that holds the template's words, and the differences."""
@@ -100,7 +102,7 @@ class Scanner:
         whose part before the overlap it starts; the next window starts behind it.
         """
         out = []
-        spans, near = regions(text)
+        spans, near = regions(text, self.overlap)
         starts = [i for _, i, _ in spans]
         for low, high in near:
             at, held = low, ("", 0)
@@ -164,8 +166,13 @@ SCHEMA = "doc_id long, block_start long, block_end long, template string, plain_
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """A row for each block with a cue that some template shrinks; places are in characters. Texts without a cue, empty and null ones give no rows."""
+    """A row for each block with a cue that some template shrinks; places are in characters. Texts without a cue, empty and null ones give no rows.
+
+    Repeated rows and rows without an id are read like all others; an empty table gives no rows. templates may be of any
+    length, as the words read around a cue follow the longest; each must hold a cue itself, else a ValueError says so.
+    """
     chosen = templates or TEMPLATES
+    Scanner(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(chosen)

@@ -28,7 +28,6 @@ Whole texts move once, to a table bucketed by class; of them only candidates' te
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import cache, reduce
 from math import comb
@@ -39,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, documents, id_and_text, partitions, per_text, settle, tidy
+from .common import connected_components, documents, id_and_text, partitions, per_text, scratch_table, settle, tidy
 from .substring_dedup import A, B, finish
 
 WORDS = 5
@@ -157,7 +156,7 @@ def class_table(docs: DataFrame, firsts: DataFrame) -> str:
                 types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["rep", "n_shingles", "sketch", "small", "text"])
 
-    spark, name = docs.sparkSession, f"near_classes_{uuid.uuid4().hex}"
+    spark, name = docs.sparkSession, scratch_table(docs.sparkSession, "near_classes")
     first = firsts.select("rep", "set_a", "set_b").hint("merge")
     met = first.join(id_and_text(docs), F.col("rep") == F.col("doc_id")).select("rep", "set_a", "set_b", "text")
     made = met.mapInArrow(tidy(run), "rep long, n_shingles long, sketch binary, small binary, text string")
@@ -236,7 +235,8 @@ def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 same = (sketch_rows(batch.column("sketch_a"), np.uint8) == sketch_rows(batch.column("sketch_b"), np.uint8)).sum(axis=1) >= agree
                 yield batch.select(["a", "b"]).filter(pa.array(same))
 
-    one = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("small").alias("sketch_a"))
+    heads = settle(classes.join(pairs.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi").select("rep", "n_shingles", "small"))  # from files, not buckets: a hot one can be split
+    one = heads.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("small").alias("sketch_a"))
     two = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("small").alias("sketch_b"))
     sized = pairs.join(two, "b").join(one, "a").where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
     return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(tidy(run), "a long, b long")
@@ -276,9 +276,8 @@ class Held:
         at = at[100 * least >= self.percent * most]
         if not len(at):
             return
-        place = np.searchsorted(self.every, s)
-        place = place[place < len(self.every)]
-        place = place[np.isin(self.every[place], s, assume_unique=True)]
+        place = np.minimum(np.searchsorted(self.every, s), len(self.every) - 1)
+        place = place[self.every[place] == s]
         self.mark[place] = True
         for k in at.tolist():
             if roots.find(self.components[k]) != roots.find(component):

@@ -1,4 +1,4 @@
-"""Removal of byte strings that also start in an earlier document, by distributed prefix doubling.
+"""Removal of byte strings that also start in an earlier document, by prefix doubling over sampled positions.
 
 A byte goes if some `match` bytes around it also start in a document with a smaller id.
 Positions are ranked by the bytes that follow them, at growing lengths, and a position
@@ -7,22 +7,23 @@ leaves as soon as its rank is unique or `match` is reached:
 1. rank of the first `seed` bytes. Only synchronising positions take part: in each window
    of `match` bytes the seed with the least hash speaks for the window, so equal windows
    pick equal seeds, and one position stands for a run of some fourteen windows.
-   Seeds that occur in one document only are unique and leave.
+   Spark deals seeds by their value; those that occur in one document only are unique and leave.
 2. rank of a run's whole text, among the runs that Spark brings together by seed. Of equal
-   runs, those outside the least document are decided; so is a run whose seed has no other
-   text around it. Where texts differ around a seed, the windows themselves are compared.
-3. A seed that many blocks hold is not brought together. Its runs are dealt by their text,
-   and the windows of those that stay get rank pairs (first half, second half at offset
-   `match` / 2), which Spark groups with map-side combining; the least document keeps its bytes.
-
-Texts travel in compressed blocks of whole documents; a seed is six bytes on its way, each
-seed once per block. Ranks are exact texts in step 2 and 128-bit hashes in step 3.
+   runs, those outside the least document are decided; a run whose seed has no other text left leaves.
+3. rank pairs of the windows of what is left: the rank of the first half at each position,
+   where unique ranks leave, then the pair of it and the rank at offset `match` / 2. The least
+   document of each pair keeps its bytes.
+4. A seed with HOT_RUNS runs or more is not brought together, whatever the size of the input. Its runs are
+   dealt by their text, and the rank pairs of step 3 are grouped by Spark with map-side combining.
+
+So a task sees a bounded number of runs of any one seed. Texts travel in compressed blocks of
+whole documents; a seed is six bytes on its way, each seed once per block. Ranks are exact texts
+in step 2 and 128-bit hashes in steps 3 and 4.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +32,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, id_and_text, partitions, settle, tidy
+from .common import documents, id_and_text, partitions, scratch_table, settle, tidy
 
 MATCH = 50
 SEED = 24
 BLOCK_BYTES = 4 << 20
-HOT_BLOCKS = 4096
+HOT_RUNS = 8192
+HELD_RUNS = 1 << 16
 CHUNK = 1 << 20
 PARTS_PER_PARTITION = 3
 
@@ -97,7 +100,7 @@ def chunk_runs(raw: np.ndarray, base: int, match: int, seed: int) -> tuple[np.nd
 
 def pack_table(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -126,8 +129,8 @@ def to_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield block()
 
-    name = f"text_blocks_{uuid.uuid4().hex}"
-    docs.mapInArrow(tidy(run), "block long, payload binary").write.bucketBy(partitions(docs.sparkSession), "block").format("parquet").saveAsTable(name)
+    name = scratch_table(docs.sparkSession, "text_blocks")
+    docs.mapInArrow(tidy(run), "block long, payload binary").write.option("compression", "uncompressed").bucketBy(partitions(docs.sparkSession), "block").format("parquet").saveAsTable(name)
     return docs.sparkSession.table(name)
 
 
@@ -142,11 +145,13 @@ def texts_of(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
             yield row, doc_id, raw
 
 
-def block_seeds(table: pa.Table, match: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(seeds, in_two): the block's distinct 48-bit seeds in order, and whether two of its documents hold one."""
-    own = [np.unique(seed_runs(np.frombuffer(raw, np.uint8), match, seed)[0] >> np.uint64(16)) for _, _, raw in texts_of(table)]
-    seeds, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_counts=True)
-    return seeds, times > 1
+def block_seeds(table: pa.Table, match: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seeds, in_two, runs): the block's distinct 48-bit seeds in order, whether two of its documents hold one, and the power of two below its number of runs."""
+    own = [np.unique(seed_runs(np.frombuffer(raw, np.uint8), match, seed)[0] >> np.uint64(16), return_counts=True) for _, _, raw in texts_of(table)]
+    every = np.concatenate([np.zeros(0, np.uint64), *(seeds for seeds, _ in own)])
+    seeds, which, times = np.unique(every, return_inverse=True, return_counts=True)
+    runs = np.bincount(which, np.concatenate([np.zeros(0, np.int64), *(n for _, n in own)]), len(seeds))
+    return seeds, times > 1, np.log2(np.maximum(runs, 1)).astype(np.uint8)
 
 
 def part_edges(seeds: np.ndarray, parts: int) -> np.ndarray:
@@ -166,42 +171,55 @@ def from_six(raw: bytes) -> np.ndarray:
 
 
 def unique_seeds_leave(blocks: DataFrame, match: int, seed: int) -> DataFrame:
-    """block, ranks: for each part of a block's seeds a code each: 0 unique, 1 in several documents, 2 in many blocks."""
+    """block, ranks: for each part of a block's seeds a code each: 0 unique, 1 in several documents, 2 of HOT_RUNS runs or more."""
     n = partitions(blocks.sparkSession)
     parts = PARTS_PER_PARTITION * n
+    names, types = ["block", "part", "seeds", "in_two", "runs"], (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-                seeds, in_two = block_seeds(open_block(payload.as_py()), match, seed)
+                seeds, in_two, runs = block_seeds(open_block(payload.as_py()), match, seed)
                 edges = part_edges(seeds, parts)
-                rows = [(p, six_bytes(seeds[a:b]), np.packbits(in_two[a:b]).tobytes()) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                rows = [
+                    (block, p, six_bytes(seeds[a:b]), np.packbits(in_two[a:b]).tobytes(), packer.compress(runs[a:b].tobytes())) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a
+                ]
                 if rows:
-                    part, six, bits = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows)), pa.array(part, pa.int32()), pa.array(six, pa.binary()), pa.array(bits, pa.binary())], names=["block", "part", "seeds", "in_two"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "seeds", "in_two")), strict=True)]
-        if not rows:
-            return
+    def rank_part(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        unpacker, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         every = [from_six(r[2]) for r in rows]
         sizes = [len(s) for s in every]
         flags = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=k) for r, k in zip(rows, sizes, strict=True)])
+        many = np.exp2(np.concatenate([np.frombuffer(unpacker.decompress(r[4]), np.uint8) for r in rows]), dtype=np.float32)
         joined = np.concatenate(every)
         order = np.argsort(joined, kind="stable")
         ordered = joined[order]
         first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         group = np.cumsum(first) - 1
-        times, in_two = np.bincount(group), np.bincount(group, flags[order])
-        code = np.where(times >= HOT_BLOCKS, 2, np.where((times > 1) | (in_two > 0), 1, 0)).astype(np.uint8)
+        times, in_two, runs = np.bincount(group), np.bincount(group, flags[order]), np.bincount(group, many[order])
+        code = np.where((times > 1) | (in_two > 0), np.where(runs >= HOT_RUNS, 2, 1), 0).astype(np.uint8)
         back = np.empty(len(joined), np.uint8)
         back[order] = code[group]
-        packer, ends = zstandard.ZstdCompressor(level=3), np.cumsum(sizes)
-        for (block, part, _, _), size, end in zip(rows, sizes, ends, strict=True):
-            packed = packer.compress(back[end - size : end].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names=["block", "part", "codes"])
+        ends = np.cumsum(sizes)
+        packed = [packer.compress(back[end - size : end].tobytes()) for size, end in zip(sizes, ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array(packed, pa.binary())], names=["block", "part", "codes"])
 
-    sent = blocks.mapInArrow(tidy(send), "block long, part int, seeds binary, in_two binary").repartition(n, "part")
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if row[1] != part and held:
+                    yield from rank_part(held)
+                    held = []
+                part = row[1]
+                held.append(row)
+        if held:
+            yield from rank_part(held)
+
+    sent = blocks.mapInArrow(tidy(send), "block long, part int, seeds binary, in_two binary, runs binary").repartition(n, "part").sortWithinPartitions("part")
     ranked = sent.mapInArrow(tidy(rank), "block long, part int, codes binary")
     return ranked.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "codes"))).alias("ranks"))
 
@@ -228,11 +246,25 @@ def unpack_spans(packed: bytes) -> np.ndarray:
 
 
 def open_runs(blocks: DataFrame, ranks: DataFrame, match: int, seed: int) -> DataFrame:
-    """block, part, decided, payload: the runs whose seed is not unique, dealt by seed (by their text, if the seed is in many blocks).
+    """block, part, decided, payload: the runs whose seed is not unique, dealt by seed (by their text, if the seed is hot).
 
-    Of equal runs in one block only the least document's go on; the others are decided here.
+    Of equal runs among HELD_RUNS of one block only the least document's go on; the others are decided here.
     """
     parts = PARTS_PER_PARTITION * partitions(blocks.sparkSession)
+    types = (pa.int32(), pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int8(), pa.binary())
+
+    def sent(block: int, held: list[tuple], least: dict[bytes, int]) -> pa.RecordBatch:
+        gone = [(r[3], r[4], r[5]) for r in held if r[2] > least[r[7]]]
+        left = [r for r in held if r[2] == least[r[7]]]
+        rows = [(block, block % parts, True, pack_spans(gone))] if gone else []
+        if left:
+            columns = list(zip(*left, strict=True))
+            order = np.argsort(np.array(columns[0]), kind="stable")
+            table = pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "kind", "doc_id", "row", "start", "stop", "rel", "text"]).take(order)
+            part = table.column("part").to_numpy()
+            edges = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(part)]
+            rows += [(block, int(part[i]), False, pack_table(table.slice(i, j - i).drop(["part"]))) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["block", "part", "decided", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
@@ -246,53 +278,57 @@ def open_runs(blocks: DataFrame, ranks: DataFrame, match: int, seed: int) -> Dat
                 for row, doc_id, raw, (hashes, first, last, at) in per_doc:
                     short = hashes >> np.uint64(16)
                     own = code[np.searchsorted(seeds, short)]
-                    keep = np.flatnonzero(own)
-                    dealt = ((short[keep] >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)
-                    columns = (dealt.astype(np.int64), own[keep], first[keep], last[keep] + match, at[keep] - first[keep])
-                    for part, kind, a, z, rel in zip(*(c.tolist() for c in columns), strict=True):
-                        text = raw[a:z]
-                        if doc_id < least.setdefault(text, doc_id):
-                            least[text] = doc_id
-                        if kind == 2:
-                            part = int.from_bytes(hashlib.blake2b(text, digest_size=6).digest(), "little") % parts
-                        held.append((part, kind, doc_id, row, a, z, rel, text))
-                gone = [(r[3], r[4], r[5]) for r in held if r[2] > least[r[7]]]
-                left = [r for r in held if r[2] == least[r[7]]]
-                rows = [(block, block % parts, True, pack_spans(gone))] if gone else []
-                if left:
-                    columns = list(zip(*left, strict=True))
-                    order = np.argsort(np.array(columns[0]), kind="stable")
-                    types = (pa.int32(), pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int8(), pa.binary())
-                    table = pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "kind", "doc_id", "row", "start", "stop", "rel", "text"]).take(order)
-                    part = table.column("part").to_numpy()
-                    edges = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(part)]
-                    rows += [(block, int(part[i]), False, pack_table(table.slice(i, j - i).drop(["part"]))) for i, j in zip(edges[:-1], edges[1:], strict=True)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["block", "part", "decided", "payload"])
+                    every = np.flatnonzero(own)
+                    for begin in range(0, len(every), HELD_RUNS):
+                        keep = every[begin : begin + HELD_RUNS]
+                        if len(held) + len(keep) > HELD_RUNS and held:
+                            yield sent(block, held, least)
+                            least, held = {}, []
+                        dealt = ((short[keep] >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)
+                        columns = (dealt.astype(np.int64), own[keep], first[keep], last[keep] + match, at[keep] - first[keep])
+                        for part, kind, a, z, rel in zip(*(c.tolist() for c in columns), strict=True):
+                            text = raw[a:z]
+                            if doc_id < least.setdefault(text, doc_id):
+                                least[text] = doc_id
+                            if kind == 2:
+                                part = int.from_bytes(hashlib.blake2b(text, digest_size=6).digest(), "little") % parts
+                            held.append((part, kind, doc_id, row, a, z, rel, text))
+                if held:
+                    yield sent(block, held, least)
 
     return blocks.join(ranks.hint("merge"), "block").select("block", "payload", "ranks").mapInArrow(tidy(run), "block long, part int, decided boolean, payload binary")
 
 
-def hot_windows(left: list[tuple], match: int) -> pa.RecordBatch:
-    """The rank pair of every window of left: (block, doc_id, row, start, text); the texts are hashed as one string."""
-    half = match // 2
-    sizes = np.array([len(r[4]) for r in left])
-    raw = np.frombuffer(b"".join(r[4] for r in left), np.uint8)
+def windows_of(texts: list[bytes], match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start within it, rank of the first half, rank of the second half) of every window; the texts are hashed as one string."""
+    half, sizes = match // 2, np.array([len(t) for t in texts])
+    raw = np.frombuffer(b"".join(texts), np.uint8)
     head, tail = string_hashes(raw, half, 1), string_hashes(raw, match - half, 2)
     many = sizes - match + 1
-    which = np.repeat(np.arange(len(left)), many)
+    which = np.repeat(np.arange(len(texts)), many)
     within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     at = np.repeat(np.cumsum(sizes) - sizes, many) + within
+    return which, within, head[at], tail[at + half]
+
+
+def hot_windows(left: list[tuple], match: int) -> pa.RecordBatch:
+    """The rank pair of every window of left: (block, doc_id, row, start, text)."""
+    which, within, head, tail = windows_of([r[4] for r in left], match)
     block, doc_id, row, start = (np.array(c, np.int64)[which] for c in list(zip(*left, strict=True))[:4])
-    columns = [block, None, head[at].astype(np.int64), tail[at + half].astype(np.int64), doc_id, row, start + within]
-    return pa.RecordBatch.from_arrays([pa.nulls(len(at), t) if c is None else pa.array(c).cast(t) for c, t in zip(columns, OUT_TYPES, strict=True)], names=OUT_NAMES)
+    columns = [block, None, head.astype(np.int64), tail.astype(np.int64), doc_id, row, start + within]
+    return pa.RecordBatch.from_arrays([pa.nulls(len(which), t) if c is None else pa.array(c).cast(t) for c, t in zip(columns, OUT_TYPES, strict=True)], names=OUT_NAMES)
+
+
+def several(ranks: np.ndarray) -> np.ndarray:
+    """Where a rank is not unique."""
+    _, which, times = np.unique(ranks, return_inverse=True, return_counts=True)
+    return times[which] > 1
 
 
 def decide_part(rows: pa.Table, match: int, seed: int) -> tuple[dict[int, list], list[tuple]]:
     """(spans by block, hot runs left to window ranks) of one part's runs.
 
-    All runs of a seed are here, so their windows are compared as they are; the runs of a
-    seed that is in many blocks meet their equals only.
+    All runs of a seed are here, so its windows are ranked here; the runs of a hot seed meet their equals only.
     """
     block, kind, doc_id, row, start, stop, rel = (rows.column(c).to_numpy() for c in ("block", "kind", "doc_id", "row", "start", "stop", "rel"))
     texts = rows.column("text").to_pylist()
@@ -305,35 +341,25 @@ def decide_part(rows: pa.Table, match: int, seed: int) -> tuple[dict[int, list],
     for k in np.flatnonzero(~first).tolist():
         spans.setdefault(int(block[k]), []).append((int(row[k]), int(start[k]), int(stop[k])))
     hot = [(int(block[k]), int(doc_id[k]), int(row[k]), int(start[k]), texts[k]) for k in np.flatnonzero(first & (kind == 2)).tolist()]
-    by_seed: dict[bytes, list[int]] = {}
-    alone: dict[bytes, int] = {}
-    for k in np.flatnonzero(first & (kind == 1)).tolist():
-        key = texts[k][rel[k] : rel[k] + seed]
-        other = alone.setdefault(key, k)
-        if other != k:
-            by_seed.setdefault(key, [other]).append(k)
-    for near in by_seed.values():
-        runs = {texts[k] for k in near}
-        if len(runs) == 1:
-            continue
-        windows: dict[bytes, int] = {}
-        for text in runs:
-            of = least[text]
-            for j in range(len(text) - match + 1):
-                window = text[j : j + match]
-                if of < windows.setdefault(window, of):
-                    windows[window] = of
-        for k in near:
-            text, own, end = texts[k], least[texts[k]], None
-            for j in range(len(text) - match + 1):
-                if windows[text[j : j + match]] < own:
-                    begin = j if end is None else begin
-                    end = j + match
-                elif end is not None:
-                    spans.setdefault(int(block[k]), []).append((int(row[k]), int(start[k]) + begin, int(start[k]) + end))
-                    end = None
-            if end is not None:
-                spans.setdefault(int(block[k]), []).append((int(row[k]), int(start[k]) + begin, int(start[k]) + end))
+    left = np.flatnonzero(first & (kind == 1))
+    if len(left):
+        seeds = np.array([hash(texts[k][r : r + seed]) for k, r in zip(left.tolist(), rel[left].tolist(), strict=True)])
+        left = left[several(seeds)]
+    if len(left):
+        which, within, head, tail = windows_of([texts[k] for k in left.tolist()], match)
+        on = np.flatnonzero(several(head))  # at half the length unique ranks leave
+        on = on[np.lexsort((tail[on], head[on]))]
+        if len(on):
+            edge = np.concatenate([[True], (head[on][1:] != head[on][:-1]) | (tail[on][1:] != tail[on][:-1])])
+            owners = doc_id[left[which[on]]]
+            late = np.sort(on[owners > np.minimum.reduceat(owners, np.flatnonzero(edge))[np.cumsum(edge) - 1]])
+            if len(late):
+                begins = np.concatenate([[True], (which[late][1:] != which[late][:-1]) | (within[late][1:] != within[late][:-1] + 1)])
+                ends = late[np.append(np.flatnonzero(begins)[1:] - 1, len(late) - 1)]
+                k = left[which[ends]]
+                columns = (block[k], row[k], start[k] + within[late[begins]], start[k] + within[ends] + match)
+                for own, *span in zip(*(c.tolist() for c in columns), strict=True):
+                    spans.setdefault(own, []).append(tuple(span))
     return spans, hot
 
 
@@ -375,7 +401,8 @@ def removed_spans(decided: DataFrame, match: int) -> DataFrame:
     """block, packed (a list of packed spans), late (a list of window starts): bytes to remove; spans may overlap."""
     windows = decided.where("spans IS NULL")
     pair = ["first_half", "second_half"]
-    least = windows.groupBy(*pair).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    ranked = windows.groupBy(*pair).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    least = settle(ranked)  # both sides of the join then come from files, so that a frequent pair can be split
     late = windows.join(least, pair).where("doc_id > least").select("block", F.lit(None).cast("binary").alias("spans"), "row", "start")
     both = decided.where("spans IS NOT NULL").select("block", "spans", F.lit(None).cast("int").alias("row"), F.lit(None).cast("long").alias("start")).union(late)
     window = F.when(F.col("row").isNotNull(), F.struct(F.col("row").cast("long").alias("row"), F.col("start"), (F.col("start") + match).alias("stop")))
@@ -383,16 +410,16 @@ def removed_spans(decided: DataFrame, match: int) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFrame:
-    """The rows of docs, all columns, with kept_bytes (binary), n_bytes, n_removed and n_spans.
+    """doc (a struct of all columns of the row, as they were), kept_bytes (binary), n_bytes, n_removed and n_spans, for each row of docs.
 
-    docs has doc_id (long) and text (string). A null text has no bytes. A row without an id
-    removes nothing and keeps everything; rows with the same id do not remove from each other.
-    The text column is left as it was.
+    docs has doc_id (long) and text (string) and any other columns. A null text has no bytes. A row
+    without an id removes nothing and keeps everything; rows with the same id, repeated rows too,
+    do not remove from each other. An empty table gives an empty one. The texts' blocks stay in a
+    scratch table until common.drop_scratch.
     """
     blocks = to_blocks(docs)
     decided = decide_runs(open_runs(blocks, unique_seeds_leave(blocks, match, seed), match, seed), match, seed)
     gone = removed_spans(decided, match)
-    names = [f.name for f in docs.schema.fields]
     added = ["kept_bytes", "n_bytes", "n_removed", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,10 +453,10 @@ def cut_repeats(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFr
                 step = 256
                 for at in range(0, table.num_rows, step):
                     part = table.slice(at, step)
-                    columns = [part.column(n).combine_chunks() for n in names]
-                    yield pa.RecordBatch.from_arrays([*columns, *(c.slice(at, step) for c in more)], names=[*names, *added])
+                    doc = pa.StructArray.from_arrays([c.combine_chunks() for c in part.columns], fields=list(part.schema))
+                    yield pa.RecordBatch.from_arrays([doc, *(c.slice(at, step) for c in more)], names=["doc", *added])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "kept_bytes binary, n_bytes long, n_removed long, n_spans long"])
+    schema = T.StructType([T.StructField("doc", docs.schema), T.StructField(added[0], T.BinaryType()), *(T.StructField(n, T.LongType()) for n in added[1:])])
     return blocks.join(gone.hint("merge"), "block", "left").select("payload", "packed", "late").mapInArrow(tidy(run), schema)
 
 
@@ -445,7 +472,7 @@ def whole_characters(kept: Column) -> Column:
 
 def substring_dedup(docs: DataFrame, match: int = MATCH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
-    return cut_repeats(id_and_text(docs), match).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    return cut_repeats(id_and_text(docs), match).select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
 def q_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, n_features:
 
 
 def sample_words(docs: DataFrame, labels: DataFrame, grade_col: str, max_labelled: int) -> DataFrame:
-    """doc_id, grade, words of at most max_labelled labelled documents: those whose ids hash lowest."""
+    """doc_id, grade, words of at most max_labelled labelled documents: those whose ids hash lowest. Of an id's labels the highest counts, of its texts the one whose list of words is least."""
     wanted = (
         labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(grade_col).cast("int").alias("grade"))
         .where("label_id IS NOT NULL AND grade IS NOT NULL")
@@ -103,7 +103,8 @@ def sample_words(docs: DataFrame, labels: DataFrame, grade_col: str, max_labelle
                 words = [sorted(words_of(t)) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "grade", "words"])
 
-    return rows.select("doc_id", "text", "grade").mapInArrow(tidy(run), "doc_id long, grade int, words array<string>")
+    found = rows.select("doc_id", "text", "grade").mapInArrow(tidy(run), "doc_id long, grade int, words array<string>")
+    return found.groupBy("doc_id").agg(F.max("grade").alias("grade"), F.min("words").alias("words"))
 
 
 def choose_features(sample: DataFrame, max_features: int) -> list[str]:
@@ -150,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "grade", max_labell
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """doc_id, severity (expected grade), p_toxic (P(grade >= 1)), grade (the likeliest), kept (p_toxic under REJECT_AT).
 
-    One row per row of docs. A text without known words, a null one too, gets the model's base rate.
+    One row per row of docs, repeated rows and those without an id too; none for an empty table. A text
+    without known words, a null one too, gets the model's base rate.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +167,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns; no shuffle."""
+    """The rows of docs that are not rejected, with all their columns; no shuffle. Each row, repeated or without an id, is judged by its text alone; an empty table stays one."""
 
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:

@@ -96,6 +96,7 @@ def test_empty_table_and_clashing_columns(spark):
 def test_deep_nodes_get_further_trees(spark, monkeypatch):
     """Documents of one template at a similarity of 0.8, with pairs at the threshold among them, and a node that needs fifteen levels and more."""
     monkeypatch.setattr(N, "SMALL", 4)
+    monkeypatch.setattr(N, "partitions", lambda spark: 1)
     template = [f"t{i}" for i in range(404)]
     texts = []
     for k in range(60):
@@ -113,6 +114,17 @@ def test_deep_nodes_get_further_trees(spark, monkeypatch):
     assert len(depths) >= 2 * 14
 
 
+def test_links_of_held_documents_equal_brute_force():
+    """The pairs that join two components are those of full sets at the threshold, for shingles before, between and behind those held."""
+    r = random.Random(3)
+    sketch = np.zeros(N.VALUES, np.uint8)
+    for _ in range(300):
+        sets = [np.array(sorted(r.sample(range(60), r.randint(1, 40))), np.uint64) for _ in range(6)]
+        held = N.Held([(i, i, s, sketch) for i, s in enumerate(sets[:5])], 50)
+        got = {a for a, _ in held.links(9, 9, sets[5], sketch, N.Roots(), 5)}
+        assert got == {i for i, s in enumerate(sets[:5]) if 2 * len({*s} & {*sets[5]}) >= len({*s} | {*sets[5]})}
+
+
 def test_trees_follow_depth():
     """Of 1,000 pairs at the threshold followed to depth fifteen, ten trees lose one in thirty or so; the trees for that depth at most a few."""
     r = np.random.default_rng(1)

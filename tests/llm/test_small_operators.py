@@ -41,6 +41,32 @@ def test_exact_dedup_equals_brute_force_and_remembers(spark):
     assert exact_dedup.exact_dedup(docs.limit(0)).collect() == []
 
 
+def test_digest_index_reopened_elsewhere_knows_its_rows(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)] + [(None, "no id")], "doc_id long, text string")
+    made = exact_dedup.DigestIndex(spark, path=f"file://{tmp_path}/index", buckets=8)
+    assert made.add(docs, batch="one").where("kept").count() == 201
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        index = exact_dedup.DigestIndex(spark, path=f"file://{tmp_path}/index")
+        assert index.buckets == 8
+        assert index.add(docs, batch="two").where("kept").count() == 0 and index.table().count() == 201  # the row without an id is known too
+        assert index.add(docs, batch="one").where("kept").count() == 201 and index.table().count() == 201  # a batch tried again
+        index.compact()
+        again = exact_dedup.DigestIndex(spark, path=f"file://{tmp_path}/index")
+        assert again.table().count() == 201 and again.add(docs).where("kept").count() == 0
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, path=f"file://{tmp_path}/index", buckets=5)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_exact_copies_with_any_column_names(spark):
+    docs = spark.createDataFrame([(2, "a", 7, "x", "p"), (1, "a", 8, "y", "q"), (1, "a", 8, "y", "q"), (3, None, None, None, None)], "doc_id long, text string, __id int, __digest string, row_id string")
+    got = sorted(tuple(r) for r in exact_dedup.drop_exact_copies(docs).collect())
+    assert got == [(1, "a", 8, "y", "q"), (3, None, None, None, None)]
+
+
 def ids_of(text):
     return Tokenizer.from_file(BPE_JSON).encode(text or "", add_special_tokens=False).ids
 
@@ -104,6 +130,23 @@ def test_best_fit_takes_the_fullest_that_has_room():
     assert token_output.best_fit_decreasing([6, 5, 4, 3, 2], 10) == [(0, 0), (1, 0), (0, 6), (1, 5), (1, 8)]
 
 
+def test_best_fit_equals_a_plain_scan():
+    """Each length goes to the open sequence with the least room that suffices, found by looking at all of them."""
+    r = random.Random(8)
+    for _ in range(200):
+        lengths = sorted((r.randint(1, 40) for _ in range(r.randint(1, 60))), reverse=True)
+        rooms: list[int] = []
+        for (place, offset), n in zip(token_output.best_fit_decreasing(lengths, 40), lengths, strict=True):
+            fits = [room for room in rooms if room >= n]
+            if place == len(rooms):
+                assert not fits
+                rooms.append(40)
+            else:
+                assert rooms[place] == min(fits)
+            assert offset == 40 - rooms[place]
+            rooms[place] -= n
+
+
 def test_token_counts_equal_brute_force(spark):
     docs = table(spark, ODD)
     lengths = [len(ids_of(r.text)) for r in docs.collect()]
@@ -152,6 +195,16 @@ def test_pieces_equal_the_sentencepiece_library(spark):
     assert all(back[i] == (t or "") for i, t in enumerate(ODD))
 
 
+def test_pieces_equal_the_library_on_a_whole_table(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=spiece.MODEL)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    got = {r.doc_id: r.ids for r in spiece.encode(docs).collect()}
+    assert got == {k: library.encode(t) for k, t in texts.items()}
+
+
 def test_unigram_scores_are_the_best_possible():
     model = spiece.PieceModel(kind="unigram")
 
@@ -168,13 +221,44 @@ def test_unigram_scores_are_the_best_possible():
 
 def test_license_notices(spark):
     notice = "Licensed under the Apache License, Version 2.0."
-    texts = ["some words\n" + notice, "This work is licensed under the GNU General Public License, version 3.", "This work is licensed under the GNU General Public License, version 4.", "we license nothing here", "", None, "pad " * 3000 + notice + " pad" * 3000, license_scan.TEMPLATES["MIT"].replace("free of charge", "at no charge")]
+    texts = ["some words\n" + notice, "This work is licensed under the GNU General Public License, version 3.", "This work is licensed under the GNU General Public License, version 4.", "we license nothing here", "", None, "pad " * 3000 + notice + " pad" * 3000, license_scan.TEMPLATES["MIT"].replace("free of charge", "free of any charge")]
+    texts.append(license_scan.TEMPLATES["MIT"].replace("free of charge", "at no charge"))
     got = {}
     for r in license_scan.license_scan(table(spark, texts)).collect():
         if r.confirmed and r.doc_id is not None:
             got.setdefault(r.doc_id, []).append((r.template, texts[r.doc_id][r.notice_start : r.notice_end]))
     assert got[0] == [("Apache-2.0-notice", notice[:-1])] and got[1][0][0] == "GPL-3.0-notice" and 2 not in got and 3 not in got
-    assert got[6][0][0] == "Apache-2.0-notice" and got.get(7, [("MIT", "")])[0][0] == "MIT"
+    assert got[6][0][0] == "Apache-2.0-notice" and got[7][0][0] == "MIT" and 8 not in got
+
+
+def exact_notices(text, templates):
+    """(template, start, end) of every exact run of a template's words; those inside a longer one do not count."""
+    spans = license_scan.words_at(text)
+    words = [w for w, _, _ in spans]
+    found = []
+    for name, notice in templates.items():
+        own = [w for w, _, _ in license_scan.words_at(notice)]
+        found += [(name, spans[i][1], spans[i + len(own) - 1][2]) for i in range(len(words) - len(own) + 1) if words[i : i + len(own)] == own]
+    return {x for x in found if not any(y != x and y[1] <= x[1] and x[2] <= y[2] for y in found)}
+
+
+def test_license_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    want = {(d, *x) for d, t in texts.items() for x in exact_notices(t, license_scan.TEMPLATES)}
+    rows = license_scan.q_license_scan(spark, sf).where("confirmed AND n_missing = 0 AND n_extra = 0").collect()
+    assert {(r.doc_id, r.template, r.notice_start, r.notice_end) for r in rows} == want and len(want) > 10
+
+
+def test_license_templates_of_any_length(spark):
+    r = random.Random(6)
+    templates = {f"own-{n}": "This licence grants " + " ".join(f"w{r.randrange(500)}" for _ in range(n)) for n in (5, 300, 900)}
+    texts = [" ".join(["pad"] * n + [t] + ["end"] * n) for n in (0, 50, 2000) for t in templates.values()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(x.doc_id, x.template) for x in license_scan.license_scan(docs, templates).where("confirmed").collect()}
+    assert got == {(i, list(templates)[i % 3]) for i in range(9)}
+    with pytest.raises(ValueError):
+        license_scan.license_scan(docs, {"none": "all words are free"})
 
 
 def test_license_notices_of_long_lists():
@@ -202,10 +286,45 @@ def test_toxicity_on_held_out_labels(spark):
     assert n[1, False] / (n[1, False] + n.get((1, True), 0)) > 0.85 and n.get((0, False), 0) / n[0, True] < 0.01
     odd = table(spark, ODD)
     assert toxicity.score(odd, model).count() == odd.count() == toxicity.keep_clean(odd, model).count()
+    many = spark.createDataFrame([(1, "foul words here")] * 50 + [(2, "kind words here")] * 50, "doc_id long, text string")
+    assert toxicity.sample_words(many, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), "toxic", 2).count() == 2
     nothing = toxicity.fit(docs, labels.where("toxic = 0"), "toxic")
     assert nothing.weights == {} and toxicity.score(odd, nothing).where("NOT kept").count() == 0
 
 
+def test_scores_equal_the_formula(spark):
+    """severity and grades of every text, worked out word by word from the weights."""
+    model = toxicity.OrdinalModel({"foul": 2.0, "vile": 1.5, "kind": -1.0}, (1.0, 3.0))
+    texts = [*ODD, "Foul, vile FOUL!", "kind and foul", "vile", "foul vile kind words " * 500]
+    for x in toxicity.score(table(spark, texts), model).where("doc_id IS NOT NULL").collect():
+        words = set(re.findall(r"\w+", (texts[x.doc_id] or "").lower()))
+        z = sum(v for k, v in model.weights.items() if k in words)
+        p = [1.0, *(1 / (1 + np.exp(t - z)) for t in model.thresholds), 0.0]
+        assert x.severity == pytest.approx(p[1] + p[2]) and x.p_toxic == pytest.approx(p[1])
+        assert x.grade == int(np.argmax([p[k] - p[k + 1] for k in range(3)])) and x.kept == (p[1] < 0.5)
+
+
+def test_cumulative_link_equals_a_search_of_the_likelihood():
+    """No small step in any weight or threshold makes the fitted penalised likelihood better."""
+    rng = np.random.default_rng(3)
+    rows = [np.flatnonzero(rng.random(2) < 0.5) for _ in range(300)]
+    grades = np.array([min(2, len(r)) if rng.random() < 0.8 else int(rng.integers(3)) for r in rows])
+    weights, thresholds = toxicity.fit_cumulative_link(rows, grades, 2)
+
+    def worth(w, t):
+        z = np.array([w[r].sum() for r in rows])
+        reach = np.column_stack([np.ones(len(z)), *(1 / (1 + np.exp(c - z)) for c in t), np.zeros(len(z))])
+        own = reach[np.arange(len(z)), grades] - reach[np.arange(len(z)), grades + 1]
+        return np.log(own).mean() - 0.002 / len(z) * (w**2).sum()
+
+    best = worth(weights, thresholds)
+    for k in range(4):
+        for step in (0.05, -0.05):
+            w, t = weights.copy(), thresholds.copy()
+            (w if k < 2 else t)[k % 2] += step
+            assert worth(w, t) < best + 1e-6
+
+
 def test_cumulative_link_recovers_order():
     rng = np.random.default_rng(0)
     rows = [np.flatnonzero(rng.random(3) < 0.5) for _ in range(800)]

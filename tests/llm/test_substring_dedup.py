@@ -43,11 +43,12 @@ def corpus(seed: int) -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize("hot", [64, 2])
+@pytest.mark.parametrize("hot", [100_000, 8])
 def test_equals_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(S, "HOT_BLOCKS", hot)
+    monkeypatch.setattr(S, "HOT_RUNS", hot)
     monkeypatch.setattr(S, "BLOCK_BYTES", 2_000)
     monkeypatch.setattr(S, "CHUNK", 256)
+    monkeypatch.setattr(S, "HELD_RUNS", 50)
     rows = corpus(hot)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     monkeypatch.setattr(S.to_blocks, "__defaults__", (2_000,))
@@ -56,9 +57,9 @@ def test_equals_brute_force(spark, monkeypatch, hot):
 
 
 def test_keeps_all_columns_and_takes_an_empty_table(spark):
-    rows = [(1, "a" * 60, "x", 3), (2, "a" * 60, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, block string, start int")
-    got = {r["doc_id"]: r for r in S.cut_repeats(docs).collect()}
+    rows = [(1, "a" * 60, "x", 3, None), (2, "a" * 60, None, None, b"k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block string, n_removed int, kept_bytes binary")
+    got = {r["doc"]["doc_id"]: r for r in S.cut_repeats(docs).collect()}
     assert got[1]["kept_bytes"] == b"a" * 60 and got[2]["kept_bytes"] == b"" and got[2]["n_removed"] == 60
-    assert got[1]["block"] == "x" and got[1]["start"] == 3 and got[2]["block"] is None
+    assert [tuple(got[k]["doc"]) for k in (1, 2)] == rows
     assert S.substring_dedup(docs.limit(0)).collect() == []
