@@ -19,7 +19,6 @@ SURFACE_SPEED = {
     "open-terrain": {"hiker": 0.58, "runner": 0.44, "mtb": 0.3},
 }
 FLAVORS = ("balanced", "direct", "mapped")
-FLAVOR_LABELS = {"balanced": "Balanced", "direct": "Most direct", "mapped": "Stay on trails"}
 CRITICAL_GRADE = 1 / 3.5
 GRADE_LIMITS = {"hiker": (5.0, 60.0), "runner": (5.0, 45.0), "mtb": (5.0, 25.0)}
 FLAT = math.exp(-3.5 * 0.05)
@@ -63,6 +62,11 @@ def profile_allowed(steepest: Column, percent: Column, water_risk: Column, avoid
     return (steepest <= max_grade(percent) + 0.005) & ~(avoid_water & (water_risk > 0.55) & ~bridge_or_tunnel)
 
 
+def edge_allowed(profile: Column, surface: Column, is_street: Column, walkway: Column, allow_street: Column, crosses_street: Column, allow_crossing: Column, near_crossing: Column) -> Column:
+    """A street needs a walkway or leave to walk on it, a bicycle takes no steps, and a street is crossed with leave or near a mapped crossing."""
+    return (~is_street | walkway | allow_street) & ~((surface == "steps") & (profile == "mtb")) & (~crosses_street | allow_crossing | near_crossing)
+
+
 def connector_step_cost(minutes: Column, dislike: Column, side_slope: Column, water_risk: Column, avoid_water: Column) -> Column:
     """Off-trail minutes, dearer on side slopes and near water."""
     water = F.when(avoid_water, 8.0).otherwise(1.5)

@@ -21,7 +21,6 @@ ALLOWED_ON_FOOT = ["yes", "designated", "permissive", "destination"]
 PAVED = ["asphalt", "concrete", "paving_stones", "paved", "sett", "cobblestone", "metal", "wood"]
 GRAVEL = ["gravel", "compacted", "fine_gravel", "pebblestone", "rock", "unpaved"]
 SURFACES = ["paved", "gravel", "natural-trail", "steps", "open-terrain"]
-SURFACE_LABELS = {"paved": "Paved", "gravel": "Gravel or compacted", "natural-trail": "Natural trail", "steps": "Steps", "open-terrain": "Open terrain"}
 
 
 def plain(c: Column) -> Column:

@@ -115,6 +115,22 @@ def barrier_violations(segments: DataFrame, barriers: DataFrame, openings: DataF
     return points.join(near(points, openings, OPENING_METERS).select("way_id", "pos", "barrier_id"), ["way_id", "pos", "barrier_id"], "left_anti").select("way_id", "pos").distinct()
 
 
+def road_conflicts(segments: DataFrame, roads: DataFrame, crossings: DataFrame) -> DataFrame:
+    """way_id, pos, crosses, carriageway of segments that meet a street (roads: way_id, pos, walkway, a, b).
+
+    crosses: away from every mapped crossing. carriageway: a segment of over 18 m whose ends and middle keep within 14 m of a parallel street without a walkway.
+    """
+    walked = segment_buckets(segments.select("way_id", "pos", "a_lat", "a_lng", "b_lat", "b_lng"), "a", "b", 0.00015)
+    streets = segment_buckets(roads.select(F.struct("way_id", "pos").alias("road"), "walkway", *(F.col(f"{s}_{k}").alias(f"{d}_{k}") for s, d in (("a", "c"), ("b", "d")) for k in ("lat", "lng"))), "c", "d")
+    a, b, c, d = map(geo.at, "abcd")
+    met = walked.join(streets, "bucket").dropDuplicates(["way_id", "pos", "road"]).withColumn("p", geo.intersection(a, b, c, d)).where("p IS NOT NULL")
+    close = [geo.distance_to_segment(p, c, d) <= 14 for p in (a, b, geo.interpolate(a, b, F.lit(0.5)))]
+    along = ~F.col("walkway") & (geo.distance(a, b) > 18) & close[0] & close[1] & close[2] & geo.parallel(a, b, c, d)
+    points = met.select("way_id", "pos", "road", F.col("p.lat").alias("lat"), F.col("p.lng").alias("lng"), along.alias("along"))
+    safe = near(points.drop("along"), crossings, CROSSING_METERS).select("way_id", "pos", "road", F.lit(True).alias("safe"))
+    return points.join(safe, ["way_id", "pos", "road"], "left").groupBy("way_id", "pos").agg(F.bool_or(F.col("safe").isNull()).alias("crosses"), F.bool_or("along").alias("carriageway"))
+
+
 def allowed_segments(segments: DataFrame, barriers: DataFrame, openings: DataFrame) -> DataFrame:
     return segments.join(barrier_violations(segments, barriers, openings), ["way_id", "pos"], "left_anti")
 
@@ -127,11 +143,10 @@ def nearest_nodes(requests: DataFrame, found: DataFrame, limit: int) -> DataFram
     """
     placed = found.withColumn("bucket", bucket_key(bucket_row(F.col("lat")), bucket_row(F.col("lng"))))
     counts = placed.groupBy("bucket").agg(F.count("*").alias("n"))
-    ring = F.explode(F.sequence(F.lit(1), F.lit(RINGS)))
-    asked = requests.select("request_id", "lat", "lng").withColumn("ring", ring)
-    span = F.col("ring") * BUCKET
-    windows = in_buckets(asked, geo.Point(F.col("lat") - span, F.col("lng") - span), geo.Point(F.col("lat") + span, F.col("lng") + span))
-    first = windows.groupBy("request_id", "lat", "lng", "bucket").agg(F.min("ring").alias("ring"))
+    away = F.sequence(F.lit(-RINGS), F.lit(RINGS))
+    asked = requests.select("request_id", "lat", "lng").withColumn("dr", F.explode(away)).withColumn("dc", F.explode(away))
+    bucket = bucket_key(bucket_row(F.col("lat")) + F.col("dr"), bucket_row(F.col("lng")) + F.col("dc"))
+    first = asked.select("request_id", "lat", "lng", bucket.alias("bucket"), F.greatest(F.lit(1), F.abs("dr"), F.abs("dc")).alias("ring"))
     seen = first.join(counts, "bucket")
     by_ring = seen.groupBy("request_id", "ring").agg(F.sum("n").alias("n"))
     upto = by_ring.withColumn("held", F.sum("n").over(Window.partitionBy("request_id").orderBy("ring")))
@@ -142,7 +157,7 @@ def nearest_nodes(requests: DataFrame, found: DataFrame, limit: int) -> DataFram
     return close.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("request_id", "rank", "lat_e6", "lng_e6", "meters")
 
 
-def segment_profile(segments: DataFrame, key: list[str], dem: DataFrame, place: tuple, profile: str = "hiker", surface: str = "natural-trail", risk: DataFrame | None = None, slopes: DataFrame | None = None) -> DataFrame:
+def segment_profile(segments: DataFrame, key: list[str], dem: DataFrame, place: tuple, profile: str | Column = "hiker", surface: str | Column = "natural-trail", risk: DataFrame | None = None, slopes: DataFrame | None = None) -> DataFrame:
     """Distance, climb, steepest grade, minutes, water risk and side slope of each segment, from samples every four metres.
 
     Heights come from the raster by bilinear joins; risk and slope from the cells of the
@@ -152,15 +167,16 @@ def segment_profile(segments: DataFrame, key: list[str], dem: DataFrame, place:
 
     meters = geo.distance(geo.at("a"), geo.at("b"))
     counted = segments.withColumn("meters", meters).withColumn("count", F.greatest(F.lit(1), F.ceil(F.col("meters") / SAMPLE_METERS)).cast("int"))
-    long = counted.where(F.col("meters") / F.col("count") >= 0.01)
-    samples = long.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("count"))))
-    p = geo.interpolate(geo.at("a"), geo.at("b"), F.col("k") / F.col("count"))
-    points = samples.select(*key, "k", p.lat.alias("lat"), p.lng.alias("lng"))
-    heights = raster.sample(points, dem, [*key, "k"], *place)
-    w = Window.partitionBy(*key).orderBy("k")
-    stepped = heights.withColumn("dz", F.col("z") - F.lag("z").over(w)).where("dz IS NOT NULL").join(long.select(*key, (F.col("meters") / F.col("count")).alias("step")), key)
+    own = [x if isinstance(x, Column) else F.lit(x) for x in (profile, surface)]
+    long = counted.where(F.col("meters") / F.col("count") >= 0.01).withColumns({"_profile": own[0], "_surface": own[1]})
+    samples = long.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("count"))))
+    p = geo.interpolate(geo.at("a"), geo.at("b"), F.col("_k") / F.col("count"))
+    points = samples.select(*key, "_k", p.lat.alias("lat"), p.lng.alias("lng"))
+    heights = raster.sample(points, dem, [*key, "_k"], *place)
+    w = Window.partitionBy(*key).orderBy("_k")
+    stepped = heights.withColumn("dz", F.col("z") - F.lag("z").over(w)).where("dz IS NOT NULL").join(long.select(*key, (F.col("meters") / F.col("count")).alias("step"), "_profile", "_surface"), key)
     grade = F.col("dz") / F.col("step")
-    minutes = F.col("step") / costs.meters_per_minute(F.lit(profile), grade, F.lit(surface))
+    minutes = F.col("step") / costs.meters_per_minute(F.col("_profile"), grade, F.col("_surface"))
     rolled = stepped.groupBy(*key).agg(
         F.sum("step").alias("distance_m"), F.sum("dz").alias("change_m"), F.sum(F.greatest("dz", F.lit(0.0))).alias("ascent_m"), F.sum(F.greatest(-F.col("dz"), F.lit(0.0))).alias("descent_m"), F.max(F.abs(grade)).alias("max_grade"), F.sum(minutes).alias("minutes"),
     )
@@ -169,7 +185,7 @@ def segment_profile(segments: DataFrame, key: list[str], dem: DataFrame, place:
         if cells is not None:
             size = F.broadcast(raster.extent(dem).select("rows", "columns"))  # one row
             r, c = raster.cell_of(F.col("lat"), F.col("lng"), *place, F.col("rows"), F.col("columns"))
-            crossed = points.where("k > 0").crossJoin(size).select(*key, r.alias("r"), c.alias("c")).join(cells, ["r", "c"])
+            crossed = points.where("_k > 0").crossJoin(size).select(*key, r.alias("r"), c.alias("c")).join(cells, ["r", "c"])
             rolled = rolled.join(crossed.groupBy(*key).agg(F.max(value).alias(name)), key, "left")
             measures.append(name)
     return segments.select(*key).join(rolled, key, "left").select(*key, *(F.coalesce(m, F.lit(0.0)).alias(m) for m in measures))

@@ -91,23 +91,6 @@ def connectors(requests: DataFrame, hops: DataFrame, place: tuple) -> DataFrame:
     return rows.groupBy("request_id").applyInPandas(search, "request_id long, r long, c long, cost double, meters double, path string")
 
 
-def plan(found: DataFrame, nodes: DataFrame, links: DataFrame, place: tuple, most_minutes: float) -> DataFrame:
-    """request_id, entry, goal, minutes, entry_m: the cheapest way from each request to the nearest path node of its network.
-
-    found are connectors, nodes (node, lat, lng, path_evidence), links (node, other, cost). A request
-    enters the network at any node whose cell a connector reaches; a bounded search over links, by
-    joins, then meets the first node with path evidence. No entry, no route.
-    """
-    north, west, lat_step, lng_step = place
-    placed = nodes.withColumns({"r": F.round((F.lit(north) - F.col("lat")) / lat_step).cast("long"), "c": F.round((F.col("lng") - F.lit(west)) / lng_step).cast("long")})
-    entries = found.join(placed.select("node", "r", "c"), ["r", "c"]).groupBy("request_id", "node").agg(F.min("cost").alias("cost"), F.min_by("meters", "cost").alias("entry_m"))
-    reached = network.reach(entries.select(F.col("node").alias("source"), "node").distinct(), links, most_minutes)
-    goals = reached.join(nodes.where("path_evidence").select("node"), "node")
-    total = entries.withColumnRenamed("node", "source").join(goals.withColumnRenamed("cost", "walk"), "source").withColumn("minutes", F.col("cost") + F.col("walk"))
-    best = F.struct(F.round("minutes", 9), F.col("source"), F.col("node"))
-    return total.groupBy("request_id").agg(F.min("minutes").alias("minutes"), F.min_by("source", best).alias("entry"), F.min_by("node", best).alias("goal"), F.min_by("entry_m", best).alias("entry_m"))
-
-
 def warnings(points: DataFrame, box: geo.Box) -> DataFrame:
     """request_id, outside, warning of requests with points outside the surveyed box; heights there are the nearest edge's, not measured."""
     outside = F.count_if(~geo.contains(box, geo.Point(F.col("lat"), F.col("lng"))))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crestline.functions import costs, geo
-from crestline.operators import contours, network, search
+from crestline.functions import geo
+from crestline.operators import contours, itineraries, raster, search
 from crestline.operators.checkpoints import ensure_checkpoint_dir
 
 from .rasters import PLACE
-from .views import NORTH, SOUTH, WEST, barriers, dem, openings, origins, segments, vertices, ways, with_views
+from .views import NORTH, SOUTH, WEST, barriers, dem, openings, origins, segments, vertices, water_lines, ways, with_views
 
 
 def contours_stitched(spark, d):
@@ -31,16 +31,36 @@ def connector_paths(spark, d):
     return _connectors(spark, d).select("request_id", "r", "c", F.round("cost", 4).alias("cost"), F.round("meters", 3).alias("meters"), "path")
 
 
-def plan_route(spark, d):
-    """Each opening's cheapest way to a mapped path: open ground to an entry, then the network."""
+def _asked(spark, d):
+    """A request for each opening, in one of the three modes, over the next two openings, with the settings of the origin of its number."""
+    o = openings(spark, d)
+    spot = F.struct("lat", "lng")
+    after = [o.select((F.col("opening_id") - k).alias("opening_id"), spot.alias(f"p{k}")) for k in (1, 2)]
+    own = origins(spark, d).drop("lat", "lng").withColumnRenamed("request_id", "opening_id")
+    mode = F.element_at(F.array(*map(F.lit, ("nearest", "destination", "design"))), (F.col("opening_id") % 3 + 1).cast("int"))
+    rows = o.join(after[0], "opening_id", "left").join(after[1], "opening_id", "left").join(own, "opening_id").withColumn("mode", mode)
+    last = F.when(F.col("mode") == "design", F.coalesce("p2", "p1")).otherwise(F.col("p1"))
+    shown = rows.select(
+        F.col("opening_id").alias("request_id"), F.when(last.isNull(), "nearest").otherwise(F.col("mode")).alias("mode"), spot.alias("start"), last.alias("target"), F.when(F.col("p2").isNotNull(), F.array("p1")).alias("waypoints"), (F.col("opening_id") % 2 == 0).alias("show_alternatives"),
+        "profile", "max_grade_percent", "off_trail_aversion", "max_off_trail_meters", (F.col("opening_id") % 5 < 3).alias("allow_crossing"), F.col("street_walking").alias("allow_street"), "avoid_water",
+    )
+    return itineraries.routing_requests(shown)
+
+
+def _ground(spark, d):
+    lines = water_lines(spark, d)
+    size = raster.extent(dem(spark, d)).select("rows", "columns")
+    risk = raster.water_risk(lines.crossJoin(F.broadcast(size)), F.col("rows"), F.col("columns"), *PLACE, 30.0)  # one row
+    slopes = raster.horn_slope(dem(spark, d), 30.0, 30.0)
     ensure_checkpoint_dir(spark)
-    key = lambda lat, lng: F.concat_ws(",", F.col(lat).cast("string"), F.col(lng).cast("string"))
-    nodes = network.nodes(vertices(spark, d), ways(spark, d)).select(key("lat_e6", "lng_e6").alias("node"), "lat", "lng", "path_evidence")
-    edges = network.edges(segments(spark, d), vertices(spark, d), ways(spark, d)).where("NOT is_street OR walkway")
-    minutes = F.col("meters") / costs.meters_per_minute(F.lit("hiker"), F.lit(0.0), F.col("surface_class"))
-    links = edges.select(key("from_lat", "from_lng").alias("node"), key("to_lat", "to_lng").alias("other"), minutes.alias("cost"))
-    found = search.plan(_connectors(spark, d), nodes, links, PLACE, 2.0)
-    return found.select("request_id", "entry", "goal", F.round("minutes", 4).alias("minutes"), F.round("entry_m", 3).alias("entry_m"))
+    return itineraries.Ground(dem(spark, d), PLACE, segments(spark, d), vertices(spark, d), ways(spark, d), barriers(spark, d), openings(spark, d), risk.checkpoint(), slopes.checkpoint())
+
+
+def plan_route(spark, d):
+    """Each request's distinct routes by flavour: off the network to an entry, over it, and off it again, leg by leg, under the request's own settings."""
+    found = itineraries.plan(_asked(spark, d), _ground(spark, d))
+    kept = found.select("request_id", "flavor", *(F.round(c, 3).alias(c) for c in ("distance_m", "ascent_m", "descent_m", "max_grade", "minutes", "mapped_m", "off_trail_m", "longest_off_trail_m", "water_m", "confidence")), "way_names", "signature")
+    return kept.withColumn("points_in", F.size(F.split("signature", "\\|")) - 2)
 
 
 def out_of_bounds(spark, d):
