@@ -39,7 +39,7 @@ from .common import documents, id_and_text, partitions, scratch_table, settle, t
 MATCH = 50
 SEED = 24
 BLOCK_BYTES = 4 << 20
-HOT_RUNS = 8192
+HOT_RUNS = 1 << 16  # by the memory of a task: the windows of so many different runs take some 100 MB
 HELD_RUNS = 1 << 16
 CHUNK = 1 << 20
 PARTS_PER_PARTITION = 3
