@@ -80,3 +80,18 @@ def decode_point(text: Column) -> Column:
     """struct(lat, lng), null if either is not a number."""
     lat, lng = (F.split(text, ",")[k].try_cast("double") for k in (0, 1))
     return F.when(lat.isNotNull() & lng.isNotNull(), F.struct(lat.alias("lat"), lng.alias("lng")))
+
+
+def format_coordinate(lat: Column, lng: Column) -> Column:
+    return F.concat(fixed(lat, 5), F.lit(", "), fixed(lng, 5))
+
+
+def grade_color(grade: Column) -> Column:
+    """The colour of a stretch by its steepness. Fixed values."""
+    steep = F.abs(grade)
+    return F.when(steep < 0.05, "#5b93d6").when(steep < 0.12, "#4e9b74").when(steep < 0.2, "#c8973f").otherwise("#c4693f")
+
+
+def format_saved_at(millis: Column) -> Column:
+    """Day, short month, hour and minute, in the session's time zone."""
+    return F.date_format(F.timestamp_millis(millis), "d MMM, HH:mm")

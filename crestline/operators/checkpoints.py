@@ -8,7 +8,9 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir; only where it is unset, as in tests, set a temporary folder."""
+    """Use spark.checkpoint.dir; where it is unset a local session gets a temporary folder, and a cluster an error, as executors would not share one."""
     context = spark.sparkContext
     if not context.getConf().get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="crestline-"))

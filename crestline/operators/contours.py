@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crestline.functions.numeric import js_round
 
 from . import raster
+from .checkpoints import ensure_checkpoint_dir
 
 STRIP_ROWS = 4096
 
@@ -65,14 +66,58 @@ def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
     return points[keep]
 
 
+def pieces(segments: DataFrame) -> DataFrame:
+    """segments with piece: those of one level and one strip of STRIP_ROWS raster rows that hang together have the same."""
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["r", "c", "part"]).reset_index(drop=True)
+        up = list(range(len(group)))
+
+        def root(k: int) -> int:
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        met: dict[tuple, int] = {}
+        for k, spots in enumerate(zip(group["a_at"], group["b_at"], strict=True)):
+            for spot in spots:
+                up[root(k)] = root(met.setdefault(spot, k))
+        group["piece"] = [f"{group['strip'].iloc[0]}|{root(k)}" for k in range(len(group))]
+        return group
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in segments.schema.fields)
+    return segments.groupBy("level", "strip").applyInPandas(joined, f"{schema}, piece string")
+
+
+def across_strips(found: DataFrame) -> DataFrame:
+    """found with line: the least of the pieces that hang together over the borders of strips, by hooking and pointer jumping over pieces."""
+    ends = found.select("level", "strip", "piece", F.explode(F.array("a_at", "b_at")).alias("spot")).distinct()
+    shared = ends.groupBy("level", "spot").agg(F.min("piece").alias("one"), F.max("piece").alias("two")).where("one < two")
+    links = shared.select("level", "one", "two").distinct().checkpoint()
+    if links.isEmpty():
+        return found.withColumn("line", F.col("piece"))
+    both = links.unionByName(links.select("level", F.col("two").alias("one"), F.col("one").alias("two"))).distinct().checkpoint()
+    labels = both.groupBy("level", F.col("one").alias("piece")).agg(F.least(F.min("one"), F.min("two")).alias("line")).checkpoint()
+    while True:
+        near = both.join(labels.withColumnRenamed("piece", "two"), ["level", "two"]).groupBy("level", F.col("one").alias("piece")).agg(F.min("line").alias("near"))
+        hooked = labels.join(near, ["level", "piece"]).withColumn("hooked", F.least("line", "near"))
+        jump = labels.select("level", F.col("piece").alias("hooked"), F.col("line").alias("jumped"))
+        moved = hooked.join(jump, ["level", "hooked"], "left").select("level", "piece", F.least("hooked", F.coalesce("jumped", "hooked")).alias("line"), F.col("line").alias("before")).checkpoint()
+        labels = moved.select("level", "piece", "line")
+        if moved.where("line <> before").isEmpty():
+            return found.join(labels, ["level", "piece"], "left").withColumn("line", F.coalesce("line", "piece"))
+
+
 def contour_lines(dem: DataFrame, interval: float, north: float, west: float, lat_step: float, lng_step: float, minimum: int = 4, passes: int = 0) -> DataFrame:
     """elevation, is_index, points (array of (lat, lng)).
 
-    Lines are stitched within a level and a strip of STRIP_ROWS raster rows, which bounds a group; a
-    line that leaves a strip goes on as another line. A bad interval gives no lines.
+    Segments that hang together are found within strips of raster rows first, then over the strips' borders; each
+    whole line is then one group, stitched and simplified as a whole. A bad interval gives no lines.
     """
     if not (interval > 0 and np.isfinite(interval)):
         return dem.sparkSession.createDataFrame([], "elevation double, is_index boolean, points array<struct<lat: double, lng: double>>")
+    ensure_checkpoint_dir(dem.sparkSession)
     tolerance = min(lat_step, lng_step) * 0.35
 
     def lines(group: pd.DataFrame) -> pd.DataFrame:
@@ -83,6 +128,8 @@ def contour_lines(dem: DataFrame, interval: float, north: float, west: float, la
         return pd.DataFrame({"level": pd.Series(float(group["level"].iloc[0]), index=points.index, dtype=float), "points": points})
 
     smoothed = raster.smooth(dem, passes) if passes else dem
-    segments = raster.marching_squares(smoothed, interval).withColumn("strip", F.floor(F.col("r") / STRIP_ROWS))
-    found = segments.groupBy("level", "strip").applyInPandas(lines, "level double, points array<struct<lat: double, lng: double>>")
+    spot = lambda end: F.concat_ws(",", F.round((north - F.col(f"{end}_r") * lat_step) * 1e6).cast("long"), F.round((west + F.col(f"{end}_c") * lng_step) * 1e6).cast("long"))
+    segments = raster.marching_squares(smoothed, interval).withColumns({"strip": F.floor(F.col("r") / STRIP_ROWS), "a_at": spot("a"), "b_at": spot("b")})
+    whole = across_strips(pieces(segments).checkpoint())
+    found = whole.groupBy("level", "line").applyInPandas(lines, "level double, points array<struct<lat: double, lng: double>>")
     return found.select(F.round("level", 2).alias("elevation"), (js_round(F.col("level") / interval) % 5 == 0).alias("is_index"), "points")

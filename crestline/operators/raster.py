@@ -99,6 +99,25 @@ def slope_by_cell(dem: DataFrame, factor: int, north_south: float, east_west: fl
     return dealt.groupBy("cell_r", "cell_c").agg(F.avg("slope").alias("mean_slope"), F.max("slope").alias("max_slope"))
 
 
+def terrain(dem: DataFrame, place: tuple, native: tuple[float, float], grid: tuple, rows: int, columns: int, cell: tuple[float, float], lines: DataFrame) -> DataFrame:
+    """r, c, z, risk, mean_slope, max_slope, ruggedness of every cell of a routing grid, in one row a cell.
+
+    place and native (metres north-south and east-west) are the survey's, grid and cell those of the routing grid. A cell
+    takes the mean and the steepest of the survey's slopes nearest to it; one that none is nearest to takes the slope of the routing grid itself.
+    """
+    spark, (north, west, lat_step, lng_step) = dem.sparkSession, grid
+    cells = spark.range(rows).withColumnRenamed("id", "r").crossJoin(spark.range(columns).withColumnRenamed("id", "c"))  # the grid itself
+    at = cells.select(F.col("r").alias("cell_r"), F.col("c").alias("cell_c"), (F.lit(north) - F.col("r") * lat_step).alias("lat"), (F.lit(west) + F.col("c") * lng_step).alias("lng"))
+    heights = sample(at, dem, ["cell_r", "cell_c"], *place).withColumnsRenamed({"cell_r": "r", "cell_c": "c"})
+    lat, lng = F.lit(place[0]) - F.col("r") * place[2], F.lit(place[1]) + F.col("c") * place[3]
+    inside = lat.between(north - (rows - 1) * lat_step, north) & lng.between(west, west + (columns - 1) * lng_step)
+    near = cell_of(lat, lng, *grid, F.lit(rows), F.lit(columns))
+    own = horn_slope(dem, *native).where(inside).groupBy(near[0].cast("long").alias("r"), near[1].cast("long").alias("c")).agg(F.avg("slope").alias("mean"), F.max("slope").alias("most"))
+    risk = water_risk(lines, rows, columns, *grid, min(cell)).select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "risk")
+    joined = heights.join(horn_slope(heights, *cell), ["r", "c"]).join(ruggedness(heights), ["r", "c"]).join(own, ["r", "c"], "left").join(risk, ["r", "c"], "left")
+    return joined.select("r", "c", "z", F.coalesce("risk", F.lit(0.0)).alias("risk"), F.coalesce("mean", "slope").alias("mean_slope"), F.coalesce("most", "slope").alias("max_slope"), "ruggedness")
+
+
 def water_risk(lines: DataFrame, rows: int | Column, columns: int | Column, north: float, west: float, lat_step: float, lng_step: float, cell_meters: float) -> DataFrame:
     """r, c, risk of the cells within reach of a watercourse: lines are sampled, each sample stamps its window, the greatest stamp counts."""
     step, radius = max(4.0, cell_meters / 2), math.ceil(WATER_REACH / cell_meters)

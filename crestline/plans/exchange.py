@@ -64,10 +64,18 @@ def formatted(spark, d):
     return s.select("user_id", text.format_distance(meters, 1).alias("distance"), text.format_duration(minutes).alias("duration"), text.nice_scale(meters).alias("scale"), text.share(F.round("mapped_m", 4), meters).alias("mapped_percent"))
 
 
-QUERIES = {f.__name__: f for f in (gpx_export, geojson_export, url_state_roundtrip, saved_routes_top30, saved_routes_parsed, formatted)}
+def route_labels(spark, d):
+    o = origins(spark, d)
+    return o.select("request_id", text.format_coordinate(F.col("lat"), F.col("lng")).alias("place"), text.grade_color(F.col("max_grade_percent") / 250).alias("color"), text.format_saved_at(F.col("request_id") * 98_765_432).alias("saved_at"))
+
+
+QUERIES = {f.__name__: f for f in (gpx_export, geojson_export, url_state_roundtrip, saved_routes_top30, saved_routes_parsed, formatted, route_labels)}
 
 NAMES = "SELECT user_id, coalesce('Route via ' || array_to_string(list_slice(list(way_name ORDER BY f), 1, 2), ' and '), 'Route') AS name FROM (SELECT user_id, way_name, min(seq) AS f FROM hops WHERE way_name IS NOT NULL GROUP BY ALL) GROUP BY user_id"
 SQL = {
+    "route_labels": with_views("origins", """SELECT request_id, printf('%.5f, %.5f', lat, lng) AS place,
+  CASE WHEN max_grade_percent / 250 < 0.05 THEN '#5b93d6' WHEN max_grade_percent / 250 < 0.12 THEN '#4e9b74' WHEN max_grade_percent / 250 < 0.2 THEN '#c8973f' ELSE '#c4693f' END AS color,
+  strftime(epoch_ms(request_id * 98765432), '%-d %b, %H:%M') AS saved_at FROM origins"""),
     "gpx_export": with_views("track_points hops", f"""SELECT user_id, md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<gpx version="1.1" creator="crestline" xmlns="http://www.topografix.com/GPX/1/1">' || chr(10) || '  <metadata><name>' || n || '</name></metadata>' || chr(10) || '  <trk>' || chr(10) || '    <name>' || n || '</name>' || chr(10) || '    <trkseg>' || chr(10)
   || string_agg('      <trkpt lat="' || printf('%.6f', lat) || '" lon="' || printf('%.6f', lng) || '">' || CASE WHEN user_id % 2 = 0 THEN '<ele>' || printf('%.1f', z) || '</ele>' ELSE '' END || '</trkpt>', chr(10) ORDER BY seq) || chr(10) || '    </trkseg>' || chr(10) || '  </trk>' || chr(10) || '</gpx>' || chr(10)) AS md5
   FROM track_points JOIN (SELECT p.user_id, coalesce(name, 'Route') || ' &amp; &quot;co&quot;' AS n FROM (SELECT DISTINCT user_id FROM track_points) p LEFT JOIN ({NAMES}) m ON p.user_id = m.user_id) USING (user_id) GROUP BY user_id, n"""),

@@ -61,7 +61,10 @@ def interior_crossings(spark, d):
 
 def graph_stats(spark, d):
     n = network.nodes(vertices(spark, d), ways(spark, d)).agg(F.count("*").alias("nodes"))
-    return n.crossJoin(_edges(spark, d).agg(F.count("*").alias("edges")))  # one row each
+    counts = [_edges(spark, d).agg(F.count("*").alias("edges")), crossing_points(spark, d).withColumnRenamed("points", "crossings"), barriers(spark, d).agg(F.count("*").alias("barriers")), openings(spark, d).agg(F.count("*").alias("openings"))]
+    for one in counts:
+        n = n.crossJoin(one)  # one row each
+    return n
 
 
 def crossing_points(spark, d):
@@ -199,3 +202,4 @@ GROUP BY s.way_id, s.pos""", "vertices segments dem"),
     "flavor_settings": q("""SELECT request_id, flavor, CASE flavor WHEN 'mapped' THEN greatest(off_trail_aversion, 3.2::DOUBLE) WHEN 'direct' THEN 1.0::DOUBLE ELSE off_trail_aversion END AS aversion, CASE flavor WHEN 'direct' THEN greatest(max_off_trail_meters, 900.0::DOUBLE) ELSE max_off_trail_meters END AS budget, greatest(0.02::DOUBLE, max_grade_percent / 100) AS max_grade,
   least(CASE profile WHEN 'hiker' THEN 60.0 WHEN 'runner' THEN 45.0 ELSE 25.0 END::DOUBLE, greatest(5.0::DOUBLE, max_grade_percent)) AS limit_percent FROM origins CROSS JOIN (VALUES ('balanced'), ('direct'), ('mapped')) f(flavor)""", "origins"),
 }
+SQL["graph_stats"] = f"SELECT g.*, c.points AS crossings, b.barriers, o.openings FROM ({SQL['graph_stats']}) g, ({SQL['crossing_points']}) c, ({with_views('barriers', 'SELECT count(*) AS barriers FROM barriers')}) b, ({with_views('openings', 'SELECT count(*) AS openings FROM openings')}) o"

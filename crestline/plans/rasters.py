@@ -49,7 +49,7 @@ def ruggedness(spark, d):
 def water_risk(spark, d):
     size = raster.extent(dem(spark, d)).select("rows", "columns")
     lines = water_lines(spark, d).crossJoin(F.broadcast(size))  # one row
-    found = raster.water_risk(lines.drop("rows", "columns"), 1 << 40, 20, *PLACE, 30.0)
+    found = raster.water_risk(lines, F.col("rows"), F.col("columns"), *PLACE, 30.0)
     return dem(spark, d).select("r", "c").join(found, ["r", "c"], "left").select("r", "c", F.round(F.coalesce("risk", F.lit(0.0)), 6).alias("risk"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline.functions.numeric import js_round
+from crestline.operators.checkpoints import ensure_checkpoint_dir
 
 TILE = 256
 
@@ -125,13 +127,22 @@ def plan_tiles(spark: SparkSession, west: float, south: float, east: float, nort
 def fill_gaps(cells: DataFrame, radius: int = 8) -> DataFrame:
     """cells (r, c, z, null where unknown) with each gap filled from the nearest ring that has a height, first by row then by column.
 
-    All rings look at measured heights only, so the result does not depend on an order of filling.
+    All rings look at measured heights only, so the result does not depend on an order of filling. Rings up to
+    radius are searched at once; gaps that are wider go on with rings twice as wide, until they are filled or no
+    ring of the raster is left. A raster without any height stays as it is.
     """
-    gaps = cells.where("z IS NULL").select("r", "c")
-    offsets = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
-    around = gaps.withColumn("dr", offsets).withColumn("dc", offsets)
-    near = around.select("r", "c", "dr", "dc", (F.col("r") + F.col("dr")).alias("nr"), (F.col("c") + F.col("dc")).alias("nc"))
+    ensure_checkpoint_dir(cells.sparkSession)
     known = cells.where("z IS NOT NULL").select(F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("z").alias("near_z"))
-    ring = F.struct(F.greatest(F.abs("dr"), F.abs("dc")), F.col("dr"), F.col("dc"))
-    found = near.join(known, ["nr", "nc"]).groupBy("r", "c").agg(F.min_by("near_z", ring).alias("near_z"))
-    return cells.join(found, ["r", "c"], "left").select("r", "c", F.coalesce("z", "near_z").alias("z"))
+    limit = cells.agg(F.greatest(F.max("r") - F.min("r"), F.max("c") - F.min("c")).alias("most")).first()["most"] or 0
+    gaps, inner, outer, filled = cells.where("z IS NULL").select("r", "c").checkpoint(), 0, radius, []
+    while inner <= limit and not gaps.isEmpty() and not known.isEmpty():
+        offsets = F.explode(F.sequence(F.lit(-outer), F.lit(outer)))
+        away = F.greatest(F.abs("dr"), F.abs("dc"))
+        around = gaps.withColumn("dr", offsets).withColumn("dc", offsets).where(away > inner)
+        near = around.select("r", "c", "dr", "dc", (F.col("r") + F.col("dr")).alias("nr"), (F.col("c") + F.col("dc")).alias("nc"))
+        found = near.join(known, ["nr", "nc"]).groupBy("r", "c").agg(F.min_by("near_z", F.struct(away, F.col("dr"), F.col("dc"))).alias("near_z")).checkpoint()
+        filled.append(found)
+        gaps, inner, outer = gaps.join(found, ["r", "c"], "left_anti").checkpoint(), outer, outer * 2
+    if not filled:
+        return cells.select("r", "c", "z")
+    return cells.join(reduce(DataFrame.unionByName, filled), ["r", "c"], "left").select("r", "c", F.coalesce("z", "near_z").alias("z"))

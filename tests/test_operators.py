@@ -130,7 +130,10 @@ def test_png_filters():
 def test_gaps_take_the_nearest_ring(spark):
     cells = spark.createDataFrame([(0, 0, 1.0), (0, 1, None), (0, 2, 3.0), (5, 5, None)], "r long, c long, z double")
     got = {(r.r, r.c): r.z for r in elevation.fill_gaps(cells, 3).collect()}
-    assert got[0, 1] == 1.0 and got[5, 5] == 3.0 or got[5, 5] is None
+    assert got[0, 1] == 1.0 and got[5, 5] == 1.0  # two rings further than the first search; the first of its ring by row, then by column
+    wide = spark.createDataFrame([(0, c, 7.0 if c == 40 else None) for c in range(41)], "r long, c long, z double")
+    assert {r.z for r in elevation.fill_gaps(wide).collect()} == {7.0}
+    assert elevation.fill_gaps(wide.where("c < 40")).where("z IS NOT NULL").count() == 0
     assert elevation.plan_tiles(spark, 0.0, 0.0, 2300.0, 1000.0).count() == 3
 
 
@@ -143,3 +146,38 @@ def test_latest_request_of_a_session(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("latest").collect())) == [("a", 3, "z"), ("b", 1, "q")]
+
+
+def test_contours_do_not_depend_on_strips(spark, monkeypatch):
+    """Lines over the borders of strips are whole: the same for strips of 3 and 16 rows as for one strip."""
+    from crestline.operators import contours
+
+    cells = [(r, c, 10 * np.sin(r / 6) + 3 * np.cos(c / 2) + r / 10) for r in range(40) for c in range(8)]
+    dem = spark.createDataFrame([(r, c, float(z)) for r, c, z in cells], "r long, c long, z double")
+
+    def lines(strip):
+        monkeypatch.setattr(contours, "STRIP_ROWS", strip)
+        return sorted((r.elevation, r.is_index, [(round(p.lat, 9), round(p.lng, 9)) for p in r.points]) for r in contours.contour_lines(dem, 5.0, 54.0, 18.0, 0.001, 0.001, minimum=5).collect())
+
+    whole = lines(4096)
+    assert whole and lines(16) == whole and lines(3) == whole
+
+
+def test_terrain_in_one_row_a_cell(spark):
+    """Where the survey is as fine as the grid its slopes count; on a coarser one, cells that no sample is nearest to take the grid's own slope."""
+    from crestline.operators import raster
+
+    cells = [(r, c, float((r * 7 + c * 3) % 11)) for r in range(6) for c in range(6)]
+    dem = spark.createDataFrame(cells, "r long, c long, z double")
+    lines = spark.createDataFrame([(54.0, 18.0, 54.0, 18.0012)], "a_lat double, a_lng double, b_lat double, b_lng double")
+    place = (54.0, 18.0, 0.0003, 0.0004)
+    own = {(r.r, r.c): r.slope for r in raster.horn_slope(dem, 33.0, 26.0).collect()}
+    same = raster.terrain(dem, place, (33.0, 26.0), place, 6, 6, (33.0, 26.0), lines).collect()
+    assert len(same) == 36 and all((r.mean_slope, r.max_slope, r.z) == pytest.approx((own[r.r, r.c], own[r.r, r.c], (r.r * 7 + r.c * 3) % 11), abs=1e-6) for r in same)
+    assert all(r.risk > 0.7 for r in same if r.r == 0 and r.c <= 3) and all(r.risk == 0 for r in same if r.r > 1)
+    fine = raster.terrain(dem, place, (33.0, 26.0), (54.0, 18.0, 0.0001, 0.0004 / 3), 16, 16, (11.0, 9.0), lines)
+    heights = fine.select("r", "c", "z")
+    grid = {(r.r, r.c): r.slope for r in raster.horn_slope(heights, 11.0, 9.0).collect()}
+    for r in fine.collect():
+        want = own[r.r // 3, r.c // 3] if r.r % 3 == 0 and r.c % 3 == 0 else grid[r.r, r.c]
+        assert (r.mean_slope, r.max_slope) == pytest.approx((want, want), abs=1e-6)
