@@ -143,10 +143,16 @@ def nearest_nodes(requests: DataFrame, found: DataFrame, limit: int) -> DataFram
     """
     placed = found.withColumn("bucket", bucket_key(bucket_row(F.col("lat")), bucket_row(F.col("lng"))))
     counts = placed.groupBy("bucket").agg(F.count("*").alias("n"))
-    away = F.sequence(F.lit(-RINGS), F.lit(RINGS))
+    away = F.sequence(F.lit(-RINGS - 1), F.lit(RINGS + 1))
     asked = requests.select("request_id", "lat", "lng").withColumn("dr", F.explode(away)).withColumn("dc", F.explode(away))
-    bucket = bucket_key(bucket_row(F.col("lat")) + F.col("dr"), bucket_row(F.col("lng")) + F.col("dc"))
-    first = asked.select("request_id", "lat", "lng", bucket.alias("bucket"), F.greatest(F.lit(1), F.abs("dr"), F.abs("dc")).alias("ring"))
+    asked = asked.withColumns({"row": bucket_row(F.col("lat")) + F.col("dr"), "column": bucket_row(F.col("lng")) + F.col("dc")})
+
+    def within(k: Column) -> Column:
+        span = k * BUCKET
+        return F.col("row").between(bucket_row(F.col("lat") - span), bucket_row(F.col("lat") + span)) & F.col("column").between(bucket_row(F.col("lng") - span), bucket_row(F.col("lng") + span))
+
+    ring = F.get(F.filter(F.sequence(F.lit(1), F.lit(RINGS)), within), F.lit(0))  # the first whose window holds the bucket
+    first = asked.select("request_id", "lat", "lng", bucket_key(F.col("row"), F.col("column")).alias("bucket"), ring.alias("ring")).where("ring IS NOT NULL")
     seen = first.join(counts, "bucket")
     by_ring = seen.groupBy("request_id", "ring").agg(F.sum("n").alias("n"))
     upto = by_ring.withColumn("held", F.sum("n").over(Window.partitionBy("request_id").orderBy("ring")))
