@@ -151,13 +151,14 @@ def nearest_nodes(requests: DataFrame, found: DataFrame, limit: int) -> DataFram
         span = k * BUCKET
         return F.col("row").between(bucket_row(F.col("lat") - span), bucket_row(F.col("lat") + span)) & F.col("column").between(bucket_row(F.col("lng") - span), bucket_row(F.col("lng") + span))
 
-    ring = F.get(F.filter(F.sequence(F.lit(1), F.lit(RINGS)), within), F.lit(0))  # the first whose window holds the bucket
-    first = asked.select("request_id", "lat", "lng", bucket_key(F.col("row"), F.col("column")).alias("bucket"), ring.alias("ring")).where("ring IS NOT NULL")
-    seen = first.join(counts, "bucket")
+    first = asked.select("request_id", "lat", "lng", "dr", "dc", "row", "column", bucket_key(F.col("row"), F.col("column")).alias("bucket")).join(counts, "bucket")
+    about = F.greatest(F.abs("dr"), F.abs("dc"))  # the first ring whose window holds the bucket, but for rounding at an edge
+    ring = F.coalesce(*(F.when((k >= 1) & (k <= RINGS) & within(k), k) for k in (about - 1, about, about + 1)))
+    seen = first.select("request_id", "lat", "lng", "bucket", "n", ring.alias("ring")).where("ring IS NOT NULL")
     by_ring = seen.groupBy("request_id", "ring").agg(F.sum("n").alias("n"))
     upto = by_ring.withColumn("held", F.sum("n").over(Window.partitionBy("request_id").orderBy("ring")))
     chosen = upto.groupBy("request_id").agg(F.coalesce(F.min(F.when(F.col("held") >= 2 * limit, F.col("ring"))), F.lit(RINGS)).alias("last"))
-    near_buckets = first.join(chosen, "request_id").where("ring <= last").select("request_id", F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"), "bucket")
+    near_buckets = seen.join(chosen, "request_id").where("ring <= last").select("request_id", F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"), "bucket")
     close = near_buckets.join(placed, "bucket").withColumn("meters", geo.distance(geo.at("q"), geo.Point(F.col("lat"), F.col("lng"))))
     order = Window.partitionBy("request_id").orderBy(F.round("meters", 6), "lat_e6", "lng_e6")
     return close.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("request_id", "rank", "lat_e6", "lng_e6", "meters")
