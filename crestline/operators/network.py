@@ -167,7 +167,7 @@ def nearest_nodes(requests: DataFrame, found: DataFrame, limit: int) -> DataFram
 def segment_profile(segments: DataFrame, key: list[str], dem: DataFrame, place: tuple, profile: str | Column = "hiker", surface: str | Column = "natural-trail", risk: DataFrame | None = None, slopes: DataFrame | None = None) -> DataFrame:
     """Distance, climb, steepest grade, minutes, water risk and side slope of each segment, from samples every four metres.
 
-    Heights come from the raster by bilinear joins; risk and slope from the cells of the
+    Heights come from the raster by one join on its squares; risk and slope from the cells of the
     samples, the first one left out. Segments shorter than a centimetre measure zero.
     """
     from . import raster

@@ -11,9 +11,11 @@ from crestline.functions import geo
 from crestline.functions.numeric import clamp, js_round
 
 WATER_REACH = 26.0
-# Sun and relief, and the ramp of the hypsometric tint.
+TILE = 4  # cells along a square of the raster that is joined whole
+# Sun and relief, the part of a picture's side that fades, and the ramp of the hypsometric tint.
 SUN_AZIMUTH, SUN_ALTITUDE = math.radians(315.0), math.radians(46.0)
 RELIEF_EXAGGERATION, RELIEF_CONTRAST, TINT_CONTRAST = 2.8, 1.15, 1.5
+FEATHER = 0.035
 RAMP = [(0.0, (24, 108, 100)), (0.2, (58, 145, 84)), (0.4, (154, 191, 68)), (0.58, (230, 204, 68)), (0.75, (223, 146, 55)), (0.9, (193, 84, 62)), (1.0, (138, 46, 66))]
 INTERVALS = [1.0, 2.0, 2.5, 5.0, 10.0, 20.0, 25.0, 50.0, 100.0]
 
@@ -65,24 +67,49 @@ def extent(dem: DataFrame) -> DataFrame:
     return dem.agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("columns"), F.coalesce(F.min(finite), F.lit(0.0)).alias("low"), F.coalesce(F.max(finite), F.lit(0.0)).alias("high"))
 
 
-def sample(points: DataFrame, dem: DataFrame, key: list[str], north: float, west: float, lat_step: float, lng_step: float) -> DataFrame:
-    """key, z: bilinear heights at points (lat, lng), clamped to the raster.
+def tiles(cells: DataFrame, of: list[str] | None = None) -> DataFrame:
+    """of, tile_r, tile_c, codes, heights: the raster in squares of TILE cells, each with one more row and column of its neighbours.
 
-    A point asks its four corners with their weights; one equi-join on the cell and one sum answer.
+    codes are the places in the square of the cells that exist, heights theirs. `of` names columns that tell several rasters apart.
     """
-    size = F.broadcast(extent(dem).select("rows", "columns"))  # one row
+    over, beside = F.floor(F.col("r") / TILE), F.floor(F.col("c") / TILE)
+    place = lambda dr, dc: F.struct((over - dr).alias("tile_r"), (beside - dc).alias("tile_c"), ((F.col("r") - (over - dr) * TILE) * (TILE + 1) + F.col("c") - (beside - dc) * TILE).cast("int").alias("code"))
+    top, left = F.col("r") % TILE == 0, F.col("c") % TILE == 0
+    places = F.filter(F.array(place(0, 0), F.when(top, place(1, 0)), F.when(left, place(0, 1)), F.when(top & left, place(1, 1))), lambda x: x.isNotNull())
+    dealt = cells.select(*(of or []), "z", F.inline(places))
+    squares = dealt.groupBy(*(of or []), "tile_r", "tile_c").agg(F.collect_list(F.struct("code", "z")).alias("cells"))  # at most (TILE + 1) squared
+    return squares.select(*(of or []), "tile_r", "tile_c", F.col("cells.code").alias("codes"), F.col("cells.z").alias("heights"))
+
+
+def between_cells(points: DataFrame, cells: DataFrame, of: list[str] | None = None) -> DataFrame:
+    """points (_y, _x within their raster, _rows, _columns of it) with z, the bilinear height.
+
+    One join on the raster's squares: a point finds its four cells in the square of its corner. A point that needs a cell that is not there has no height.
+    """
+    r0, c0 = F.floor("_y"), F.floor("_x")
+    cut = points.withColumns({"_r": r0, "_c": c0, "tile_r": F.floor(r0 / TILE), "tile_c": F.floor(c0 / TILE)})
+    found = cut.join(tiles(cells, of), [*(of or []), "tile_r", "tile_c"], "left")
+    fr, fc = F.col("_y") - F.col("_r"), F.col("_x") - F.col("_c")
+    down, right = F.least(F.col("_r") + 1, F.col("_rows") - 1), F.least(F.col("_c") + 1, F.col("_columns") - 1)
+
+    def part(r: Column, c: Column, weight: Column) -> Column:
+        code = ((r - F.col("tile_r") * TILE) * (TILE + 1) + c - F.col("tile_c") * TILE).cast("int")
+        height = F.get("heights", (F.array_position("codes", code) - 1).cast("int"))
+        return F.when(weight == 0, F.lit(0.0)).otherwise(height * weight)
+
+    z = part(F.col("_r"), F.col("_c"), (1 - fc) * (1 - fr)) + part(F.col("_r"), right, fc * (1 - fr)) + part(down, F.col("_c"), (1 - fc) * fr) + part(down, right, fc * fr)
+    return found.withColumn("z", z).select(*points.columns, "z")
+
+
+def sample(points: DataFrame, dem: DataFrame, key: list[str], north: float, west: float, lat_step: float, lng_step: float) -> DataFrame:
+    """key, z: bilinear heights at points (lat, lng), clamped to the raster; null where a cell is missing."""
+    size = F.broadcast(extent(dem).select(F.col("rows").alias("_rows"), F.col("columns").alias("_columns")))  # one row
     placed = points.crossJoin(size).select(
-        *key, "rows", "columns",
-        clamp((F.lit(north) - F.col("lat")) / lat_step, F.lit(0.0), F.col("rows") - 1.0).alias("y"),
-        clamp((F.col("lng") - F.lit(west)) / lng_step, F.lit(0.0), F.col("columns") - 1.0).alias("x"),
+        *key, "_rows", "_columns",
+        clamp((F.lit(north) - F.col("lat")) / lat_step, F.lit(0.0), F.col("_rows") - 1.0).alias("_y"),
+        clamp((F.col("lng") - F.lit(west)) / lng_step, F.lit(0.0), F.col("_columns") - 1.0).alias("_x"),
     )
-    r0, c0 = F.floor("y"), F.floor("x")
-    fr, fc = F.col("y") - r0, F.col("x") - c0
-    r1, c1 = F.least(r0 + 1, F.col("rows") - 1), F.least(c0 + 1, F.col("columns") - 1)
-    corner = lambda r, c, w: F.struct(r.cast("long").alias("r"), c.cast("long").alias("c"), w.alias("weight"))
-    corners = F.array(corner(r0, c0, (1 - fc) * (1 - fr)), corner(r0, c1, fc * (1 - fr)), corner(r1, c0, (1 - fc) * fr), corner(r1, c1, fc * fr))
-    asked = placed.select(*key, F.inline(corners))
-    return asked.join(dem, ["r", "c"]).groupBy(*key).agg(F.sum(F.col("z") * F.col("weight")).alias("z"))
+    return between_cells(placed, dem).select(*key, "z")
 
 
 def cell_of(lat: Column, lng: Column, north: float, west: float, lat_step: float, lng_step: float, rows: Column, columns: Column) -> tuple[Column, Column]:
@@ -206,3 +233,26 @@ def local_range(dem: DataFrame, box: DataFrame, north: float, west: float, lat_s
     found = lines.groupBy(*keys).agg(F.min(F.array_min(part)).alias("lo"), F.max(F.array_max(part)).alias("hi"), F.first("low").alias("low_all"), F.first("high").alias("high_all"))
     spans = F.coalesce(F.col("hi") - F.col("lo") >= 1, F.lit(False))
     return found.select(*keys, F.when(spans, F.col("lo")).otherwise(F.col("low_all")).alias("low"), F.when(spans, F.col("hi")).otherwise(F.col("high_all")).alias("high"))
+
+
+def rendered(dem: DataFrame, rows: int, columns: int, north: float, west: float, lat_step: float, lng_step: float, scale: float = 2.0, most: int = 1400, elevation_range: tuple[float, float] | None = None, hypsometric: bool = False) -> DataFrame:
+    """y, x, red, green, blue, alpha of a picture of the raster, up to `most` pixels along each side; channels 0 to 255, colours not yet rounded.
+
+    Each pixel takes the height at its middle. Grey relief, or the tint between elevation_range (the raster's own, if none). The border fades.
+    """
+    width, height = min(most, math.floor(columns * scale + 0.5)), min(most, math.floor(rows * scale + 0.5))
+    spark, down, across = dem.sparkSession, (rows - 1) * lat_step, (columns - 1) * lng_step
+    pixels = spark.range(height).withColumnRenamed("id", "y").crossJoin(spark.range(width).withColumnRenamed("id", "x"))  # the picture itself
+    middle = pixels.select("y", "x", (F.lit(north) - (F.col("y") + 0.5) / height * down).alias("lat"), (F.lit(west) + (F.col("x") + 0.5) / width * across).alias("lng"))
+    heights = sample(middle, dem, ["y", "x"], north, west, lat_step, lng_step).withColumnsRenamed({"y": "r", "x": "c"})
+    if hypsometric:
+        if elevation_range:
+            colored = tint(heights, F.lit(elevation_range[0]), F.lit(elevation_range[1]))
+        else:
+            colored = tint(heights.crossJoin(F.broadcast(extent(dem).select("low", "high"))), F.col("low"), F.col("high"))  # one row
+    else:
+        pixel = lat_step * rows * 111_132.0 / height, lng_step * columns * 111_132.0 * math.cos(math.radians(north)) / width
+        colored = hillshade(heights, *pixel).select("r", "c", *(F.col("grey").alias(k) for k in ("red", "green", "blue")))
+    fade = lambda at, size: F.least(at / max(1.0, size * FEATHER), (size - 1 - at) / max(1.0, size * FEATHER))
+    edge = F.least(fade(F.col("c"), width), fade(F.col("r"), height), F.lit(1.0))
+    return colored.select(F.col("r").alias("y"), F.col("c").alias("x"), "red", "green", "blue", js_round(255 * edge).alias("alpha"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crestline.functions import geo
-from crestline.operators import raster
+from crestline.operators import mosaics, raster
 
 from .views import LAT_STEP, LNG_STEP, NORTH, WEST, dem, table, track_points, water_lines, with_views
 
@@ -80,7 +80,38 @@ def terrarium_decode(spark, d):
     return table(spark, d, "part").select(key, F.round(geo.terrarium_height(key % 256, key * 7 % 256, key * 13 % 256), 6).alias("height"))
 
 
-QUERIES = {f.__name__: f for f in (grid_min_max, grid_geometry, bilinear_sample, smooth_grid, horn_slope, slope_mean_max_by_cell, ruggedness, water_risk, contour_interval, marching_squares, hillshade, hypsometric_tint, local_elevation_range, terrarium_decode)}
+ZOOM, BOX = 9, {"north": NORTH, "south": 54.4325, "west": WEST, "east": WEST + 0.09}
+
+
+def tile_mosaic_sample(spark, d):
+    """Track points on height tiles of 256 pixels: the raster stands at the tile pixel of its corner."""
+    code = F.col("z").cast("int") + 32768
+    at = dem(spark, d).select((F.col("c") + X_PIXEL).alias("px"), (F.col("r") + Y_PIXEL).alias("py"), code.alias("code"))
+    tiles = at.select(F.floor(F.col("px") / 256).alias("x"), F.floor(F.col("py") / 256).alias("y"), (F.col("py") % 256).alias("r"), (F.col("px") % 256).alias("c"), F.floor(F.col("code") / 256).cast("int").alias("red"), (F.col("code") % 256).alias("green"), F.lit(0).alias("blue"))
+    points = track_points(spark, d).select("user_id", "seq", "lat", "lng")
+    return mosaics.sample_tiles(points, tiles, BOX, ZOOM).select("user_id", "seq", r("z", 2))
+
+
+def survey_mosaic_sample(spark, d):
+    """Points of customers on survey grids of ten by ten cells that overlap by one; the first grid counts."""
+    key = F.col("p_partkey")
+    cells = table(spark, d, "part").select(F.floor(key / 100).alias("file"), F.floor(key % 100 / 10).alias("r"), (key % 10).alias("c"), F.col("p_size").cast("double").alias("z"))
+    grids = cells.select("file").distinct().select("file", F.lit(10).alias("rows"), F.lit(10).alias("columns"), F.lit(5.0).alias("dx"), F.lit(5.0).alias("dy"), (F.col("file") % 10 * 45.0).alias("west"), (F.floor(F.col("file") / 10) * 45.0).alias("south"))
+    who = F.col("c_custkey")
+    points = table(spark, d, "customer").select(who.alias("point_id"), (who * 37 % 4600 / 10.0).alias("px"), (who * 53 % 2000 / 10.0).alias("py"))
+    return mosaics.sample_surveys(points, ["point_id"], grids, cells).select("point_id", "file", r("z", 4))
+
+
+def render_raster(spark, d):
+    size = raster.extent(dem(spark, d)).first()  # one row
+    picture = raster.rendered(dem(spark, d), size["rows"], size["columns"], *PLACE)
+    tinted = raster.rendered(dem(spark, d), size["rows"], size["columns"], *PLACE, hypsometric=True)
+    return picture.select("y", "x", r("red", 2).alias("grey"), "alpha").join(tinted.select("y", "x", r("red", 2), r("green", 2), r("blue", 2)), ["y", "x"])
+
+
+# The pixel of the whole map at which the raster's corner stands.
+X_PIXEL, _, Y_PIXEL, _ = mosaics.tile_range(BOX, ZOOM + 8)
+QUERIES = {f.__name__: f for f in (tile_mosaic_sample, survey_mosaic_sample, render_raster, grid_min_max, grid_geometry, bilinear_sample, smooth_grid, horn_slope, slope_mean_max_by_cell, ruggedness, water_risk, contour_interval, marching_squares, hillshade, hypsometric_tint, local_elevation_range, terrarium_decode)}
 
 STENCIL = """
 SELECT r, c, z, w, e, coalesce(lag(w) OVER k, w) AS nw, coalesce(lag(z) OVER k, z) AS n, coalesce(lag(e) OVER k, e) AS ne, coalesce(lead(w) OVER k, w) AS sw, coalesce(lead(z) OVER k, z) AS s, coalesce(lead(e) OVER k, e) AS se
@@ -105,8 +136,34 @@ def js(x: str) -> str:
     return f"(floor({x}) + CASE WHEN ({x}) - floor({x}) >= 0.5 THEN 1 ELSE 0 END)"
 
 
+WEIGHED = "CASE WHEN {w} = 0 THEN 0 ELSE {z} * ({w}) END"
+FOUR = " + ".join(WEIGHED.format(w=w, z=z) for w, z in (("(1 - fc) * (1 - fr)", "a.z"), ("fc * (1 - fr)", "b.z"), ("(1 - fc) * fr", "e.z"), ("fc * fr", "f.z")))
+
+
+def between(points: str, cells: str, of: str = "") -> str:
+    """SQL of heights between cells: points (y, x, nr, nc) with z."""
+    same = f" AND {{0}}.{of} = p.{of}" if of else ""
+    joins = " ".join(f"LEFT JOIN {cells} {t} ON {t}.r = p.{r_} AND {t}.c = p.{c_}{same.format(t)}" for t, r_, c_ in (("a", "r0", "c0"), ("b", "r0", "c1"), ("e", "r1", "c0"), ("f", "r1", "c1")))
+    return f"SELECT p.*, {FOUR} AS z FROM (SELECT *, y - floor(y) AS fr, x - floor(x) AS fc, floor(y)::BIGINT AS r0, floor(x)::BIGINT AS c0, least(floor(y)::BIGINT + 1, nr - 1) AS r1, least(floor(x)::BIGINT + 1, nc - 1) AS c1 FROM ({points})) p {joins}"
+
+
+MX0, MX1, MY0, MY1 = mosaics.tile_range(BOX, ZOOM)
+MERCATOR = f"(1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * {2.0**ZOOM}::DOUBLE * 256 - {MY0 * 256}"
+FADE = "least(255::DOUBLE * least(least(c / greatest(1.0::DOUBLE, w * 0.035::DOUBLE), (w - 1 - c) / greatest(1.0::DOUBLE, w * 0.035::DOUBLE)), least(r / greatest(1.0::DOUBLE, h * 0.035::DOUBLE), (h - 1 - r) / greatest(1.0::DOUBLE, h * 0.035::DOUBLE)), 1.0::DOUBLE))"
+PICTURE = between(f"""SELECT i.r, j.c, w, h, nr, nc, lo, hi, least(nr - 1.0::DOUBLE, greatest(0.0::DOUBLE, (54.4825::DOUBLE - (54.4825::DOUBLE - (i.r + 0.5::DOUBLE) / h * ((nr - 1) * 2.7e-4))) / 2.7e-4)) AS y, least(nc - 1.0::DOUBLE, greatest(0.0::DOUBLE, ((18.4525::DOUBLE + (j.c + 0.5::DOUBLE) / w * ((nc - 1) * 4.6e-4)) - 18.4525::DOUBLE) / 4.6e-4)) AS x
+  FROM (SELECT *, least(1400, nr * 2) AS h, least(1400, nc * 2) AS w FROM (SELECT max(r) + 1 AS nr, max(c) + 1 AS nc, min(z) AS lo, max(z) AS hi FROM dem)), (SELECT unnest(range(1400)) AS r) i, (SELECT unnest(range(1400)) AS c) j WHERE i.r < h AND j.c < w""", "dem")
 L, R, T, B = "[nw_sw, c]", "[ne_se, c + 1]", "[r::DOUBLE, nw_ne]", "[r + 1::DOUBLE, sw_se]"
 SQL = {
+    "tile_mosaic_sample": with_views("track_points dem", "SELECT user_id, seq, round(z, 2) AS z FROM (" + between(f"""SELECT user_id, seq, {(MY1 - MY0 + 1) * 256} AS nr, {(MX1 - MX0 + 1) * 256} AS nc,
+    least({(MY1 - MY0 + 1) * 256 - 1}::DOUBLE, greatest(0.0::DOUBLE, {MERCATOR})) AS y, least({(MX1 - MX0 + 1) * 256 - 1}::DOUBLE, greatest(0.0::DOUBLE, (lng + 180) / 360 * {2.0**ZOOM}::DOUBLE * 256 - {MX0 * 256})) AS x FROM track_points""", f"(SELECT r + {Y_PIXEL - MY0 * 256} AS r, c + {X_PIXEL - MX0 * 256} AS c, z FROM dem)") + ")"),
+    "survey_mosaic_sample": "WITH cells AS (SELECT p_partkey // 100 AS file, p_partkey % 100 // 10 AS r, p_partkey % 10 AS c, p_size::DOUBLE AS z FROM part), points AS (SELECT c_custkey AS point_id, (c_custkey * 37 % 4600) / 10.0::DOUBLE AS px, (c_custkey * 53 % 2000) / 10.0::DOUBLE AS py FROM customer),\n"
+    "held AS (SELECT point_id, min(file) AS file, any_value(px) AS px, any_value(py) AS py FROM points, (SELECT DISTINCT file FROM cells) WHERE px BETWEEN file % 10 * 45 AND file % 10 * 45 + 50 AND py BETWEEN file // 10 * 45 AND file // 10 * 45 + 50 GROUP BY point_id)\n"
+    "SELECT point_id, file, round(z, 4) AS z FROM points LEFT JOIN (" + between("SELECT point_id, file, 10 AS nr, 10 AS nc, least(9.0::DOUBLE, greatest(0.0::DOUBLE, 10 - 0.5::DOUBLE - (py - file // 10 * 45.0::DOUBLE) / 5.0::DOUBLE)) AS y, least(9.0::DOUBLE, greatest(0.0::DOUBLE, (px - file % 10 * 45.0::DOUBLE) / 5.0::DOUBLE - 0.5::DOUBLE)) AS x FROM held", "cells", "file") + ") q USING (point_id)",
+    "render_raster": with_views("dem", f"""SELECT r AS y, c AS x, {ramp(0).replace(', 4)', ', 2)')} AS red, {ramp(1).replace(', 4)', ', 2)')} AS green, {ramp(2).replace(', 4)', ', 2)')} AS blue, {js(FADE)}::BIGINT AS alpha,
+  round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5 + (greatest(0.0::DOUBLE, sin(radians(46.0::DOUBLE)) * cos(sl) + cos(radians(46.0::DOUBLE)) * sin(sl) * cos(radians(315.0::DOUBLE) - asp)) - sin(radians(46.0::DOUBLE))) * 1.15::DOUBLE)) * 255, 2) AS grey
+  FROM (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5 + ((z - lo) / greatest(hi - lo, 1.0) - 0.5) * 1.5::DOUBLE)) AS p, atan(sqrt(dx * dx + dy * dy)) AS sl, atan2(dy, -dx) AS asp FROM (
+    SELECT *, (coalesce(lead(z) OVER j, z) - coalesce(lag(z) OVER j, z)) / (2 * (4.6e-4 * nc * 111132.0::DOUBLE * cos(radians(54.4825::DOUBLE)) / w)) * 2.8::DOUBLE AS dx, (coalesce(lead(z) OVER k, z) - coalesce(lag(z) OVER k, z)) / (2 * (2.7e-4 * nr * 111132.0::DOUBLE / h)) * 2.8::DOUBLE AS dy
+    FROM ({PICTURE}) WINDOW j AS (PARTITION BY r ORDER BY c), k AS (PARTITION BY c ORDER BY r)))"""),
     "grid_min_max": with_views("dem", 'SELECT max(r) + 1 AS rows, max(c) + 1 AS "columns", min(z) AS low, max(z) AS high FROM dem'),
     "grid_geometry": with_views("dem", "SELECT r, c, round(54.4825::DOUBLE - r * 2.7e-4, 9) AS lat, round(18.4525::DOUBLE + c * 4.6e-4, 9) AS lng FROM dem"),
     "bilinear_sample": with_views("track_points dem", f"""SELECT p.user_id, p.seq, round(sum(z * CASE WHEN dem.r = r0 AND dem.c = c0 THEN (1 - fc) * (1 - fr) ELSE 0 END + z * CASE WHEN dem.r = r0 AND dem.c = c1 THEN fc * (1 - fr) ELSE 0 END

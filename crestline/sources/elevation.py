@@ -16,6 +16,7 @@ from crestline.functions.numeric import js_round
 from crestline.operators.checkpoints import ensure_checkpoint_dir
 
 TILE = 256
+HEIGHTS_VERSION = 1
 
 
 def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
@@ -59,6 +60,30 @@ def to_packed(cells: DataFrame, columns: int) -> DataFrame:
     return packed.select("key", "columns", F.base64("data").alias("data_base64"))
 
 
+def read_height_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, cells) of whole JSON documents with schemaVersion 1, bounds, rows, columns and dataBase64.
+
+    documents: file, north, south, east, west, rows, columns, source, spacing_meters; cells: key (the file), r, c, z.
+    """
+    schema = "schemaVersion int, source string, bounds struct<north: double, south: double, east: double, west: double>, rows int, columns int, spacingMeters double, dataBase64 string"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+    checked = rows.where(F.assert_true(F.col("schemaVersion").eqNullSafe(HEIGHTS_VERSION), F.lit("unknown schema version")).isNull())
+    cells = from_packed(checked.select(F.col("file").alias("key"), "columns", F.col("dataBase64").alias("data_base64")))
+    return checked.select("file", "bounds.*", "rows", "columns", "source", F.col("spacingMeters").alias("spacing_meters")), cells
+
+
+def write_height_document(cells: DataFrame, path: str, box: dict[str, float], rows: int, columns: int, spacing: float, source: str) -> None:
+    """One document of cells (r, c, z): it is packed as a whole, so it is for areas that a map loads at once; larger rasters stay in Parquet."""
+    keyed = cells.select(F.lit("all").alias("key"), "r", "c", "z")
+    low_high = cells.agg((js_round(F.min("z") * 10) / 10).alias("minElevationMeters"), (js_round(F.max("z") * 10) / 10).alias("maxElevationMeters"))
+    bounds = F.struct(*(F.lit(float(box[k])).alias(k) for k in ("north", "south", "east", "west")))
+    document = to_packed(keyed, columns).crossJoin(low_high).select(  # one row each
+        F.lit(HEIGHTS_VERSION).alias("schemaVersion"), F.lit(source).alias("source"), bounds.alias("bounds"), F.lit(rows).alias("rows"), "columns",
+        F.lit(float(spacing)).alias("spacingMeters"), F.lit("decimetres").alias("unit"), "minElevationMeters", "maxElevationMeters", F.col("data_base64").alias("dataBase64"),
+    )
+    document.coalesce(1).write.json(path)
+
+
 def decimetres(z: Column) -> Column:
     return js_round(z * 10).cast("smallint")
 

@@ -56,3 +56,35 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
     checked = F.assert_true(F.col("schema_version") == SNAPSHOT_VERSION, F.lit("unknown schema version"))
     return rows.where(checked.isNull()).drop("schema_version")
+
+
+def _document(spark: SparkSession, path: str) -> DataFrame:
+    """The snapshot documents at path; another schema version is an error."""
+    names = ["id string", "category string", *(f"{_camel(c)} string" for c in KEPT.values()), "blocksOnFoot boolean", "coordinates array<array<double>>"]
+    schema = f"schemaVersion int, features array<struct<{', '.join(n.replace(' ', ': ', 1) for n in names)}>>, barrierOpenings array<array<double>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    return rows.where(F.assert_true(F.col("schemaVersion").eqNullSafe(SNAPSHOT_VERSION), F.lit("unknown schema version")).isNull())
+
+
+def _camel(name: str) -> str:
+    head, *rest = name.split("_")
+    return head + "".join(w.capitalize() for w in rest)
+
+
+def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(ways as features() gives them, openings) of whole JSON documents with features and barrierOpenings, coordinates as [lat, lng]."""
+    document = _document(spark, path)
+    pair = lambda p: F.struct(F.get(p, F.lit(0)).alias("lat"), F.get(p, F.lit(1)).alias("lng"))
+    ways = document.select(F.inline("features"))
+    found = ways.select("id", "category", *(F.col(_camel(c)).alias(c) for c in KEPT.values()), F.col("blocksOnFoot").alias("blocks_on_foot"), F.transform("coordinates", pair).alias("coordinates"))
+    return found, document.select(F.explode("barrierOpenings").alias("p")).select(pair(F.col("p")).alias("p")).select("p.*")
+
+
+def views(ways: DataFrame) -> dict[str, DataFrame]:
+    """What can be travelled, what closes the way on foot, paths (tracks too) and watercourses."""
+    return {
+        "ways": ways.where("category NOT IN ('water', 'barrier')"),
+        "barriers": ways.where("category = 'barrier' AND blocks_on_foot"),
+        "paths": ways.where("category = 'path' OR highway = 'track'"),
+        "waterways": ways.where("category = 'water'"),
+    }

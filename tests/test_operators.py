@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from crestline.functions import geo
 from crestline.operators import contours, network, raster, search
 from crestline.operators.checkpoints import ensure_checkpoint_dir
 from crestline.sources import elevation, ways
@@ -181,3 +182,89 @@ def test_terrain_in_one_row_a_cell(spark):
     for r in fine.collect():
         want = own[r.r // 3, r.c // 3] if r.r % 3 == 0 and r.c % 3 == 0 else grid[r.r, r.c]
         assert (r.mean_slope, r.max_slope) == pytest.approx((want, want), abs=1e-6)
+
+
+def test_heights_between_cells_by_brute_force(spark):
+    """Squares of the raster join points near and across their borders; a missing cell leaves no height."""
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(40, 37))
+    cells = [(r, c, float(z[r, c])) for r in range(40) for c in range(37) if (r, c) != (5, 5)]
+    dem = spark.createDataFrame(cells, "r long, c long, z double")
+    asked = [(k, float(y), float(x)) for k, (y, x) in enumerate(zip(rng.uniform(0, 39, 400), rng.uniform(0, 36, 400)))] + [(400, 39.0, 36.0), (401, 16.0, 15.5), (402, 15.5, 16.0), (403, 5.5, 4.5), (404, 6.0, 6.0), (405, 4.0, 5.5)]
+    points = spark.createDataFrame(asked, "k int, _y double, _x double").withColumns({"_rows": F.lit(40), "_columns": F.lit(37)})
+    got = {r.k: r.z for r in raster.between_cells(points, dem).collect()}
+    assert len(got) == len(asked)
+    for k, y, x in asked:
+        r, c = int(y), int(x)
+        corners = [(r, c, (1 - x + c) * (1 - y + r)), (r, min(c + 1, 36), (x - c) * (1 - y + r)), (min(r + 1, 39), c, (1 - x + c) * (y - r)), (min(r + 1, 39), min(c + 1, 36), (x - c) * (y - r))]
+        if any((i, j) == (5, 5) and w for i, j, w in corners):
+            assert got[k] is None
+        else:
+            assert got[k] == pytest.approx(sum(z[i, j] * w for i, j, w in corners), abs=1e-9)
+
+
+def test_tiles_make_one_mosaic(spark):
+    """Four tiles of four pixels: heights go on over their borders, are clamped outside, and a tile that is not there leaves none."""
+    from crestline.operators import mosaics
+
+    zoom, size = 3, 4
+    box = {"north": 30.0, "south": -30.0, "west": -40.0, "east": 40.0}
+    x0, x1, y0, y1 = mosaics.tile_range(box, zoom)
+    assert (x0, x1, y0, y1) == (3, 4, 3, 4)
+    cells = [(x, y, r, c, 128, x * size + c, 0) for x in (3, 4) for y in (3, 4) for r in range(size) for c in range(size)]
+    tiles = spark.createDataFrame(cells, "x long, y long, r long, c long, red int, green int, blue int")
+    points = spark.createDataFrame([(k, 1.0, lng) for k, lng in enumerate((-40.0, 0.0, 13.0, 80.0, 170.0))], "k int, lat double, lng double")
+    got = {r.k: (r.lng, r.z) for r in mosaics.sample_tiles(points, tiles, box, zoom, size).collect()}
+    for lng, z in got.values():
+        assert z == pytest.approx(min(max((lng + 180) / 360 * 8 * size, 12), 19))
+    partly = mosaics.sample_tiles(points, tiles.where("x = 3"), box, zoom, size)
+    assert {r.k: r.z for r in partly.collect()}[0] is not None and partly.where("k > 0 AND z IS NOT NULL").count() == 0
+    grid_ = mosaics.grid_from_tiles(tiles, box, zoom, 1e6, size)
+    assert grid_.count() == 256 and grid_.where("z IS NULL").count() == 0  # no fewer than sixteen rows and columns
+    assert [tuple(r) for r in mosaics.flat(spark).orderBy("r", "c").collect()] == [(0, 0, 0.0), (0, 1, 0.0), (1, 0, 0.0), (1, 1, 0.0)]
+
+
+def test_survey_grids_are_resampled(spark, tmp_path):
+    """The first of two grids that overlap counts, outer edges are half a cell out, no-data is no height, gaps are filled."""
+    from crestline.operators import mosaics
+
+    (tmp_path / "a.asc").write_text("ncols 3\nnrows 2\nxllcorner 0\nyllcorner 0\ncellsize 2\nNODATA_value -9999\n1 2 3\n4 5 -9999\n")
+    (tmp_path / "b.asc").write_text("ncols 2\nnrows 2\nxllcorner 4\nyllcorner 0\ncellsize 2\n10 20\n30 40\n")
+    cells = elevation.read_ascii_grid(spark, str(tmp_path))
+    grids = mosaics.survey_grids(cells)
+    assert sorted((r.west, r.south, r.rows, r.columns) for r in grids.collect()) == [(0.0, 0.0, 2, 3), (4.0, 0.0, 2, 2)]
+    asked = [(1, 1.0, 3.0), (2, 2.0, 2.0), (3, 5.0, 3.0), (4, 7.0, 1.0), (5, 9.0, 1.0), (6, 0.0, 0.0), (7, 5.0, 1.0), (8, 6.0, 4.0)]
+    got = {r.k: r.z for r in mosaics.sample_surveys(spark.createDataFrame(asked, "k int, px double, py double"), ["k"], grids, cells).collect()}
+    assert got == {1: 1.0, 2: 3.0, 3: 3.0, 4: 40.0, 5: None, 6: 4.0, 7: None, 8: 3.0}
+
+    center = spark.range(1).select(F.lit(54.45).alias("lat"), F.lit(18.5).alias("lng")).withColumn("p", geo.to_poland_1992(geo.Point(F.col("lat"), F.col("lng")))).select("p.*").first()
+    east, north = center["x"] - 50, center["y"] - 50
+    plane = spark.createDataFrame([("g", r, c, float(10 * r + c)) for r in range(20) for c in range(10)], "file string, r long, c long, z double")
+    one = spark.createDataFrame([("g", 20, 10, 5.0, 5.0, east, north)], "file string, rows int, columns int, dx double, dy double, west double, south double")
+    box = {"north": 54.4504, "south": 54.4496, "west": 18.4993, "east": 18.5013}
+    rows = mosaics.resampled(one, plane, box, 10.0).collect()
+    size = mosaics.grid_size(box, 10.0, 111_320.0)
+    assert len(rows) == size[0] * size[1] and all(r.decimetres == round(r.z * 10) for r in rows) and min(r.z for r in rows) >= 0 and max(r.z for r in rows) <= 199
+
+
+def test_documents_round_trip(spark, tmp_path):
+    feature = {"id": "way/1", "category": "barrier", "barrier": "wall", "blocksOnFoot": True, "sidewalkLeft": "yes", "coordinates": [[54.0, 18.0], [54.1, 18.1]]}
+    others = [{"id": "way/2", "category": "road", "highway": "track", "coordinates": [[54.0, 18.0], [54.2, 18.0]]}, {"id": "way/3", "category": "water", "waterway": "stream", "coordinates": [[54.0, 18.0], [54.2, 18.0]]}]
+    (tmp_path / "w.json").write_text(json.dumps({"schemaVersion": 3, "source": "x", "features": [feature, *others], "barrierOpenings": [[54.5, 18.5]]}, indent=1))
+    found, gates = ways.read_document(spark, str(tmp_path / "w.json"))
+    rows = {r.id: r for r in found.collect()}
+    assert rows["way/1"].sidewalk_left == "yes" and rows["way/1"].blocks_on_foot and [(p.lat, p.lng) for p in rows["way/1"].coordinates] == [(54.0, 18.0), (54.1, 18.1)]
+    assert [tuple(r) for r in gates.collect()] == [(54.5, 18.5)]
+    assert {k: [r.id for r in v.collect()] for k, v in ways.views(found).items()} == {"ways": ["way/2"], "barriers": ["way/1"], "paths": ["way/2"], "waterways": ["way/3"]}
+    (tmp_path / "old.json").write_text(json.dumps({"schemaVersion": 2, "features": [feature], "barrierOpenings": []}))
+    with pytest.raises(Exception, match="unknown schema version"):
+        ways.read_document(spark, str(tmp_path / "old.json"))[0].collect()
+
+    box = {"north": 2.0, "south": 1.0, "west": 3.0, "east": 4.0}
+    elevation.write_height_document(grid(spark, [[1.23, 2], [-3, 4.56]]), str(tmp_path / "h"), box, 2, 2, 5.0, "survey")
+    documents, cells = elevation.read_height_document(spark, str(tmp_path / "h"))
+    one = documents.first()
+    assert (one.north, one.south, one.west, one.east, one.rows, one.columns, one.source, one.spacing_meters) == (2.0, 1.0, 3.0, 4.0, 2, 2, "survey", 5.0)
+    assert sorted((r.r, r.c, r.z) for r in cells.collect()) == [(0, 0, 1.2), (0, 1, 2.0), (1, 0, -3.0), (1, 1, 4.6)]
+    raw = json.loads(next((tmp_path / "h").glob("*.json")).read_text())
+    assert raw["schemaVersion"] == 1 and raw["minElevationMeters"] == -3.0 and raw["maxElevationMeters"] == 4.6
