@@ -161,6 +161,15 @@ def met(columns: str, source: str) -> str:
     SELECT *, (a_x - b_x) * (c_y - d_y) - (a_y - b_y) * (c_x - d_x) AS den FROM (SELECT *, {flat} FROM (SELECT *, (a_lat + b_lat + c_lat + d_lat) / 4 AS ref FROM ({source})))))"""
 
 
+def nearest(asked: str, limit: int) -> str:
+    """The nearest nodes of the rows of asked (request_id, lat, lng), by rings of buckets."""
+    return f"""SELECT request_id, k AS rank, lat_e6, lng_e6, round(meters, 4) AS meters FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(meters, 6), lat_e6, lng_e6) AS k FROM (
+  SELECT *, min(CASE WHEN held >= {2 * limit} THEN ring END) OVER (PARTITION BY request_id) AS last FROM (SELECT *, count(*) OVER (PARTITION BY request_id ORDER BY ring) AS held FROM (
+    SELECT o.request_id, lat_e6, lng_e6, sqrt(pow((n.lng - o.lng) * (111132.0::DOUBLE * cos((o.lat + n.lat) / 2 * pi() / 180)), 2) + pow((n.lat - o.lat) * 111132.0::DOUBLE, 2)) AS meters,
+      (SELECT min(g) FROM range(1, 9) t(g) WHERE floor(n.lat / 0.001) BETWEEN floor((o.lat - g * 0.001::DOUBLE) / 0.001) AND floor((o.lat + g * 0.001::DOUBLE) / 0.001) AND floor(n.lng / 0.001) BETWEEN floor((o.lng - g * 0.001::DOUBLE) / 0.001) AND floor((o.lng + g * 0.001::DOUBLE) / 0.001)) AS ring
+    FROM {asked} o JOIN nodes n ON abs(n.lat - o.lat) < 0.01 AND abs(n.lng - o.lng) < 0.01) WHERE ring IS NOT NULL)) WHERE ring <= coalesce(last, 8)) WHERE k <= {limit}"""
+
+
 NEAR = "abs({0}.lat - {1}.lat) < 0.0006 AND abs({0}.lng - {1}.lng) < 0.0006 AND sqrt(pow(({1}.lng - {0}.lng) * (111132.0::DOUBLE * cos(({0}.lat + {1}.lat) / 2 * pi() / 180)), 2) + pow(({1}.lat - {0}.lat) * 111132.0::DOUBLE, 2)) <= {2}"
 BOXES = "least(a_lat, b_lat) <= greatest(c_lat, d_lat) + 1e-5 AND greatest(a_lat, b_lat) >= least(c_lat, d_lat) - 1e-5 AND least(a_lng, b_lng) <= greatest(c_lng, d_lng) + 1e-5 AND greatest(a_lng, b_lng) >= least(c_lng, d_lng) - 1e-5"
 SPEED = "greatest(6.0::DOUBLE, 4.6::DOUBLE * (exp(-3.5::DOUBLE * abs({g} + 0.05)) / exp(-3.5::DOUBLE * 0.05)) * {s} * 1000 / 60)"
@@ -181,11 +190,7 @@ SQL = {
   AND p.is_path AND s.is_street AND (p.tagged_crossing OR s.tagged_crossing) AND NOT (p.bridge_or_tunnel <> s.bridge_or_tunnel AND p.layer_number <> s.layer_number)""") + ") WHERE lat IS NOT NULL)", "ways vertices segments known").replace("\nSELECT count(*) AS points", ", side AS (SELECT *, floor(a_lat / 0.0005) AS k, floor(a_lng / 0.0005) AS j FROM segments JOIN known USING (way_id) WHERE NOT restricted)\nSELECT count(*) AS points"),
     "near_crossing_semi": q(f"SELECT request_id FROM origins o WHERE EXISTS (SELECT 1 FROM tagged t WHERE {NEAR.format('o', 't', 24)})", "ways vertices origins").replace("\nSELECT request_id", ", tagged AS (SELECT DISTINCT lat, lng FROM vertices SEMI JOIN (SELECT way_id FROM ways WHERE crossing IS NOT NULL) USING (way_id))\nSELECT request_id"),
     "barrier_violation_anti": q(f"SELECT way_id, pos FROM segments ANTI JOIN (SELECT way_id, pos FROM met WHERE lat IS NOT NULL AND NOT EXISTS (SELECT 1 FROM openings o WHERE {NEAR.format('met', 'o', 12)})) USING (way_id, pos)", "vertices segments barriers openings").replace("\nSELECT way_id, pos FROM segments ANTI", ", met AS (" + met("way_id, pos", f"SELECT s.way_id, s.pos, s.a_lat, s.a_lng, s.b_lat, s.b_lng, b.a_lat AS c_lat, b.a_lng AS c_lng, b.b_lat AS d_lat, b.b_lng AS d_lng FROM segments s JOIN barriers b ON {BOXES.replace('a_', 's.a_').replace('b_', 's.b_').replace('c_', 'b.a_').replace('d_', 'b.b_')}") + ")\nSELECT way_id, pos FROM segments ANTI"),
-    "nearest_nodes_topk": q("""SELECT request_id, k AS rank, lat_e6, lng_e6, round(meters, 4) AS meters FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(meters, 6), lat_e6, lng_e6) AS k FROM (
-  SELECT *, min(CASE WHEN held >= 48 THEN ring END) OVER (PARTITION BY request_id) AS last FROM (SELECT *, count(*) OVER (PARTITION BY request_id ORDER BY ring) AS held FROM (
-    SELECT o.request_id, lat_e6, lng_e6, sqrt(pow((n.lng - o.lng) * (111132.0::DOUBLE * cos((o.lat + n.lat) / 2 * pi() / 180)), 2) + pow((n.lat - o.lat) * 111132.0::DOUBLE, 2)) AS meters,
-      (SELECT min(g) FROM range(1, 9) t(g) WHERE floor(n.lat / 0.001) BETWEEN floor((o.lat - g * 0.001::DOUBLE) / 0.001) AND floor((o.lat + g * 0.001::DOUBLE) / 0.001) AND floor(n.lng / 0.001) BETWEEN floor((o.lng - g * 0.001::DOUBLE) / 0.001) AND floor((o.lng + g * 0.001::DOUBLE) / 0.001)) AS ring
-    FROM origins o JOIN nodes n ON abs(n.lat - o.lat) < 0.01 AND abs(n.lng - o.lng) < 0.01) WHERE ring IS NOT NULL)) WHERE ring <= coalesce(last, 8)) WHERE k <= 24""", "ways vertices origins known nodes"),
+    "nearest_nodes_topk": q(nearest("origins", 24), "ways vertices origins known nodes"),
     "segment_profile": q(f"""SELECT s.way_id, s.pos, round(coalesce(sum(step), 0), 4) + 0.0::DOUBLE AS distance_m, round(coalesce(sum(dz), 0), 4) + 0.0::DOUBLE AS change_m, round(coalesce(sum(greatest(dz, 0)), 0), 4) + 0.0::DOUBLE AS ascent_m, round(coalesce(sum(greatest(-dz, 0)), 0), 4) + 0.0::DOUBLE AS descent_m, round(coalesce(max(abs(dz / step)), 0), 4) + 0.0::DOUBLE AS max_grade,
   round(coalesce(sum(step / {SPEED.format(g='(dz / step)', s='0.92::DOUBLE')}), 0), 4) + 0.0::DOUBLE AS minutes
 FROM segments s LEFT JOIN (SELECT way_id, pos, step, z - lag(z) OVER (PARTITION BY way_id, pos ORDER BY k) AS dz FROM (
@@ -201,5 +206,9 @@ GROUP BY s.way_id, s.pos""", "vertices segments dem"),
   FROM origins CROSS JOIN (VALUES ('balanced'), ('direct'), ('mapped')) f(flavor)""", "origins"),
     "flavor_settings": q("""SELECT request_id, flavor, CASE flavor WHEN 'mapped' THEN greatest(off_trail_aversion, 3.2::DOUBLE) WHEN 'direct' THEN 1.0::DOUBLE ELSE off_trail_aversion END AS aversion, CASE flavor WHEN 'direct' THEN greatest(max_off_trail_meters, 900.0::DOUBLE) ELSE max_off_trail_meters END AS budget, greatest(0.02::DOUBLE, max_grade_percent / 100) AS max_grade,
   least(CASE profile WHEN 'hiker' THEN 60.0 WHEN 'runner' THEN 45.0 ELSE 25.0 END::DOUBLE, greatest(5.0::DOUBLE, max_grade_percent)) AS limit_percent FROM origins CROSS JOIN (VALUES ('balanced'), ('direct'), ('mapped')) f(flavor)""", "origins"),
+    "network_sssp": q("SELECT source, node, round(min(cost), 4) AS cost FROM reached GROUP BY source, node", "ways vertices segments openings known nodes streets edges").replace("WITH ", "WITH RECURSIVE ", 1).replace("\nSELECT source, node", f""", start AS ({nearest("(SELECT opening_id AS request_id, lat, lng FROM openings)", 1)}),
+links AS (SELECT a, b, min(meters) AS step FROM (SELECT from_lat || ',' || from_lng AS a, to_lat || ',' || to_lng AS b, meters FROM edges UNION ALL SELECT to_lat || ',' || to_lng, from_lat || ',' || from_lng, meters FROM edges) GROUP BY a, b),
+reached AS (SELECT request_id AS source, lat_e6 || ',' || lng_e6 AS node, 0.0::DOUBLE AS cost FROM start UNION SELECT source, b, cost + step FROM reached JOIN links ON a = node WHERE cost + step <= 60)
+SELECT source, node"""),
 }
 SQL["graph_stats"] = f"SELECT g.*, c.points AS crossings, b.barriers, o.openings FROM ({SQL['graph_stats']}) g, ({SQL['crossing_points']}) c, ({with_views('barriers', 'SELECT count(*) AS barriers FROM barriers')}) b, ({with_views('openings', 'SELECT count(*) AS openings FROM openings')}) o"
