@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, near_dedup, packing, quality_rules, spiece, substring_dedup, token_counts, token_output, toxicity
+from . import decontamination, divergence, exact_dedup, importance, license_scan, near_dedup, packing, quality_rules, spiece, substring_dedup, token_counts, token_output, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.q_toxicity,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_token_output": token_output.q_token_output,
     "op9_substring_dedup": substring_dedup.q_substring_dedup,
     "op10_near_dedup": near_dedup.q_near_dedup,
+    "op11_divergence": divergence.q_divergence,
+    "op12_importance": importance.q_importance,
+    "op13_decontamination": decontamination.q_decontamination,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op7_quality_rules": quality_rules.SQL,
     "op10_near_dedup": near_dedup.SQL,
+    "op11_divergence": divergence.SQL,
+    "op12_importance": importance.SQL,
+    "op13_decontamination": decontamination.SQL,
 }
