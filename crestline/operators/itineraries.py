@@ -1,14 +1,12 @@
 """Whole routes for batches of requests: legs, connectors at both ends, the way between, and what they add up to.
 
 Every measure is taken by joins over all legs at once. A grouped function only settles labels,
-over the hops within one leg's off-trail budget or the edges within one leg's window. A leg's way is
-accepted once no way that leaves its window could be cheaper; other legs try again in a window
-twice as wide, until it holds the whole network, so a window changes no result.
+over the hops within one leg's off-trail budget, the edges of one cell of the network, or the
+overlay of its cells.
 """
 
 from __future__ import annotations
 
-import heapq
 from functools import reduce
 
 import pandas as pd
@@ -17,11 +15,10 @@ from pyspark.sql import functions as F
 
 from crestline.functions import costs, geo
 
-from . import network, routes, search
+from . import network, overlay, routes, search
 from .checkpoints import ensure_checkpoint_dir
 
 CONNECTOR_NODES, PATH_NODES = 24, 64
-WINDOW_METERS = 400.0
 SETTINGS = ["profile", "max_grade_percent", "aversion", "budget", "allow_crossing", "allow_street", "avoid_water"]
 SHORTEST = 0.5
 
@@ -188,76 +185,25 @@ def connected(asked: DataFrame, ends: DataFrame, ground: Ground) -> tuple[DataFr
     return good, measured.join(good.drop("cost"), ["leg_id", "end", "node"], "left_semi")
 
 
-def best_ways(asked: DataFrame, entries: DataFrame, goals: DataFrame, ground: Ground) -> DataFrame:
+METRIC = ["profile", "max_grade_percent", "allow_crossing", "allow_street", "avoid_water"]
+
+
+def best_ways(asked: DataFrame, entries: DataFrame, goals: DataFrame, ground: Ground, cell_nodes: int | None = None) -> DataFrame:
     """leg_id, entry, goal, cost, edges (array of way_id, pos, a, b in order): each leg's cheapest way from an entry over the network to a goal.
 
-    entries and goals: leg_id, node, cost. Legs that cannot be served have no row.
+    entries and goals: leg_id, node, cost. Legs that cannot be served have no row, and are refused before any search.
+    Legs with the same settings share one overlay, so a task holds a cell, or an overlay, and a bounded number of legs.
     """
-    profiles = asked.select("profile").distinct()
     key = ["way_id", "pos", "a", "b", "profile"]
-    each = ground.edges.crossJoin(F.broadcast(profiles.where(F.col("profile").isin(list(costs.FLAT_SPEED_KMH)))))  # three rows at most
-    priced = each.join(ground.measures(each, key, F.col("surface_class")), key).withColumn("bucket", network.bucket_key(network.bucket_row(F.col("a_lat")), network.bucket_row(F.col("a_lng")))).drop("a_lat", "a_lng", "b_lat", "b_lng").checkpoint()
-    box = ground.nodes.agg(F.min("lat"), F.max("lat"), F.min("lng"), F.max("lng")).first()
-    if box[0] is None:
-        return asked.sparkSession.createDataFrame([], "leg_id string, entry string, goal string, cost double, edges array<struct<way_id: long, pos: int, a: string, b: string>>")
-    extent = (box[1] - box[0] + box[3] - box[2]) * geo.METERS_PER_DEGREE_LATITUDE
-    fastest = costs.lookup(F.col("profile"), {p: v * max(s[p] for s in costs.SURFACE_SPEED.values()) * 1000 / 60 / costs.FLAT for p, v in costs.FLAT_SPEED_KMH.items()})
+    named = asked.withColumn("metric", F.concat_ws("|", *(F.col(c).cast("string") for c in METRIC)))
+    rules = named.select("metric", *METRIC).distinct().checkpoint()
+    each = ground.edges.join(rules.select("profile").distinct().where(F.col("profile").isin(list(costs.FLAT_SPEED_KMH))), how="cross")  # three rows at most
+    priced = each.join(ground.measures(each, key, F.col("surface_class")), key)
     allowed = costs.edge_allowed(F.col("profile"), F.col("surface_class"), F.col("is_street"), F.col("walkway"), F.col("allow_street"), F.col("crosses_street"), F.col("allow_crossing"), F.col("near_crossing")) & costs.profile_allowed(F.col("max_grade"), F.col("max_grade_percent"), F.col("water_risk"), F.col("avoid_water"), F.col("bridge_or_tunnel"))
-    schema = "leg_id string, entry string, goal string, cost double, edges array<struct<way_id: long, pos: int, a: string, b: string>>"
-
-    def cheapest(group: pd.DataFrame) -> pd.DataFrame:
-        leaving: dict[str, list] = {}
-        for way, pos, a, b, cost in group[group["kind"] == "edge"][["way_id", "pos", "a", "b", "cost"]].sort_values(["a", "b", "cost", "way_id", "pos"]).itertuples(index=False):
-            leaving.setdefault(a, []).append((b, cost, (int(way), int(pos), a, b)))
-        ends = dict(group[group["kind"] == "goal"][["a", "cost"]].itertuples(index=False, name=None))
-        label = {}
-        for node, cost in group[group["kind"] == "entry"][["a", "cost"]].sort_values(["cost", "a"]).itertuples(index=False):
-            label.setdefault(node, (cost, None))
-        heap = sorted((cost, node) for node, (cost, _) in label.items())
-        best, done = None, set()
-        while heap:
-            cost, a = heapq.heappop(heap)
-            if a in done:
-                continue
-            if best is not None and cost > best[0]:
-                break
-            done.add(a)
-            if a in ends and (best is None or cost + ends[a] < best[0]):
-                best = (cost + ends[a], a)
-            for b, step, edge in leaving.get(a, ()):
-                if b not in done and (b not in label or cost + step < label[b][0]):
-                    label[b] = (cost + step, edge)
-                    heapq.heappush(heap, (cost + step, b))
-        if best is None:
-            return pd.DataFrame(columns=["leg_id", "entry", "goal", "cost", "edges"])
-        edges, at = [], best[1]
-        while label[at][1] is not None:
-            edges.append(dict(zip(("way_id", "pos", "a", "b"), label[at][1], strict=True)))
-            at = label[at][1][2]
-        return pd.DataFrame([(group["leg_id"].iloc[0], at, best[1], best[0], edges[::-1])], columns=["leg_id", "entry", "goal", "cost", "edges"])
-
-    blank = {"way_id": F.lit(None).cast("long"), "pos": F.lit(None).cast("int"), "b": F.lit(None).cast("string")}
-    shown = ["leg_id", "kind", "way_id", "pos", "a", "b", "cost"]
-    fixed = [rows.select("leg_id", F.lit(kind).alias("kind"), F.col("node").alias("a"), "cost").withColumns(blank).select(*shown) for kind, rows in (("entry", entries), ("goal", goals))]
-    servable = asked.join(entries, "leg_id", "left_semi").join(goals, "leg_id", "left_semi").checkpoint()
-    pad, served = WINDOW_METERS, []
-    while not servable.isEmpty():
-        degrees = pad / (geo.METERS_PER_DEGREE_LATITUDE * 0.5)  # at least so many metres up to 60 degrees of latitude
-        spread = [f(F.col(f"a_{k}"), F.coalesce(f"b_{k}", f"a_{k}")) for k in ("lat", "lng") for f in (F.least, F.greatest)]
-        windows = network.in_buckets(servable, geo.Point(spread[0], spread[2]), geo.Point(spread[1], spread[3]), degrees)
-        cost = costs.edge_cost(allowed, F.col("minutes"), F.col("water_risk"), F.col("avoid_water"))
-        edges = windows.join(priced, ["bucket", "profile"]).withColumn("cost", cost).where("cost IS NOT NULL").select("leg_id", F.lit("edge").alias("kind"), "way_id", "pos", "a", "b", "cost")
-        rows = edges.unionByName(fixed[0].join(servable, "leg_id", "left_semi")).unionByName(fixed[1].join(servable, "leg_id", "left_semi"))
-        found = rows.groupBy("leg_id").applyInPandas(cheapest, schema)
-        if pad < extent:
-            ways_out = F.when(F.col("b_lat").isNull(), 1.0).otherwise(2.0) * pad / fastest * F.least(F.lit(1.0), F.col("aversion"))
-            found = found.join(servable.select("leg_id", ways_out.alias("least_outside")), "leg_id").where("cost <= least_outside").drop("least_outside")
-        found = found.checkpoint()
-        served.append(found)
-        if pad >= extent:
-            break
-        servable, pad = servable.join(found, "leg_id", "left_anti").checkpoint(), pad * 2
-    return reduce(DataFrame.unionByName, served) if served else asked.sparkSession.createDataFrame([], schema)
+    cost = costs.edge_cost(allowed, F.col("minutes"), F.col("water_risk"), F.col("avoid_water"))
+    edges = priced.join(rules, "profile").select("metric", "way_id", "pos", "a", "b", cost.alias("cost")).where("cost IS NOT NULL")
+    own = named.select("leg_id", "metric")
+    return overlay.Overlay(edges, ground.nodes.select("node", "lat", "lng"), cell_nodes).cheapest(*(r.select("leg_id", "node", "cost").join(own, "leg_id") for r in (entries, goals)))
 
 
 def route_hops(asked: DataFrame, ground: Ground) -> DataFrame:

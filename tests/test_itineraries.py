@@ -122,8 +122,9 @@ def check_connectors(good, lines):
         assert all((p.b_lat, p.b_lng) == pytest.approx((q.a_lat, q.a_lng)) for p, q in zip(parts[:-1], parts[1:], strict=True))
 
 
-def test_windows_change_nothing_and_equal_a_search_of_everything(spark, ground, monkeypatch):
-    """Costs of ways from small windows equal Dijkstra's over all edges, from the same connectors."""
+@pytest.mark.parametrize("cell_nodes", [1, 3, 8, 2_000])
+def test_ways_equal_a_search_of_everything_for_cells_of_any_size(spark, ground, cell_nodes):
+    """Costs of ways over the overlay equal Dijkstra's over all edges, from the same connectors."""
     requests = asked(spark, ("destination", [(11, 12), (29, 28)]), ("nearest", [(13, 13)]), ("destination", [(28, 11), (12, 29)]))
     legs = I.legs(requests)
     ends = I.ends_of(legs, ground)
@@ -131,8 +132,7 @@ def test_windows_change_nothing_and_equal_a_search_of_everything(spark, ground,
     check_connectors(good.where("leg_id = '0|0|0'"), lines.where("leg_id = '0|0|0'"))
     goals = good.where("end = 'finish'").drop("end").unionByName(ends.where("end = 'goal'").select("leg_id", "node", F.lit(0.0).alias("cost")))
     starts = good.where("end = 'start'").drop("end")
-    monkeypatch.setattr(I, "WINDOW_METERS", 20.0)
-    got = {r.leg_id: r for r in I.best_ways(legs, starts, goals, ground).collect()}
+    got = {r.leg_id: r for r in I.best_ways(legs, starts, goals, ground, cell_nodes).collect()}
     each = ground.edges.withColumn("profile", F.lit("hiker"))
     key = ["way_id", "pos", "a", "b"]
     edges = each.join(ground.measures(each, key, F.col("surface_class")), key).where("NOT is_street OR walkway").select("a", "b", F.greatest(F.lit(0.001), F.col("minutes") * (1 + F.col("water_risk") * 1.2)).alias("cost")).collect()
