@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from . import network, overlay, routes, search
 from .checkpoints import ensure_checkpoint_dir
 
 CONNECTOR_NODES, PATH_NODES = 24, 64
+HOP_TILE = 16
 SETTINGS = ["profile", "max_grade_percent", "aversion", "budget", "allow_crossing", "allow_street", "avoid_water"]
 SHORTEST = 0.5
 
@@ -84,8 +86,8 @@ class Ground:
         ).checkpoint()
 
     def measures(self, rows: DataFrame, key: list[str], surface: str | Column) -> DataFrame:
-        """The profile of each segment a-b for the rows' own profile column; water risk and side slope are 0 where no raster says more."""
-        found = network.segment_profile(rows, key, self.dem, self.place, F.col("profile"), surface, self.risk, self.slopes)
+        """The profile of each segment a-b for the rows' own profile column, or with minutes for every profile where there is none; water risk and side slope are 0 where no raster says more."""
+        found = network.segment_profile(rows, key, self.dem, self.place, F.col("profile") if "profile" in rows.columns else list(costs.FLAT_SPEED_KMH), surface, self.risk, self.slopes)
         return found.withColumns({n: F.lit(0.0) for n in ("water_risk", "side_slope") if n not in found.columns})
 
     def open_ground(self, rows: DataFrame, key: list[str]) -> DataFrame:
@@ -97,14 +99,14 @@ class Ground:
         return flagged.join(self.measures(flagged, key, "open-terrain"), key)
 
 
-def passable() -> Column:
-    """Whether a stretch of open ground is allowed by the settings beside it."""
-    roads = (F.col("allow_crossing") | ~F.col("crosses")) & (F.col("allow_street") | ~F.col("carriageway"))
-    return roads & costs.profile_allowed(F.col("max_grade"), F.col("max_grade_percent"), F.col("water_risk"), F.col("avoid_water"), F.lit(False))
+def passable(of=F.col) -> Column:
+    """Whether a stretch of open ground is allowed by the settings beside it; `of` finds what is named."""
+    roads = (of("allow_crossing") | ~of("crosses")) & (of("allow_street") | ~of("carriageway"))
+    return roads & costs.profile_allowed(of("max_grade"), of("max_grade_percent"), of("water_risk"), of("avoid_water"), F.lit(False))
 
 
-def step_cost() -> Column:
-    return costs.connector_step_cost(F.col("minutes"), F.col("aversion"), F.col("side_slope"), F.col("water_risk"), F.col("avoid_water"))
+def step_cost(of=F.col) -> Column:
+    return costs.connector_step_cost(of("minutes"), of("aversion"), of("side_slope"), of("water_risk"), of("avoid_water"))
 
 
 def ends_of(asked: DataFrame, ground: Ground) -> DataFrame:
@@ -124,57 +126,127 @@ def ends_of(asked: DataFrame, ground: Ground) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).checkpoint()
 
 
+HOP = ("distance_m", "minutes", "max_grade", "side_slope", "water_risk", "crosses", "carriageway")
+
+
+def spot(ground: Ground, r: Column, c: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of a cell."""
+    north, west, lat_step, lng_step = ground.place
+    return F.lit(north) - r * lat_step, F.lit(west) + c * lng_step
+
+
+def home_cells(rows: DataFrame, ground: Ground) -> DataFrame:
+    """rows (lat, lng, budget and others) with r, c, their cell, and spread_r, spread_c, how many cells away the budget can lead, by the length of a degree there."""
+    north, west, lat_step, lng_step = ground.place
+    farthest = F.least(F.abs("lat") + F.col("budget") / geo.METERS_PER_DEGREE_LATITUDE + lat_step, F.lit(89.0))
+    height, width = lat_step * geo.METERS_PER_DEGREE_LATITUDE, F.cos(F.radians(farthest)) * (lng_step * geo.METERS_PER_DEGREE_LATITUDE)
+    near = {"r": F.round((F.lit(north) - F.col("lat")) / lat_step).cast("long"), "c": F.round((F.col("lng") - F.lit(west)) / lng_step).cast("long")}
+    return rows.withColumns(near | {"spread_r": (F.ceil(F.col("budget") / height) + 1).cast("long"), "spread_c": (F.ceil(F.col("budget") / width) + 1).cast("long")})
+
+
+def hop_tiles(wanted: DataFrame, ground: Ground) -> DataFrame:
+    """profile, tile_r, tile_c, hops: the hops over open ground from each cell of the wanted tiles in all headings, with the measures in HOP.
+
+    wanted: profile, tile_r, tile_c. Hops are measured once for all requests and kept in files, one array a tile.
+    """
+    tile = ["tile_r", "tile_c"]
+    cells = ground.dem.select("r", "c", *(F.floor(F.col(k) / HOP_TILE).alias(f"tile_{k}") for k in "rc")).join(wanted.select(*tile).distinct(), tile)
+    headings = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in search.HEADINGS)))
+    tried = cells.withColumn("h", headings).select(F.col("r").alias("from_r"), F.col("c").alias("from_c"), (F.col("r") + F.col("h.dr")).alias("to_r"), (F.col("c") + F.col("h.dc")).alias("to_c"))
+    tried = tried.join(ground.dem.select(F.col("r").alias("to_r"), F.col("c").alias("to_c")), ["to_r", "to_c"], "left_semi")
+    ends = {f"{p}_{k}": spot(ground, F.col(f"{n}_r"), F.col(f"{n}_c"))[i] for p, n in (("a", "from"), ("b", "to")) for i, k in enumerate(("lat", "lng"))}
+    hops = ground.open_ground(tried.withColumns(ends), ["from_r", "from_c", "to_r", "to_c"])
+    code = lambda n: (F.shiftleft(F.col(f"{n}_r").cast("long"), 32) + F.col(f"{n}_c")).alias(n)
+    listed = F.collect_list(F.struct(code("from"), code("to"), *HOP)).alias("every")
+    tiles = hops.groupBy(*(F.floor(F.col(f"from_{k}") / HOP_TILE).alias(f"tile_{k}") for k in "rc")).agg(listed).checkpoint()
+    own = lambda h: costs.lookup(F.col("profile"), {p: h["minutes"][p] for p in costs.FLAT_SPEED_KMH})
+    return tiles.join(wanted, tile).select("profile", *tile, F.transform("every", lambda h: F.struct(h["from"].alias("from"), h["to"].alias("to"), *(own(h).alias(n) if n == "minutes" else h[n].alias(n) for n in HOP))).alias("hops"))
+
+
+def walkable(sources: DataFrame, ground: Ground) -> DataFrame:
+    """leg_id, end, budget, home, steps: for each source and tile within its budget the allowed hops (from, to, cost, meters), priced by its own settings.
+
+    sources: leg_id, end, lat, lng and SETTINGS. A source meets whole tiles, so it moves some rows of arrays, not one a hop.
+    """
+    placed = home_cells(sources, ground)
+    for k in "rc":
+        low, high = (F.floor((F.col(k) + sign * F.col(f"spread_{k}")) / HOP_TILE) for sign in (-1, 1))
+        placed = placed.withColumn(f"tile_{k}", F.explode(F.sequence(low, high)))
+    placed = placed.withColumn("home", F.shiftleft("r", 32) + F.col("c")).drop("r", "c", "spread_r", "spread_c").checkpoint()
+    tile = ["profile", "tile_r", "tile_c"]
+    priced = lambda h: F.struct(h["from"].alias("from"), h["to"].alias("to"), step_cost(lambda n: h[n] if n in HOP else F.col(n)).alias("cost"), h["distance_m"].alias("meters"))
+    allowed = F.filter("hops", lambda h: passable(lambda n: h[n] if n in HOP else F.col(n)))
+    return placed.join(hop_tiles(placed.select(*tile).distinct(), ground), tile).select("leg_id", "end", "budget", "home", F.transform(allowed, priced).alias("steps"))
+
+
+def settle_cells(tiles: pa.Table) -> tuple[int, dict[int, float], dict[int, float], dict[int, int]]:
+    """(home, cost, length, previous) of one source's search; from a finish, hops are walked backwards."""
+    steps = pa.concat_arrays([c.flatten() for c in tiles["steps"].chunks])
+    a, b, cost, meters = (steps.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+    if tiles["end"][0].as_py() == "finish":
+        a, b = b, a
+    order, home = np.lexsort((b, a)), tiles["home"][0].as_py()
+    walked = list(zip(*(x[order].tolist() for x in (a, b, cost, meters)), strict=True))
+    return (home, *search.settle_labels(walked, home, tiles["budget"][0].as_py()))
+
+
+def off_trail_reach(sources: DataFrame, ground: Ground) -> DataFrame:
+    """leg_id, end, r, c, cost, meters, before_r, before_c: every cell that a source reaches within its budget, and the cell before it on the cheapest way (null at home).
+
+    A cell's length is that of its cheapest label; labels over the budget end there.
+    """
+    schema = "leg_id string, end string, r long, c long, cost double, meters double, before_r long, before_c long"
+
+    def search_all(tiles: pa.Table) -> pa.Table:
+        _, cost, length, previous = settle_cells(tiles)
+        cells = sorted(cost)
+        n, place = len(cells), lambda keys: [[k if k is None else part(k) for k in keys] for part in (lambda k: k >> 32, lambda k: k & 0xFFFFFFFF)]
+        before = place([previous.get(k) for k in cells])
+        columns = [[tiles["leg_id"][0].as_py()] * n, [tiles["end"][0].as_py()] * n, *place(cells), [cost[k] for k in cells], [length[k] for k in cells], *before]
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
+
+    return walkable(sources, ground).groupBy("leg_id", "end").applyInArrow(search_all, schema)
+
+
 def connected(asked: DataFrame, ends: DataFrame, ground: Ground) -> tuple[DataFrame, DataFrame]:
     """((leg_id, end, node, cost), (leg_id, end, node, k, a, b and measures)) of the connectors that hold every rule on their real points.
 
     A search over cells proposes the cells between; then each proposed line is measured from its real ends, priced as it is walked.
     """
-    north, west, lat_step, lng_step = ground.place
-    row, column = lambda lat: F.round((F.lit(north) - F.col(lat)) / lat_step).cast("long"), lambda lng: F.round((F.col(lng) - F.lit(west)) / lng_step).cast("long")
     settings = asked.select("leg_id", *SETTINGS)
     wanted = ends.where("end <> 'goal'").join(settings.select("leg_id", "budget"), "leg_id")
     wanted = wanted.where(geo.distance(geo.Point(F.col("lat"), F.col("lng")), geo.at("t")) <= F.col("budget"))
-    wanted = wanted.withColumns({"r": row("lat"), "c": column("lng"), "r2": row("t_lat"), "c2": column("t_lng")}).checkpoint()
-    sources = wanted.select("leg_id", "end", "lat", "lng", "r", "c", "budget").distinct().join(settings.drop("budget"), "leg_id")
-    spread_r, spread_c = (F.ceil(F.col("budget") / m).cast("int") for m in (lat_step * geo.METERS_PER_DEGREE_LATITUDE, lng_step * geo.METERS_PER_DEGREE_LATITUDE * 0.5))
-    cells = sources.withColumn("from_r", F.explode(F.sequence(F.col("r") - spread_r, F.col("r") + spread_r))).withColumn("from_c", F.explode(F.sequence(F.col("c") - spread_c, F.col("c") + spread_c)))
-    spot = lambda r, c: (F.lit(north) - F.col(r) * lat_step, F.lit(west) + F.col(c) * lng_step)
-    inside = geo.distance(geo.Point(F.col("lat"), F.col("lng")), geo.Point(*spot("from_r", "from_c"))) <= F.col("budget") + 90
-    cells = cells.where(inside).join(ground.dem.select(F.col("r").alias("from_r"), F.col("c").alias("from_c")), ["from_r", "from_c"], "left_semi").checkpoint()
-    headings = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in search.HEADINGS)))
-    tried = cells.select("from_r", "from_c", "profile").distinct().withColumn("h", headings).select("from_r", "from_c", (F.col("from_r") + F.col("h.dr")).alias("to_r"), (F.col("from_c") + F.col("h.dc")).alias("to_c"), "profile")
-    tried = tried.join(ground.dem.select(F.col("r").alias("to_r"), F.col("c").alias("to_c")), ["to_r", "to_c"], "left_semi")
-    back = tried.select(F.col("to_r").alias("from_r"), F.col("to_c").alias("from_c"), F.col("from_r").alias("to_r"), F.col("from_c").alias("to_c"), "profile")
-    placed = tried.union(back.select(*tried.columns)).distinct().withColumns({f"{p}_{k}": spot(f"{n}_r", f"{n}_c")[i] for p, n in (("a", "from"), ("b", "to")) for i, k in enumerate(("lat", "lng"))})
-    hops = ground.open_ground(placed, ["from_r", "from_c", "to_r", "to_c", "profile"]).checkpoint()
-    turned = {"from_r": "to_r", "from_c": "to_c", "to_r": "from_r", "to_c": "from_c"}
-    measured = [c for c in hops.columns if c not in ("a_lat", "a_lng", "b_lat", "b_lng")]
-    outward = cells.where("end = 'start'").join(hops.select(*measured), ["from_r", "from_c", "profile"])
-    homeward = cells.where("end = 'finish'").join(hops.select(*(F.col(turned.get(c, c)).alias(c) for c in measured)), ["from_r", "from_c", "profile"])
-    steps = outward.unionByName(homeward).where(passable()).select("leg_id", "end", "r", "c", "budget", F.col("from_r").alias("p"), F.col("from_c").alias("q"), F.col("to_r").alias("r2"), F.col("to_c").alias("c2"), step_cost().alias("cost"), F.col("distance_m").alias("meters"), F.lit(None).cast("string").alias("node"))
-    targets = wanted.select("leg_id", "end", "r", "c", "budget", F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("q"), "r2", "c2", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("double").alias("meters"), "node")
-
-    def propose(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        home, hop = (int(first["r"]), int(first["c"])), group[group["node"].isna()].sort_values(["p", "q", "r2", "c2"])
-        walked = [((int(a), int(b)), (int(c), int(d)), cost, meters) for a, b, c, d, cost, meters in hop[["p", "q", "r2", "c2", "cost", "meters"]].itertuples(index=False)]
-        cost, _, previous = search.settle_labels(walked, home, float(first["budget"]))
-        found = []
-        for r2, c2, node in group[group["node"].notna()][["r2", "c2", "node"]].itertuples(index=False):
-            cell, via = (int(r2), int(c2)), []
+    there = home_cells(wanted.select("leg_id", "end", "node", "budget", F.col("t_lat").alias("lat"), F.col("t_lng").alias("lng")), ground)
+    sources = wanted.select("leg_id", "end", "lat", "lng").distinct().join(settings, "leg_id")
+    code = F.shiftleft("r", 32) + F.col("c")
+    targets = there.select("leg_id", "end", "node", code.alias("cell")).join(home_cells(sources, ground).select("leg_id", "end", code.alias("own")), ["leg_id", "end"]).checkpoint()
+
+    def propose(tiles: pa.Table, asked: pa.Table) -> pa.Table:
+        home = asked["own"][0].as_py() if asked.num_rows else 0
+        cost, previous = {home: 0.0}, {}  # off the raster a source has no hops, but a target in its own cell
+        if asked.num_rows and tiles.num_rows:
+            _, cost, _, previous = settle_cells(tiles)
+        found: list[tuple] = []
+        for leg, end, node, cell in zip(*(asked[c].to_pylist() for c in ("leg_id", "end", "node", "cell")), strict=True):
             if cell not in cost:
                 continue
+            via = []
             while cell in previous:
                 cell = previous[cell]
                 if cell != home:
-                    via.append({"r": cell[0], "c": cell[1]})
-            found.append((first["leg_id"], first["end"], node, via[::-1] if first["end"] == "start" else via))
-        return pd.DataFrame(found, columns=["leg_id", "end", "node", "via"])
-
-    lines = steps.unionByName(targets).groupBy("leg_id", "end").applyInPandas(propose, "leg_id string, end string, node string, via array<struct<r: long, c: long>>")
+                    via.append({"r": cell >> 32, "c": cell & 0xFFFFFFFF})
+            found.append((leg, end, node, via[::-1] if end == "start" else via))
+        columns = zip(*found, strict=True) if found else [[]] * 4
+        types = (pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("r", pa.int64()), ("c", pa.int64())])))
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["leg_id", "end", "node", "via"])
+
+    tiles = walkable(sources, ground)
+    tiles = tiles.toDF(*tiles.columns)  # so that its keys are not taken for those of the targets
+    lines = tiles.groupBy("leg_id", "end").cogroup(targets.groupBy("leg_id", "end")).applyInArrow(propose, "leg_id string, end string, node string, via array<struct<r: long, c: long>>")
     lines = lines.join(wanted.select("leg_id", "end", "node", "lat", "lng", "t_lat", "t_lng"), ["leg_id", "end", "node"])
     own, other = F.struct("lat", "lng"), F.struct(F.col("t_lat").alias("lat"), F.col("t_lng").alias("lng"))
-    between = F.transform("via", lambda v: F.struct((F.lit(north) - v["r"] * lat_step).alias("lat"), (F.lit(west) + v["c"] * lng_step).alias("lng")))
+    between = F.transform("via", lambda v: F.struct(*(x.alias(k) for x, k in zip(spot(ground, v["r"], v["c"]), ("lat", "lng"), strict=True))))
     points = F.when(F.col("end") == "start", F.concat(F.array(own), between, F.array(other))).otherwise(F.concat(F.array(other), between, F.array(own)))
     key = ["leg_id", "end", "node", "k"]
     stretches = lines.withColumn("points", points).select("leg_id", "end", "node", F.size("points").alias("n"), "points", F.explode(F.sequence(F.lit(1), F.size("points") - 1)).alias("k"))

@@ -164,17 +164,19 @@ def nearest_nodes(requests: DataFrame, found: DataFrame, limit: int) -> DataFram
     return close.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("request_id", "rank", "lat_e6", "lng_e6", "meters")
 
 
-def segment_profile(segments: DataFrame, key: list[str], dem: DataFrame, place: tuple, profile: str | Column = "hiker", surface: str | Column = "natural-trail", risk: DataFrame | None = None, slopes: DataFrame | None = None) -> DataFrame:
+def segment_profile(segments: DataFrame, key: list[str], dem: DataFrame, place: tuple, profile: str | Column | list[str] = "hiker", surface: str | Column = "natural-trail", risk: DataFrame | None = None, slopes: DataFrame | None = None) -> DataFrame:
     """Distance, climb, steepest grade, minutes, water risk and side slope of each segment, from samples every four metres.
 
     Heights come from the raster by one join on its squares; risk and slope from the cells of the
-    samples, the first one left out. Segments shorter than a centimetre measure zero.
+    samples, the first one left out. Segments shorter than a centimetre measure zero. For a list of
+    profiles minutes is a struct of theirs.
     """
     from . import raster
 
     meters = geo.distance(geo.at("a"), geo.at("b"))
     counted = segments.withColumn("meters", meters).withColumn("count", F.greatest(F.lit(1), F.ceil(F.col("meters") / SAMPLE_METERS)).cast("int"))
-    own = [x if isinstance(x, Column) else F.lit(x) for x in (profile, surface)]
+    several = profile if isinstance(profile, list) else None
+    own = [x if isinstance(x, Column) else F.lit(x) for x in (None if several else profile, surface)]
     long = counted.where(F.col("meters") / F.col("count") >= 0.01).withColumns({"_profile": own[0], "_surface": own[1]})
     samples = long.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("count"))))
     p = geo.interpolate(geo.at("a"), geo.at("b"), F.col("_k") / F.col("count"))
@@ -183,9 +185,10 @@ def segment_profile(segments: DataFrame, key: list[str], dem: DataFrame, place:
     w = Window.partitionBy(*key).orderBy("_k")
     stepped = heights.withColumn("dz", F.col("z") - F.lag("z").over(w)).where("dz IS NOT NULL").join(long.select(*key, (F.col("meters") / F.col("count")).alias("step"), "_profile", "_surface"), key)
     grade = F.col("dz") / F.col("step")
-    minutes = F.col("step") / costs.meters_per_minute(F.col("_profile"), grade, F.col("_surface"))
+    spent = lambda p: F.sum(F.col("step") / costs.meters_per_minute(p, grade, F.col("_surface")))
+    minutes = F.struct(*(spent(F.lit(p)).alias(p) for p in several)) if several else spent(F.col("_profile"))
     rolled = stepped.groupBy(*key).agg(
-        F.sum("step").alias("distance_m"), F.sum("dz").alias("change_m"), F.sum(F.greatest("dz", F.lit(0.0))).alias("ascent_m"), F.sum(F.greatest(-F.col("dz"), F.lit(0.0))).alias("descent_m"), F.max(F.abs(grade)).alias("max_grade"), F.sum(minutes).alias("minutes"),
+        F.sum("step").alias("distance_m"), F.sum("dz").alias("change_m"), F.sum(F.greatest("dz", F.lit(0.0))).alias("ascent_m"), F.sum(F.greatest(-F.col("dz"), F.lit(0.0))).alias("descent_m"), F.max(F.abs(grade)).alias("max_grade"), minutes.alias("minutes"),
     )
     measures = ["distance_m", "change_m", "ascent_m", "descent_m", "max_grade", "minutes"]
     for cells, name, value in ((risk, "water_risk", "risk"), (slopes, "side_slope", "slope")):
@@ -195,7 +198,8 @@ def segment_profile(segments: DataFrame, key: list[str], dem: DataFrame, place:
             crossed = points.where("_k > 0").crossJoin(size).select(*key, r.alias("r"), c.alias("c")).join(cells, ["r", "c"])
             rolled = rolled.join(crossed.groupBy(*key).agg(F.max(value).alias(name)), key, "left")
             measures.append(name)
-    return segments.select(*key).join(rolled, key, "left").select(*key, *(F.coalesce(m, F.lit(0.0)).alias(m) for m in measures))
+    zero = lambda m: F.struct(*(F.lit(0.0).alias(p) for p in several)) if several and m == "minutes" else F.lit(0.0)
+    return segments.select(*key).join(rolled, key, "left").select(*key, *(F.coalesce(m, zero(m)).alias(m) for m in measures))
 
 
 def reach(sources: DataFrame, links: DataFrame, budget: float) -> DataFrame:

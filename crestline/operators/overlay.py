@@ -165,7 +165,7 @@ class Overlay:
 
     def _chosen(self, ends: DataFrame) -> DataFrame:
         """leg_id, metric, entry, goal, cost, pieces (in order: an edge between cells, or a way within a cell from u to v)."""
-        arcs = self.parts.where("cost IS NOT NULL").select("metric", "cell", "u", "v", "cost", F.lit(None).cast("long").alias("way_id"), F.lit(None).cast("int").alias("pos"))
+        arcs = self.parts.where("cost IS NOT NULL").select("metric", "cell", "u", "v", "cost", F.lit(0).cast("long").alias("way_id"), F.lit(0).alias("pos"))
         arcs = arcs.unionByName(self.between.select("metric", F.lit(None).cast("string").alias("cell"), F.col("a").alias("u"), F.col("b").alias("v"), "cost", "way_id", "pos"))
         dealt = ends.withColumn("salt", _dealt("leg_id", "metric")).checkpoint()
         own = ["metric", "salt"]
@@ -174,7 +174,7 @@ class Overlay:
         def choose(arcs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             links: Leaving = {}
             for cell, u, v, cost, way, pos in arcs[["cell", "u", "v", "cost", "way_id", "pos"]].sort_values(["cost", "u", "v", "way_id", "pos"]).itertuples(index=False):
-                links.setdefault(u, []).append((v, cost, (cell, u, v, None, None) if pd.isna(way) else (None, u, v, int(way), int(pos))))
+                links.setdefault(u, []).append((v, cost, (None, u, v, int(way), int(pos)) if cell is None else (cell, u, v, None, None)))
             out = []
             for leg, rows in asked.groupby("leg_id", sort=True):
                 best, pieces, ends_at = None, [], None

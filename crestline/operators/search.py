@@ -1,42 +1,19 @@
-"""Off-trail connectors and whole routes for batches of requests.
-
-All measuring is done by joins: hops between cells are profiled once for all requests, the
-network's edges are costed once. What is left for a grouped function is the order in which
-labels settle, on the few hops and edges inside one request's budget.
-"""
+"""What a search off the network needs: headings, the order in which labels settle, and warnings of points outside the survey."""
 
 from __future__ import annotations
 
 import heapq
 from math import gcd
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.functions import costs, geo
-
-from . import network
+from crestline.functions import geo
 
 REACH = 2
 HEADINGS = [(r, c) for r in range(-REACH, REACH + 1) for c in range(-REACH, REACH + 1) if gcd(abs(r), abs(c)) == 1]
 
 
-def cell_hops(dem: DataFrame, place: tuple, profile: str, barriers: DataFrame, openings: DataFrame) -> DataFrame:
-    """from_r, from_c, to_r, to_c with the profile of each hop over open ground in the sixteen headings; hops through a barrier are left out."""
-    north, west, lat_step, lng_step = place
-    headings = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in HEADINGS)))
-    cells = dem.select(F.col("r").alias("from_r"), F.col("c").alias("from_c"))
-    tried = cells.withColumn("h", headings).select("from_r", "from_c", (F.col("from_r") + F.col("h.dr")).alias("to_r"), (F.col("from_c") + F.col("h.dc")).alias("to_c"))
-    hops = tried.join(cells.toDF("to_r", "to_c"), ["to_r", "to_c"])
-    lat, lng = (lambda r: F.lit(north) - F.col(r) * lat_step), (lambda c: F.lit(west) + F.col(c) * lng_step)
-    placed = hops.withColumns({"a_lat": lat("from_r"), "a_lng": lng("from_c"), "b_lat": lat("to_r"), "b_lng": lng("to_c")})
-    keyed = placed.withColumns({"way_id": F.struct("from_r", "from_c"), "pos": F.struct("to_r", "to_c")})
-    free = network.allowed_segments(keyed, barriers, openings).drop("way_id", "pos")
-    key = ["from_r", "from_c", "to_r", "to_c"]
-    return free.join(network.segment_profile(free, key, dem, place, profile, "open-terrain"), key)
-
-
 def settle_labels(hops: list[tuple[int, int, float, float]], start: int, budget: float) -> tuple[dict[int, float], dict[int, float], dict[int, int]]:
     """(cost, length, previous) of what can be reached: a node's length is that of its cheapest label, and labels over the budget end there."""
     by: dict[int, list[tuple[int, float, float]]] = {}
@@ -56,41 +33,6 @@ def settle_labels(hops: list[tuple[int, int, float, float]], start: int, budget:
     return cost, length, previous
 
 
-def connectors(requests: DataFrame, hops: DataFrame, place: tuple) -> DataFrame:
-    """request_id, r, c, cost, meters, path: the cells each request can reach off the network, and how.
-
-    requests: request_id, lat, lng, budget, max_grade_percent, aversion, avoid_water. A request's
-    group holds the hops inside its budget's window, which bounds it.
-    """
-    north, west, lat_step, lng_step = place
-    spread = F.ceil(F.col("budget") / min(lat_step * geo.METERS_PER_DEGREE_LATITUDE, 29.0)).cast("int")
-    home_r, home_c = (F.round((F.lit(north) - F.col("lat")) / lat_step), F.round((F.col("lng") - F.lit(west)) / lng_step))
-    windows = requests.withColumns({"home_r": home_r.cast("long"), "home_c": home_c.cast("long")})
-    cells = windows.withColumn("from_r", F.explode(F.sequence(F.col("home_r") - spread, F.col("home_r") + spread))).withColumn("from_c", F.explode(F.sequence(F.col("home_c") - spread, F.col("home_c") + spread)))
-    near = cells.join(hops, ["from_r", "from_c"]).where(F.col("max_grade") <= costs.max_grade(F.col("max_grade_percent")) + 0.005)
-    step = costs.connector_step_cost(F.col("minutes"), F.col("aversion"), F.lit(0.0), F.lit(0.0), F.col("avoid_water"))
-    rows = near.select("request_id", "budget", "home_r", "home_c", F.col("from_r").alias("r"), F.col("from_c").alias("c"), F.col("to_r").alias("r2"), F.col("to_c").alias("c2"), step.alias("cost"), F.col("distance_m").alias("meters"))
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        wide = 1 << 32
-        pack = lambda r, c: (r + (1 << 20)) * wide + c + (1 << 20)
-        home = pack(int(group["home_r"].iloc[0]), int(group["home_c"].iloc[0]))
-        order = group.sort_values(["r", "c", "r2", "c2"])
-        tried = list(zip(pack(order["r"], order["c"]).tolist(), pack(order["r2"], order["c2"]).tolist(), order["cost"].tolist(), order["meters"].tolist(), strict=True))
-        cost, length, previous = settle_labels(tried, home, float(group["budget"].iloc[0]))
-        found = []
-        for cell in sorted(cost):
-            path, at = [cell], cell
-            while at in previous:
-                at = previous[at]
-                path.append(at)
-            unpack = lambda k: (k // wide - (1 << 20), k % wide - (1 << 20))
-            found.append((group["request_id"].iloc[0], *unpack(cell), cost[cell], length[cell], ";".join("{},{}".format(*unpack(k)) for k in reversed(path))))
-        return pd.DataFrame(found, columns=["request_id", "r", "c", "cost", "meters", "path"])
-
-    return rows.groupBy("request_id").applyInPandas(search, "request_id long, r long, c long, cost double, meters double, path string")
-
-
 def warnings(points: DataFrame, box: geo.Box) -> DataFrame:
     """request_id, outside, warning of requests with points outside the surveyed box; heights there are the nearest edge's, not measured."""
     outside = F.count_if(~geo.contains(box, geo.Point(F.col("lat"), F.col("lng"))))

@@ -17,18 +17,14 @@ def contours_stitched(spark, d):
     return lines.select("elevation", "is_index", F.size("points").alias("n_points"), F.round(lines.points[0]["lat"], 6).alias("first_lat"), F.round(lines.points[0]["lng"], 6).alias("first_lng"))
 
 
-def _requests(spark, d):
-    o = openings(spark, d)
-    return o.select(F.col("opening_id").alias("request_id"), "lat", "lng", F.lit(90.0).alias("budget"), F.lit(60.0).alias("max_grade_percent"), F.lit(2.0).alias("aversion"), F.lit(False).alias("avoid_water"))
-
-
-def _connectors(spark, d):
-    hops = search.cell_hops(dem(spark, d), PLACE, "hiker", barriers(spark, d), openings(spark, d))
-    return search.connectors(_requests(spark, d), hops, PLACE)
-
-
 def connector_paths(spark, d):
-    return _connectors(spark, d).select("request_id", "r", "c", F.round("cost", 4).alias("cost"), F.round("meters", 3).alias("meters"), "path")
+    """The cells that each origin reaches off the network, under its own profile, grade cap, aversion, budget and road and water rules, as a tree."""
+    asked = origins(spark, d).select(
+        F.col("request_id").cast("string").alias("leg_id"), F.lit("start").alias("end"), "lat", "lng", "profile", "max_grade_percent", F.col("off_trail_aversion").alias("aversion"), F.col("max_off_trail_meters").alias("budget"),
+        (F.col("request_id") % 5 < 3).alias("allow_crossing"), F.col("street_walking").alias("allow_street"), "avoid_water",
+    )
+    found = itineraries.off_trail_reach(asked, _ground(spark, d))
+    return found.select(F.col("leg_id").cast("long").alias("request_id"), "r", "c", F.round("cost", 4).alias("cost"), F.round("meters", 3).alias("meters"), "before_r", "before_c")
 
 
 def _asked(spark, d):

@@ -1,5 +1,6 @@
 """Whole routes on a small lattice of ways, against rules of their own and a plain search over everything."""
 
+import copy
 import heapq
 import math
 
@@ -122,8 +123,7 @@ def check_connectors(good, lines):
         assert all((p.b_lat, p.b_lng) == pytest.approx((q.a_lat, q.a_lng)) for p, q in zip(parts[:-1], parts[1:], strict=True))
 
 
-@pytest.mark.parametrize("cell_nodes", [1, 3, 8, 2_000])
-def test_ways_equal_a_search_of_everything_for_cells_of_any_size(spark, ground, cell_nodes):
+def test_ways_over_small_cells_equal_a_search_of_everything(spark, ground):
     """Costs of ways over the overlay equal Dijkstra's over all edges, from the same connectors."""
     requests = asked(spark, ("destination", [(11, 12), (29, 28)]), ("nearest", [(13, 13)]), ("destination", [(28, 11), (12, 29)]))
     legs = I.legs(requests)
@@ -132,7 +132,7 @@ def test_ways_equal_a_search_of_everything_for_cells_of_any_size(spark, ground,
     check_connectors(good.where("leg_id = '0|0|0'"), lines.where("leg_id = '0|0|0'"))
     goals = good.where("end = 'finish'").drop("end").unionByName(ends.where("end = 'goal'").select("leg_id", "node", F.lit(0.0).alias("cost")))
     starts = good.where("end = 'start'").drop("end")
-    got = {r.leg_id: r for r in I.best_ways(legs, starts, goals, ground, cell_nodes).collect()}
+    got = {r.leg_id: r for r in I.best_ways(legs, starts, goals, ground, 3).collect()}
     each = ground.edges.withColumn("profile", F.lit("hiker"))
     key = ["way_id", "pos", "a", "b"]
     edges = each.join(ground.measures(each, key, F.col("surface_class")), key).where("NOT is_street OR walkway").select("a", "b", F.greatest(F.lit(0.001), F.col("minutes") * (1 + F.col("water_risk") * 1.2)).alias("cost")).collect()
@@ -152,6 +152,77 @@ def test_ways_equal_a_search_of_everything_for_cells_of_any_size(spark, ground,
         assert [e.a for e in row.edges[1:]] == [e.b for e in row.edges[:-1]]
 
 
+RULES = {  # profile, max_grade_percent, aversion, budget, allow_crossing, allow_street, avoid_water
+    "free": ("hiker", 45.0, 2.0, 150.0, True, True, False),
+    "dry": ("hiker", 45.0, 2.0, 150.0, True, True, True),
+    "no crossing": ("hiker", 45.0, 2.0, 150.0, False, True, False),
+    "no street": ("hiker", 45.0, 2.0, 150.0, True, False, False),
+    "level": ("mtb", 4.0, 1.0, 150.0, True, True, False),
+    "short": ("runner", 45.0, 3.0, 60.0, True, True, False),
+    "nothing": ("hiker", 45.0, 2.0, 1.0, True, True, False),
+}
+
+
+def plain_search(hops, home, profile, grade, aversion, budget, crossing, street, dry, backward):
+    """Labels settle in order of cost; a hop is walked if it is allowed and the length of the label so far leaves room for it."""
+    by = {}
+    for h in hops:
+        allowed = h.profile == profile and h.max_grade <= max(0.02, grade / 100) + 0.005 and not (dry and h.water_risk > 0.55) and (crossing or not h.crosses) and (street or not h.carriageway)
+        if allowed:
+            a, b = (h.from_r, h.from_c), (h.to_r, h.to_c)
+            step = h.minutes * aversion * (1 + min(0.6, max(0.0, h.side_slope / 60))) * (1 + h.water_risk * (8.0 if dry else 1.5))
+            by.setdefault(b if backward else a, []).append((a if backward else b, step, h.distance_m))
+    label, done = {home: (0.0, 0.0)}, {}
+    while label:
+        cell = min(label, key=lambda k: (label[k][0], k))
+        done[cell] = cost, length = label.pop(cell)
+        for other, step, meters in by.get(cell, ()):
+            if other not in done and length + meters <= budget and (other not in label or cost + step < label[other][0]):
+                label[other] = (cost + step, length + meters)
+    return done
+
+
+def test_reach_off_the_network_equals_a_plain_search_under_each_rule(spark, ground, monkeypatch):
+    monkeypatch.setattr(I, "HOP_TILE", 5)
+    wet = copy.copy(ground)
+    wet.risk = spark.createDataFrame([(r, c, 0.8 if 13 <= r <= 14 and 9 <= c <= 21 else 0.2 if c > 16 else 0.0) for r in range(ROWS) for c in range(COLUMNS)], "r long, c long, risk double")
+    wet.slopes = spark.createDataFrame([(r, c, float((r * 5 + c * 3) % 70)) for r in range(ROWS) for c in range(COLUMNS)], "r long, c long, slope double")
+    rows = [(name, end, *at(17.2, 14.8).values(), *rule) for name, rule in RULES.items() for end in ("start", "finish")] + [("outside", "start", *at(-300, 5).values(), *RULES["free"])]
+    sources = spark.createDataFrame(rows, "leg_id string, end string, lat double, lng double, profile string, max_grade_percent double, aversion double, budget double, allow_crossing boolean, allow_street boolean, avoid_water boolean")
+    got = {}
+    for x in I.off_trail_reach(sources, wet).collect():
+        got.setdefault((x.leg_id, x.end), {})[x.r, x.c] = x
+    every = spark.range(ROWS // 5 + 1).select(F.col("id").alias("tile_r")).crossJoin(spark.range(COLUMNS // 5 + 1).select(F.col("id").alias("tile_c"))).crossJoin(spark.createDataFrame([("hiker",), ("runner",), ("mtb",)], "profile string"))
+    part = lambda k, n: (F.shiftright(k, 32) if n == "r" else F.col(k).bitwiseAND(0xFFFFFFFF)).alias(f"{k}_{n}")
+    hops = I.hop_tiles(every, wet).select("profile", F.inline("hops")).select("*", *(part(k, n) for k in ("from", "to") for n in "rc")).collect()
+    assert len(hops) == 3 * len({(h.from_r, h.from_c, h.to_r, h.to_c) for h in hops}) and any(h.crosses for h in hops) and any(h.carriageway for h in hops)
+    sizes = {}
+    for name, rule in RULES.items():
+        for end in ("start", "finish"):
+            want, found = plain_search(hops, (17, 15), *rule, end == "finish"), got[name, end]
+            assert set(found) == set(want)
+            for cell, (cost, length) in want.items():
+                x = found[cell]
+                assert (x.cost, x.meters) == pytest.approx((cost, length))
+                if cell == (17, 15):
+                    assert x.before_r is None and x.before_c is None
+                else:
+                    before = found[x.before_r, x.before_c]
+                    assert before.cost < x.cost and before.meters < x.meters <= rule[3]
+            sizes[name, end] = len(found)
+    assert ("outside", "start") not in got or list(got["outside", "start"]) == [(-300, 5)]
+    assert all(sizes[name, "start"] < sizes["free", "start"] for name in ("dry", "no crossing", "level", "short")) and sizes["nothing", "start"] == 1
+
+
+def test_windows_hold_the_budget_at_any_latitude(spark):
+    """A degree of longitude is short in the north: the columns of a window are counted there, not at 60 degrees."""
+    ground = I.Ground.__new__(I.Ground)
+    ground.place = (71.0, 25.0, 2.7e-4, 2.7e-4)
+    for lat in (0.1, 54.4, 70.9, -80.0):
+        row = I.home_cells(spark.createDataFrame([(lat, 25.1, 500.0)], "lat double, lng double, budget double"), ground).first()
+        assert row.spread_r * 2.7e-4 * 111_132 >= 500 and row.spread_c * 2.7e-4 * 111_132 * math.cos(math.radians(lat)) >= 500
+
+
 def test_requests_drop_what_their_mode_has_not(spark):
     rows = [(i, m, at(1, 1), at(2, 2), [at(3, 3)], i % 2 == 0) for i, m in enumerate(("nearest", "destination", "design"))]
     t = spark.createDataFrame(rows, "request_id long, mode string, start struct<lat: double, lng: double>, target struct<lat: double, lng: double>, waypoints array<struct<lat: double, lng: double>>, show_alternatives boolean")
