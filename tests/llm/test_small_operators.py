@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -61,6 +62,32 @@ def test_digest_index_reopened_elsewhere_knows_its_rows(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_two_writers_keep_each_text_once(spark, tmp_path):
+    """Two batches with the same 50 texts, added at the same time through two openings of one index."""
+    path = f"file://{tmp_path}/index"
+    exact_dedup.DigestIndex(spark, path=path, buckets=4)
+    docs = [spark.createDataFrame([(100 * k + i, f"text {i}") for i in range(50)], "doc_id long, text string") for k in range(2)]
+    with ThreadPoolExecutor(2) as pool:
+        kept = list(pool.map(lambda k: exact_dedup.DigestIndex(spark, path=path).add(docs[k], batch=f"b{k}").where("kept").count(), range(2)))
+    assert sorted(kept) == [0, 50]
+    index = exact_dedup.DigestIndex(spark, path=path)
+    assert index.table().count() == 50 and index.add(docs[0], batch="later").count() == 50
+
+
+def test_a_claim_left_by_a_failed_writer(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, path=path, buckets=4, wait=0)
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    index._claim("lost")
+    with pytest.raises(RuntimeError, match="another batch"):
+        index.add(docs, batch="other")
+    assert index.add(docs, batch="lost").where("kept").count() == 2
+    assert index.add(docs, batch="other").where("kept").count() == 0
+    opened = exact_dedup.DigestIndex(spark, path=path)
+    index.compact()
+    assert opened.add(docs, batch="third").where("kept").count() == 0 and opened.table().count() == 2
+
+
 def test_exact_copies_with_any_column_names(spark):
     docs = spark.createDataFrame([(2, "a", 7, "x", "p"), (1, "a", 8, "y", "q"), (1, "a", 8, "y", "q"), (3, None, None, None, None)], "doc_id long, text string, __id int, __digest string, row_id string")
     got = sorted(tuple(r) for r in exact_dedup.drop_exact_copies(docs).collect())
