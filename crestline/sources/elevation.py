@@ -5,11 +5,10 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crestline.functions.numeric import js_round
@@ -149,25 +148,72 @@ def plan_tiles(spark: SparkSession, west: float, south: float, east: float, nort
     return tiles.select("tile_r", "tile_c", (west + F.col("tile_c") * width).alias("west"), (south + F.col("tile_r") * height).alias("south"), (west + (F.col("tile_c") + 1) * width).alias("east"), (south + (F.col("tile_r") + 1) * height).alias("north"))
 
 
-def fill_gaps(cells: DataFrame, radius: int = 8) -> DataFrame:
+def ring_distances(upright: np.ndarray) -> np.ndarray:
+    """For each place of a row, the least d with a height at most d places to either side and d rows up or down.
+
+    upright: rows to the nearest height in each column, infinite where there is none. A window's least value falls and
+    d rises with d, so d is found by bisection over a table of the least values of 1, 2, 4 ... columns.
+    """
+    n = len(upright)
+    least = [upright]
+    while 2 << (len(least) - 1) <= n:
+        half = 1 << (len(least) - 1)
+        least.append(np.minimum(least[-1][:-half], least[-1][half:]))
+    at = np.arange(n)
+
+    def within(d: np.ndarray) -> np.ndarray:
+        low, high = np.maximum(at - d, 0), np.minimum(at + d, n - 1) + 1
+        level = np.log2(high - low).astype(np.int64)
+        out = np.empty(n)
+        for k in np.unique(level).tolist():
+            own = level == k
+            out[own] = np.minimum(least[k][low[own]], least[k][high[own] - (1 << k)])
+        return out
+
+    finite = upright[np.isfinite(upright)]
+    if not len(finite):
+        return np.full(n, np.inf)
+    low, high = np.zeros(n, np.int64), np.full(n, int(max(n, finite.max())), np.int64)
+    while (low < high).any():
+        middle = (low + high) // 2
+        holds = within(middle) <= middle
+        low, high = np.where(holds, low, middle + 1), np.where(holds, middle, high)
+    return low.astype(float)
+
+
+def fill_gaps(cells: DataFrame) -> DataFrame:
     """cells (r, c, z, null where unknown) with each gap filled from the nearest ring that has a height, first by row then by column.
 
-    All rings look at measured heights only, so the result does not depend on an order of filling. Rings up to
-    radius are searched at once; gaps that are wider go on with rings twice as wide, until they are filled or no
-    ring of the raster is left. A raster without any height stays as it is.
+    Only measured heights count, so the result does not depend on an order of filling. The distance to the ring comes
+    in two passes, along columns by windows and then along each row, so a gap's width does not matter. No height is nearer than
+    the ring: its first height is the first of the ring's upper row, its two columns and its lower row, each found by one look-up
+    along a row or column. Rows grow with the cells alone. A raster without any height stays as it is.
     """
     ensure_checkpoint_dir(cells.sparkSession)
-    known = cells.where("z IS NOT NULL").select(F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("z").alias("near_z"))
-    limit = cells.agg(F.greatest(F.max("r") - F.min("r"), F.max("c") - F.min("c")).alias("most")).first()["most"] or 0
-    gaps, inner, outer, filled = cells.where("z IS NULL").select("r", "c").checkpoint(), 0, radius, []
-    while inner <= limit and not gaps.isEmpty() and not known.isEmpty():
-        offsets = F.explode(F.sequence(F.lit(-outer), F.lit(outer)))
-        away = F.greatest(F.abs("dr"), F.abs("dc"))
-        around = gaps.withColumn("dr", offsets).withColumn("dc", offsets).where(away > inner)
-        near = around.select("r", "c", "dr", "dc", (F.col("r") + F.col("dr")).alias("nr"), (F.col("c") + F.col("dc")).alias("nc"))
-        found = near.join(known, ["nr", "nc"]).groupBy("r", "c").agg(F.min_by("near_z", F.struct(away, F.col("dr"), F.col("dc"))).alias("near_z")).checkpoint()
-        filled.append(found)
-        gaps, inner, outer = gaps.join(found, ["r", "c"], "left_anti").checkpoint(), outer, outer * 2
-    if not filled:
-        return cells.select("r", "c", "z")
-    return cells.join(reduce(DataFrame.unionByName, filled), ["r", "c"], "left").select("r", "c", F.coalesce("z", "near_z").alias("z"))
+    known = cells.where("z IS NOT NULL").select("r", "c", "z")
+    gaps = cells.where("z IS NULL").select("r", "c")
+    sides = F.broadcast(cells.agg(F.min("c").alias("first"), F.max("c").alias("last")))  # one row
+    lines = gaps.select("r").distinct().crossJoin(sides).select("r", F.explode(F.sequence("first", "last")).alias("c"))
+    row = F.when(F.col("z").isNotNull(), F.col("r"))
+    down = Window.partitionBy("c").orderBy("r")
+    placed = lines.withColumn("z", F.lit(None).cast("double")).unionByName(known)
+    upright = placed.select("r", "c", "z", F.least(F.col("r") - F.max(row).over(down.rangeBetween(Window.unboundedPreceding, 0)), F.min(row).over(down.rangeBetween(0, Window.unboundedFollowing)) - F.col("r")).cast("double").alias("v"))
+    wanted = upright.where("z IS NULL").select("r", "c", "v").join(gaps.withColumn("gap", F.lit(True)), ["r", "c"], "left")
+
+    def nearest(line: pd.DataFrame) -> pd.DataFrame:
+        line = line.sort_values("c")
+        line["d"] = ring_distances(line["v"].fillna(np.inf).to_numpy())
+        found = line[line["gap"].notna() & np.isfinite(line["d"])]
+        return found[["r", "c", "d"]].astype("int64")
+
+    rings = wanted.groupBy("r").applyInPandas(nearest, "r long, c long, d long").checkpoint()
+    ask = lambda line, at, upto, along: F.struct(line.alias("line"), at.alias("at"), upto.alias("upto"), F.lit(along).alias("along"))
+    r, c, d = F.col("r"), F.col("c"), F.col("d")
+    asked = rings.withColumn("q", F.explode(F.array(ask(r - d, c - d, c + d, "row"), ask(r + d, c - d, c + d, "row"), ask(c - d, r - d, r + d, "column"), ask(c + d, r - d, r + d, "column")))).select("r", "c", "q.*")
+    heights = known.select(F.col("r").alias("line"), F.col("c").alias("at"), F.lit("row").alias("along"), "z").unionByName(known.select(F.col("c").alias("line"), F.col("r").alias("at"), F.lit("column").alias("along"), "z"))
+    ahead = Window.partitionBy("along", "line").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    met = F.min(F.when(F.col("z").isNotNull(), F.struct("at", "z"))).over(ahead)
+    found = asked.unionByName(heights, allowMissingColumns=True).withColumn("met", met).where("upto IS NOT NULL AND met.at <= upto")
+    place = F.when(F.col("along") == "row", F.struct(F.col("line").alias("nr"), F.col("met.at").alias("nc"))).otherwise(F.struct(F.col("met.at").alias("nr"), F.col("line").alias("nc")))
+    filled = found.groupBy("r", "c").agg(F.min_by("met.z", place).alias("near_z"))
+    return cells.join(filled, ["r", "c"], "left").select("r", "c", F.coalesce("z", "near_z").alias("z"))

@@ -1,6 +1,8 @@
 import base64
+import datetime
 import json
 import math
+import random
 import struct
 import zlib
 
@@ -12,7 +14,7 @@ from crestline.functions import geo
 from crestline.operators import contours, network, raster, search
 from crestline.operators.checkpoints import ensure_checkpoint_dir
 from crestline.sources import elevation, ways
-from crestline.streaming.requests import latest_by_session
+from crestline.streaming.requests import debounced, latest_by_session
 
 
 def grid(spark, z):
@@ -128,10 +130,29 @@ def test_png_filters():
     assert (elevation.png_pixels(png) == pixels).all()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_filled_gaps_equal_a_search_of_every_ring(spark, seed):
+    r = random.Random(seed)
+    rows, columns, share = ((12, 17, 0.5), (30, 3, 0.9), (1, 40, 0.8), (25, 25, 0.97))[seed]
+    height = {(y, x): None if r.random() < share else float(r.randrange(100)) for y in range(rows) for x in range(columns)}
+    known = {k: z for k, z in height.items() if z is not None}
+    want = {(y, x): z if z is not None else known[min(known, key=lambda k: (max(abs(k[0] - y), abs(k[1] - x)), *k))] if known else None for (y, x), z in height.items()}
+    cells = spark.createDataFrame([(y, x, z) for (y, x), z in height.items()], "r long, c long, z double")
+    assert {(x.r, x.c): x.z for x in elevation.fill_gaps(cells).collect()} == want
+
+
+def test_ring_distances_of_long_rows():
+    r = np.random.default_rng(1)
+    for n in (1, 2, 3, 64, 257):
+        upright = np.where(r.random(n) < 0.9, np.inf, r.integers(0, 300, n))
+        d = np.maximum(np.abs(np.arange(n)[:, None] - np.arange(n)), upright[None, :]).min(axis=1)
+        assert elevation.ring_distances(upright).tolist() == d.tolist()
+
+
 def test_gaps_take_the_nearest_ring(spark):
     cells = spark.createDataFrame([(0, 0, 1.0), (0, 1, None), (0, 2, 3.0), (5, 5, None)], "r long, c long, z double")
-    got = {(r.r, r.c): r.z for r in elevation.fill_gaps(cells, 3).collect()}
-    assert got[0, 1] == 1.0 and got[5, 5] == 1.0  # two rings further than the first search; the first of its ring by row, then by column
+    got = {(r.r, r.c): r.z for r in elevation.fill_gaps(cells).collect()}
+    assert got[0, 1] == 1.0 and got[5, 5] == 1.0  # the first of its ring by row, then by column
     wide = spark.createDataFrame([(0, c, 7.0 if c == 40 else None) for c in range(41)], "r long, c long, z double")
     assert {r.z for r in elevation.fill_gaps(wide).collect()} == {7.0}
     assert elevation.fill_gaps(wide.where("c < 40")).where("z IS NOT NULL").count() == 0
@@ -149,6 +170,33 @@ def test_latest_request_of_a_session(spark, tmp_path):
     assert sorted(map(tuple, spark.table("latest").collect())) == [("a", 3, "z"), ("b", 1, "q")]
 
 
+def test_debounced_requests_leave_the_state(spark, tmp_path):
+    """Four batches an hour apart, append mode: runs come out once the watermark has passed, state falls, and late requests of a lower seq change nothing."""
+    schema = "session string, seq int, ts timestamp, state string"
+
+    def send(hour, rows):
+        made = [(s, seq, datetime.datetime(2024, 1, 1, hour) + datetime.timedelta(milliseconds=ms), state) for s, seq, ms, state in rows]
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query.processAllAvailable()
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
+    stream = debounced(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.outputMode("append").format("memory").queryName("debounced").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        many = send(1, [(f"s{k}", 1, 0, "a") for k in range(50)] + [("s0", 2, 100, "b"), ("s0", 3, 400, "c")])
+        late = send(1, [("s0", 0, 120, "late")])
+        few = send(2, [("s0", 4, 0, "d")])
+        last = send(3, [("s1", 9, 0, "e")])
+    finally:
+        query.stop()
+    assert many == 51 and late == 51 and few <= 2 and last <= 2
+    got = {(r.session, r.seq, r.state) for r in spark.table("debounced").collect()}
+    assert got == {(f"s{k}", 1, "a") for k in range(1, 50)} | {("s0", 2, "b"), ("s0", 3, "c"), ("s0", 4, "d")}
+    rows = spark.createDataFrame([("x", k, datetime.datetime(2024, 1, 1, 0, 0, 0, k * 100_000), str(k)) for k in range(3)], schema)
+    assert [(r.seq, r.state) for r in debounced(rows).collect()] == [(2, "2")]
+
+
 def test_contours_do_not_depend_on_strips(spark, monkeypatch):
     """Lines over the borders of strips are whole: the same for strips of 3 and 16 rows as for one strip."""
     from crestline.operators import contours
