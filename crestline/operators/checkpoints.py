@@ -14,3 +14,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="crestline-"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ensure_checkpoint_dir settles on, for tables that are kept beside checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from crestline.functions import geo
-from crestline.operators import mosaics, raster
+from crestline.operators import mosaics, raster, terrain
+from crestline.operators.checkpoints import shared_folder
 
 from .views import LAT_STEP, LNG_STEP, NORTH, WEST, dem, table, track_points, water_lines, with_views
 
@@ -53,6 +56,15 @@ def water_risk(spark, d):
     return dem(spark, d).select("r", "c").join(found, ["r", "c"], "left").select("r", "c", F.round(F.coalesce("risk", F.lit(0.0)), 6).alias("risk"))
 
 
+def terrain_at_points(spark, d):
+    """Height, slope, ruggedness and water risk where each track point lies, from a stored terrain."""
+    cells = dem(spark, d).join(raster.horn_slope(dem(spark, d), NS, EW), ["r", "c"]).join(raster.ruggedness(dem(spark, d)), ["r", "c"]).join(water_risk(spark, d), ["r", "c"])
+    name = f"terrain_{uuid.uuid4().hex}"
+    stored = terrain.TerrainTiles.create(cells, PLACE, name, f"{shared_folder(spark)}/{name}")
+    found = stored.at(track_points(spark, d).select("user_id", "seq", "lat", "lng"), ["user_id", "seq"])
+    return found.select("user_id", "seq", *map(r, terrain.MEASURES))
+
+
 def contour_interval(spark, d):
     return raster.extent(dem(spark, d)).select((F.col("high") - F.col("low")).alias("relief"), raster.suggest_interval(F.col("high") - F.col("low")).alias("interval"))
 
@@ -111,7 +123,7 @@ def render_raster(spark, d):
 
 # The pixel of the whole map at which the raster's corner stands.
 X_PIXEL, _, Y_PIXEL, _ = mosaics.tile_range(BOX, ZOOM + 8)
-QUERIES = {f.__name__: f for f in (tile_mosaic_sample, survey_mosaic_sample, render_raster, grid_min_max, grid_geometry, bilinear_sample, smooth_grid, horn_slope, slope_mean_max_by_cell, ruggedness, water_risk, contour_interval, marching_squares, hillshade, hypsometric_tint, local_elevation_range, terrarium_decode)}
+QUERIES = {f.__name__: f for f in (tile_mosaic_sample, survey_mosaic_sample, render_raster, grid_min_max, grid_geometry, bilinear_sample, smooth_grid, horn_slope, slope_mean_max_by_cell, ruggedness, water_risk, terrain_at_points, contour_interval, marching_squares, hillshade, hypsometric_tint, local_elevation_range, terrarium_decode)}
 
 STENCIL = """
 SELECT r, c, z, w, e, coalesce(lag(w) OVER k, w) AS nw, coalesce(lag(z) OVER k, z) AS n, coalesce(lag(e) OVER k, e) AS ne, coalesce(lead(w) OVER k, w) AS sw, coalesce(lead(z) OVER k, z) AS s, coalesce(lead(e) OVER k, e) AS se
@@ -200,3 +212,6 @@ SQL = {
   JOIN dem ON dem.r BETWEEN r0 AND r1 AND dem.c BETWEEN c0 AND c1 GROUP BY user_id)"""),
     "terrarium_decode": "SELECT p_partkey, round((p_partkey % 256) * 256.0::DOUBLE + (p_partkey * 7) % 256 + ((p_partkey * 13) % 256) / 256.0::DOUBLE - 32768, 6) AS height FROM part",
 }
+CELL = f"SELECT user_id, seq, least(nr - 1, greatest(0, {js('(54.4825::DOUBLE - lat) / 2.7e-4')}))::BIGINT AS r, least(nc - 1, greatest(0, {js('(lng - 18.4525::DOUBLE) / 4.6e-4')}))::BIGINT AS c FROM track_points, {SIZE}"
+SQL["terrain_at_points"] = with_views("track_points dem", f"""SELECT user_id, seq, b.z, s.slope, g.ruggedness, w.risk FROM ({SQL['bilinear_sample']}) b JOIN ({CELL}) p USING (user_id, seq)
+  LEFT JOIN ({SQL['horn_slope']}) s USING (r, c) LEFT JOIN ({SQL['ruggedness']}) g USING (r, c) LEFT JOIN ({SQL['water_risk']}) w USING (r, c)""")
