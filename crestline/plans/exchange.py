@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from crestline.functions import text
 from crestline.functions.numeric import js_round, number_or
-from crestline.operators import routes
+from crestline.operators import raster, routes
 
-from .rasters import js
+from .rasters import PLACE, js
+from .rasters import SQL as RASTER_SQL
 from .tracks import ROLLUP
-from .views import origins, table, track_points, with_views
+from .views import dem, origins, table, track_points, with_views
 
 CREATOR, PREFIX = "crestline", "Route"
 
@@ -39,6 +40,29 @@ def geojson_export(spark, d):
     return rows.select("user_id", parsed.alias("f")).select("user_id", "f.type", "f.properties.*", F.size("f.geometry.coordinates").alias("n"), F.round(F.element_at("f.geometry.coordinates", 1)[0], 6).alias("first_lng"), F.size(F.element_at("f.geometry.coordinates", 1)).alias("width"))
 
 
+def exported(points, heights, name, form):
+    """user_id, text, media_type: each user's route as GPX or GeoJSON, as the column form says; heights (user_id, seq, z) were sampled for the export."""
+    listed = points.join(heights, ["user_id", "seq"], "left").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lng", "z"))).alias("points"))
+    measured = F.exists("points", lambda p: p["z"].isNotNull())
+    properties = {"name": name, "elevationSource": F.when(measured, "elevation-tiles").otherwise("none")}
+    written, media = text.export_route(form, text.gpx(name, F.col("points"), measured, CREATOR), text.geojson(properties, F.col("points"), measured))
+    return listed.select("user_id", written.alias("text"), media.alias("media_type"))
+
+
+def route_export(spark, d):
+    """Routes in the form asked for, with heights from the raster; what the written text holds is counted."""
+    points = track_points(spark, d).select("user_id", "seq", "lat", "lng")
+    heights = raster.sample(points, dem(spark, d), ["user_id", "seq"], *PLACE)
+    form = F.when(F.col("user_id") % 3 == 0, "geojson").otherwise("gpx")
+    found = exported(points, heights, F.concat(F.lit("Track "), F.col("user_id").cast("string")), form)
+    is_gpx = F.col("media_type") == "application/gpx+xml"
+    coordinates = F.from_json("text", "geometry struct<coordinates array<array<double>>>")["geometry"]["coordinates"]
+    times = lambda pattern: F.regexp_count("text", F.lit(pattern))
+    n_points = F.when(is_gpx, times("<trkpt ")).otherwise(F.size(coordinates))
+    n_heights = F.when(is_gpx, times("<ele>")).otherwise(F.size(F.filter(coordinates, lambda c: F.size(c) == 3)))
+    return found.select("user_id", "media_type", n_points.cast("long").alias("n_points"), n_heights.cast("long").alias("n_heights"))
+
+
 def url_state_roundtrip(spark, d):
     o = origins(spark, d)
     state = text.write_state({"m": F.lit("nearest"), "p": F.col("profile"), "s": text.encode_point(F.col("lat"), F.col("lng")), "g": F.when(F.col("avoid_water"), F.col("max_grade_percent").cast("int").cast("string")).otherwise(F.lit("steep")), "xc": F.when(F.col("street_walking"), "1").otherwise("0")})
@@ -69,7 +93,7 @@ def route_labels(spark, d):
     return o.select("request_id", text.format_coordinate(F.col("lat"), F.col("lng")).alias("place"), text.grade_color(F.col("max_grade_percent") / 250).alias("color"), text.format_saved_at(F.col("request_id") * 98_765_432).alias("saved_at"))
 
 
-QUERIES = {f.__name__: f for f in (gpx_export, geojson_export, url_state_roundtrip, saved_routes_top30, saved_routes_parsed, formatted, route_labels)}
+QUERIES = {f.__name__: f for f in (gpx_export, geojson_export, route_export, url_state_roundtrip, saved_routes_top30, saved_routes_parsed, formatted, route_labels)}
 
 NAMES = "SELECT user_id, coalesce('Route via ' || array_to_string(list_slice(list(way_name ORDER BY f), 1, 2), ' and '), 'Route') AS name FROM (SELECT user_id, way_name, min(seq) AS f FROM hops WHERE way_name IS NOT NULL GROUP BY ALL) GROUP BY user_id"
 SQL = {
@@ -89,3 +113,4 @@ SQL = {
   (SELECT arg_min(k * p, (abs(k * p - m), k * p)) FROM (VALUES (1.0::DOUBLE), (2.0), (5.0), (10.0)) v(k)) AS scale, {js('mm / greatest(m, 1) * 100')}::BIGINT AS mapped_percent
   FROM (SELECT *, pow(10.0::DOUBLE, floor(log10(m))) AS p FROM (SELECT user_id, round(distance_m, 4) AS m, round(mapped_m, 4) AS mm, {js('round(minutes, 4)')}::BIGINT AS t FROM ({ROLLUP})))"""),
 }
+SQL["route_export"] = f"""SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'application/geo+json' ELSE 'application/gpx+xml' END AS media_type, count(*) AS n_points, count(z) AS n_heights FROM ({RASTER_SQL['bilinear_sample']}) GROUP BY user_id"""

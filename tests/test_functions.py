@@ -1,9 +1,12 @@
+import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from crestline.functions import costs, geo, numeric, tags, text
+from crestline.plans import exchange
 
 
 def one(spark, *columns):
@@ -75,3 +78,15 @@ def test_xml_names_are_escaped(spark):
     assert one(spark, text.escape_xml(F.lit('a & <b> "c" \'d\''))) == "a &amp; &lt;b&gt; &quot;c&quot; 'd'"
     assert one(spark, text.decode_point(F.lit("54.1,x"))) is None
     assert math.isclose(one(spark, text.nice_scale(F.lit(260.0))), 200.0)
+
+
+def test_exports_carry_the_heights_that_were_sampled(spark):
+    points = spark.createDataFrame([(u, k, 54.5 + k / 1000, 18.4) for u in (1, 2, 3) for k in range(3)], "user_id long, seq int, lat double, lng double")
+    heights = spark.createDataFrame([(u, k, 10.0 * u + k) for u in (1, 2) for k in range(2)], "user_id long, seq int, z double")
+    made = exchange.exported(points, heights, F.lit('a "b" & c'), F.when(F.col("user_id") == 2, "geojson").otherwise("gpx"))
+    got = {r.user_id: r for r in made.collect()}
+    assert [got[u].media_type for u in (1, 2, 3)] == ["application/gpx+xml", "application/geo+json", "application/gpx+xml"]
+    assert re.findall("<ele>(.*?)</ele>", got[1].text) == ["10.0", "11.0"] and got[1].text.count("<trkpt") == 3 and "<name>a &quot;b&quot; &amp; c</name>" in got[1].text
+    feature = json.loads(got[2].text)
+    assert feature["geometry"]["coordinates"] == [[18.4, 54.5, 20.0], [18.4, 54.501, 21.0], [18.4, 54.502]] and feature["properties"]["elevationSource"] == "elevation-tiles"
+    assert "<ele>" not in got[3].text

@@ -316,3 +316,17 @@ def test_documents_round_trip(spark, tmp_path):
     assert sorted((r.r, r.c, r.z) for r in cells.collect()) == [(0, 0, 1.2), (0, 1, 2.0), (1, 0, -3.0), (1, 1, 4.6)]
     raw = json.loads(next((tmp_path / "h").glob("*.json")).read_text())
     assert raw["schemaVersion"] == 1 and raw["minElevationMeters"] == -3.0 and raw["maxElevationMeters"] == 4.6
+
+
+def test_simplified_lines_keep_their_ends_and_stay_close():
+    r = np.random.default_rng(3)
+    for n in (2, 3, 50, 400):
+        line = np.cumsum(r.normal(size=(n, 2)), axis=0)
+        for tolerance in (0.0, 0.5, 5.0, 1e9):
+            kept = contours.simplify(line, tolerance)
+            at = [int(np.flatnonzero((line == p).all(axis=1))[0]) for p in kept]
+            assert at == sorted(at) and at[0] == 0 and at[-1] == n - 1 and (tolerance < 1e9 or len(kept) == 2)
+            for a, b in zip(at[:-1], at[1:], strict=True):  # no point left out is farther from its stretch than the tolerance
+                along = line[b] - line[a]
+                t = np.clip((line[a:b] - line[a]) @ along / max(along @ along, 1e-300), 0, 1)
+                assert (np.hypot(*(line[a:b] - line[a] - t[:, None] * along).T) <= tolerance + 1e-9).all()
