@@ -14,17 +14,20 @@ leaves as soon as its rank is unique or `match` is reached:
    where unique ranks leave, then the pair of it and the rank at offset `match` / 2. The least
    document of each pair keeps its bytes.
 4. A seed with HOT_RUNS runs or more is not brought together, whatever the size of the input. Its runs are
-   dealt by their text, and the rank pairs of step 3 are grouped by Spark with map-side combining.
+   dealt by their text, of which the least document's copy goes on. These runs then stay where they are, and
+   only ranks travel: the distinct first halves among HOT_HELD runs, of which unique ones leave, then their distinct
+   pairs of halves with the least document, for which the least of all documents comes back. So however
+   often a window occurs, it is sent once for so many runs.
 
 So a task sees a bounded number of runs of any one seed. Texts travel in compressed blocks of
 whole documents; a seed is six bytes on its way, each seed once per block. Ranks are exact texts
-in step 2 and 128-bit hashes in steps 3 and 4.
+in step 2 and 128-bit hashes in steps 3 and 4; what is unique is told by 48 bits of a rank, which may keep too much and never too little.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,9 @@ from .common import documents, id_and_text, partitions, scratch_table, settle, t
 MATCH = 50
 SEED = 24
 BLOCK_BYTES = 4 << 20
-HOT_RUNS = 1 << 16  # by the memory of a task: the windows of so many different runs take some 100 MB
+HOT_RUNS = 1 << 13
 HELD_RUNS = 1 << 16
+HOT_HELD = 20_000
 CHUNK = 1 << 20
 PARTS_PER_PARTITION = 3
 
@@ -170,8 +174,11 @@ def from_six(raw: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def unique_seeds_leave(blocks: DataFrame, match: int, seed: int) -> DataFrame:
-    """block, ranks: for each part of a block's seeds a code each: 0 unique, 1 in several documents, 2 of HOT_RUNS runs or more."""
+def unique_keys_leave(blocks: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """block, ranks: for each part of a block's keys a code each: 0 unique, 1 in several documents, 2 of HOT_RUNS runs or more.
+
+    keys_of a block: its distinct 48-bit keys in order, whether two of its documents hold one, and the power of two below its number of runs.
+    """
     n = partitions(blocks.sparkSession)
     parts = PARTS_PER_PARTITION * n
     names, types = ["block", "part", "seeds", "in_two", "runs"], (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -180,7 +187,7 @@ def unique_seeds_leave(blocks: DataFrame, match: int, seed: int) -> DataFrame:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-                seeds, in_two, runs = block_seeds(open_block(payload.as_py()), match, seed)
+                seeds, in_two, runs = keys_of(open_block(payload.as_py()))
                 edges = part_edges(seeds, parts)
                 rows = [
                     (block, p, six_bytes(seeds[a:b]), np.packbits(in_two[a:b]).tobytes(), packer.compress(runs[a:b].tobytes())) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a
@@ -224,11 +231,6 @@ def unique_seeds_leave(blocks: DataFrame, match: int, seed: int) -> DataFrame:
     return ranked.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "codes"))).alias("ranks"))
 
 
-OUT_COLUMNS = "block long, spans binary, first_half long, second_half long, doc_id long, row int, start long"
-OUT_TYPES = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-OUT_NAMES = [c.split()[0] for c in OUT_COLUMNS.split(", ")]
-
-
 def pack_spans(spans: list[tuple[int, int, int]]) -> bytes:
     """Spans (row, start, stop) of one block; those that touch become one."""
     spans.sort()
@@ -311,14 +313,6 @@ def windows_of(texts: list[bytes], match: int) -> tuple[np.ndarray, np.ndarray,
     return which, within, head[at], tail[at + half]
 
 
-def hot_windows(left: list[tuple], match: int) -> pa.RecordBatch:
-    """The rank pair of every window of left: (block, doc_id, row, start, text)."""
-    which, within, head, tail = windows_of([r[4] for r in left], match)
-    block, doc_id, row, start = (np.array(c, np.int64)[which] for c in list(zip(*left, strict=True))[:4])
-    columns = [block, None, head.astype(np.int64), tail.astype(np.int64), doc_id, row, start + within]
-    return pa.RecordBatch.from_arrays([pa.nulls(len(which), t) if c is None else pa.array(c).cast(t) for c, t in zip(columns, OUT_TYPES, strict=True)], names=OUT_NAMES)
-
-
 def several(ranks: np.ndarray) -> np.ndarray:
     """Where a rank is not unique."""
     _, which, times = np.unique(ranks, return_inverse=True, return_counts=True)
@@ -363,50 +357,168 @@ def decide_part(rows: pa.Table, match: int, seed: int) -> tuple[dict[int, list],
     return spans, hot
 
 
-def decide_runs(runs: DataFrame, match: int, seed: int) -> DataFrame:
-    """Rows with a block's packed spans, and rows with the rank pair of a window of a hot run."""
+def packed_rows(rows: list[tuple[int, bytes]], column: str = "spans") -> pa.RecordBatch:
+    """Rows (block, packed spans), or (holder, its hot runs) with column "hot"."""
+    packed = pa.array([r[1] for r in rows], pa.binary())
+    none = pa.nulls(len(rows), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *((packed, none) if column == "spans" else (none, packed))], names=["block", "spans", "hot"])
 
-    def spans_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        columns = [[r[0] for r in rows], [r[1] for r in rows], *[[None] * len(rows)] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, OUT_TYPES, strict=True)], names=OUT_NAMES)
 
-    def close(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        if not tables:
-            return
-        spans, hot = decide_part(pa.concat_tables(tables).combine_chunks(), match, seed)
-        if spans:
-            yield spans_batch([(block, pack_spans(found)) for block, found in spans.items()])
-        for at in range(0, len(hot), 5_000):
-            yield hot_windows(hot[at : at + 5_000], match)
+def decide_runs(runs: DataFrame, match: int, seed: int) -> DataFrame:
+    """block, spans, hot: a block's packed spans, or (with a number of its own as block) a table of hot runs that are left to ranks of windows."""
+
+    def hot_table(rows: list[tuple]) -> bytes:
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        return pack_table(pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["block", "doc_id", "row", "start", "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, tables = None, []
+        held: list[tuple] = []
+        number = TaskContext.get().partitionId() << 32
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if tables:
+                spans, hot = decide_part(pa.concat_tables(tables).combine_chunks(), match, seed)
+                if spans:
+                    yield packed_rows([(block, pack_spans(found)) for block, found in spans.items()])
+                held.extend(hot)
+
+        def hot_rows(least: int) -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            while len(held) >= least:
+                yield packed_rows([(number, hot_table(held[:HOT_HELD]))], "hot")
+                del held[:HOT_HELD]
+                number += 1
+
         for batch in batches:
             for block, own, decided, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "decided", "payload")), strict=True):
                 if decided:
-                    yield spans_batch([(block, payload)])
+                    yield packed_rows([(block, payload)])
                     continue
                 if own != part:
-                    yield from close(tables)
+                    yield from close()
+                    yield from hot_rows(HOT_HELD)
                     part, tables = own, []
                 table = open_block(payload)
                 tables.append(table.append_column("block", pa.array(np.full(table.num_rows, block))))
-        yield from close(tables)
+        yield from close()
+        yield from hot_rows(1)
 
     dealt = runs.repartition(partitions(runs.sparkSession), "part").sortWithinPartitions("part")
-    return settle(dealt.mapInArrow(tidy(run), OUT_COLUMNS))
+    return settle(dealt.mapInArrow(tidy(run), "block long, spans binary, hot binary"))
+
+
+def first_halves(runs: pa.Table, match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ranks of first halves of a table of hot runs, as unique_keys_leave takes them."""
+    which, _, head, _ = windows_of(runs.column("text").to_pylist(), match)
+    owners = runs.column("doc_id").to_numpy()[which]
+    short = head >> np.uint64(16)
+    order = np.argsort(short, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], short[order][1:] != short[order][:-1]]))
+    in_two = np.minimum.reduceat(owners[order], begins) < np.maximum.reduceat(owners[order], begins)
+    return short[order][begins], in_two, np.zeros(len(begins), np.uint8)
+
+
+class HotWindows:
+    """The windows of a table of hot runs whose first half is not unique, and their distinct rank pairs in order."""
+
+    def __init__(self, runs: pa.Table, codes: list[bytes], match: int):
+        unpacker = zstandard.ZstdDecompressor()
+        which, within, head, tail = windows_of(runs.column("text").to_pylist(), match)
+        short = head >> np.uint64(16)
+        on = np.flatnonzero(np.frombuffer(b"".join(map(unpacker.decompress, codes)), np.uint8)[np.searchsorted(np.unique(short), short)])
+        self.which, self.within, self.match = which[on], within[on], match
+        self.owners = runs.column("doc_id").to_numpy()[self.which]
+        self.order = np.lexsort((tail[on], head[on]))
+        ordered = np.stack([head[on], tail[on]])[:, self.order]
+        new = np.ones(len(on), bool)
+        new[1:] = (ordered[:, 1:] != ordered[:, :-1]).any(axis=0)
+        self.pair = np.cumsum(new) - 1
+        begins = np.flatnonzero(new)
+        self.head, self.tail = ordered[:, begins]
+        self.least = np.minimum.reduceat(self.owners[self.order], begins) if len(begins) else np.zeros(0, np.int64)
+
+    def late(self, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(run, start, stop) of the bytes of windows that a document before theirs holds; windows one after the other make one span."""
+        first = np.empty(len(self.order), np.int64)
+        first[self.order] = least[self.pair]
+        late = np.flatnonzero(self.owners > first)
+        which, within = self.which[late], self.within[late]
+        new = np.ones(len(late), bool)
+        new[1:] = (which[1:] != which[:-1]) | (within[1:] != within[:-1] + 1)
+        begins = np.flatnonzero(new)
+        ends = np.append(begins[1:], len(late))[: len(begins)] - 1
+        return which[begins], within[begins], within[ends] + self.match
+
+
+def hot_spans(hot: DataFrame, match: int) -> DataFrame:
+    """block, spans: what goes of the runs of hot (block: a number of its own, payload: a table of runs)."""
+    parts = partitions(hot.sparkSession)
+    names, types = ["block", "part", "pairs"], (pa.int64(), pa.int32(), pa.binary())
+    ranked = settle(hot.join(unique_keys_leave(hot, lambda runs: first_halves(runs, match)).hint("merge"), "block").select("block", "payload", "ranks.codes"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for block, payload, codes in zip(*(batch.column(c).to_pylist() for c in ("block", "payload", "codes")), strict=True):
+                windows = HotWindows(open_block(payload), codes, match)
+                part = ((windows.head >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+                every = np.stack([windows.head, windows.tail, windows.least.astype(np.uint64)])
+                rows = [(block, p, packer.compress(every[:, a:b].tobytes())) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    def least_of_part(rows: list[tuple]) -> pa.RecordBatch:
+        unpacker, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        held = [np.frombuffer(unpacker.decompress(r[2]), np.uint64).reshape(3, -1) for r in rows]
+        head, tail, least = np.concatenate(held, axis=1)
+        order = np.lexsort((tail, head))
+        new = np.ones(len(order), bool)
+        new[1:] = (head[order][1:] != head[order][:-1]) | (tail[order][1:] != tail[order][:-1])
+        of_all = np.empty(len(order), np.int64)
+        of_all[order] = np.minimum.reduceat(least[order].astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
+        ends = np.cumsum([h.shape[1] for h in held])
+        packed = [packer.compress(of_all[end - h.shape[1] : end].tobytes()) for h, end in zip(held, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([r[0] for r in rows], [r[1] for r in rows], packed), types, strict=True)], names=names)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if row[1] != part and held:
+                    yield least_of_part(held)
+                    held = []
+                part = row[1]
+                held.append(row)
+        if held:
+            yield least_of_part(held)
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for payload, codes, pairs in zip(*(batch.column(c).to_pylist() for c in ("payload", "codes", "least")), strict=True):
+                runs = open_block(payload)
+                which, start, stop = HotWindows(runs, codes, match).late(np.frombuffer(b"".join(unpacker.decompress(p["pairs"]) for p in pairs), np.int64))
+                block, row, base = (runs.column(c).to_numpy()[which] for c in ("block", "row", "start"))
+                found: dict[int, list] = {}
+                for own, *span in zip(*(c.tolist() for c in (block, row, base + start, base + stop)), strict=True):
+                    found.setdefault(own, []).append(tuple(span))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([pack_spans(f) for f in found.values()], pa.binary())], names=["block", "spans"])
+
+    pairs = "block long, part int, pairs binary"
+    decided = ranked.mapInArrow(tidy(send), pairs).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(least), pairs)
+    by_holder = decided.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "pairs"))).alias("least"))
+    return ranked.join(by_holder.hint("merge"), "block").select("payload", "codes", "least").mapInArrow(tidy(spans), "block long, spans binary")
 
 
 def removed_spans(decided: DataFrame, match: int) -> DataFrame:
-    """block, packed (a list of packed spans), late (a list of window starts): bytes to remove; spans may overlap."""
-    windows = decided.where("spans IS NULL")
-    pair = ["first_half", "second_half"]
-    ranked = windows.groupBy(*pair).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    least = settle(ranked)  # both sides of the join then come from files, so that a frequent pair can be split
-    late = windows.join(least, pair).where("doc_id > least").select("block", F.lit(None).cast("binary").alias("spans"), "row", "start")
-    both = decided.where("spans IS NOT NULL").select("block", "spans", F.lit(None).cast("int").alias("row"), F.lit(None).cast("long").alias("start")).union(late)
-    window = F.when(F.col("row").isNotNull(), F.struct(F.col("row").cast("long").alias("row"), F.col("start"), (F.col("start") + match).alias("stop")))
-    return both.groupBy("block").agg(F.collect_list("spans").alias("packed"), F.collect_list(window).alias("late"))
+    """block, packed (a list of packed spans): bytes to remove; spans may overlap."""
+    spans, hot = decided.where("spans IS NOT NULL").select("block", "spans"), decided.where("hot IS NOT NULL").select("block", F.col("hot").alias("payload"))
+    if not hot.isEmpty():
+        spans = spans.union(hot_spans(hot, match))
+    return spans.groupBy("block").agg(F.collect_list("spans").alias("packed"))
 
 
 def cut_repeats(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFrame:
@@ -418,18 +530,16 @@ def cut_repeats(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFr
     scratch table until common.drop_scratch.
     """
     blocks = to_blocks(docs)
-    decided = decide_runs(open_runs(blocks, unique_seeds_leave(blocks, match, seed), match, seed), match, seed)
+    ranks = unique_keys_leave(blocks, lambda block: block_seeds(block, match, seed))
+    decided = decide_runs(open_runs(blocks, ranks, match, seed), match, seed)
     gone = removed_spans(decided, match)
     added = ["kept_bytes", "n_bytes", "n_removed", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, packed, late in zip(batch.column("payload"), batch.column("packed"), batch.column("late"), strict=True):
+            for payload, packed in zip(batch.column("payload"), batch.column("packed"), strict=True):
                 table = open_block(payload.as_py())
-                cuts = [np.zeros((0, 3), np.int64), *map(unpack_spans, packed.as_py() or [])]
-                if late.is_valid and len(late.values):
-                    cuts.append(np.stack([late.values.field(k).to_numpy() for k in range(3)], axis=1))
-                cuts = np.concatenate(cuts)
+                cuts = np.concatenate([np.zeros((0, 3), np.int64), *map(unpack_spans, packed.as_py() or [])])
                 cuts = cuts[np.argsort(cuts[:, 0], kind="stable")]
                 edges = np.searchsorted(cuts[:, 0], np.arange(table.num_rows + 1))
                 kept, sizes, removed, counts = [], [], [], []
@@ -457,7 +567,7 @@ def cut_repeats(docs: DataFrame, match: int = MATCH, seed: int = SEED) -> DataFr
                     yield pa.RecordBatch.from_arrays([doc, *(c.slice(at, step) for c in more)], names=["doc", *added])
 
     schema = T.StructType([T.StructField("doc", docs.schema), T.StructField(added[0], T.BinaryType()), *(T.StructField(n, T.LongType()) for n in added[1:])])
-    return blocks.join(gone.hint("merge"), "block", "left").select("payload", "packed", "late").mapInArrow(tidy(run), schema)
+    return blocks.join(gone.hint("merge"), "block", "left").select("payload", "packed").mapInArrow(tidy(run), schema)
 
 
 def whole_characters(kept: Column) -> Column:

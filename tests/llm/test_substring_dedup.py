@@ -49,11 +49,15 @@ def test_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "BLOCK_BYTES", 2_000)
     monkeypatch.setattr(S, "CHUNK", 256)
     monkeypatch.setattr(S, "HELD_RUNS", 50)
+    monkeypatch.setattr(S, "HOT_HELD", 7)
+    hot_path, tables = S.hot_spans, []
+    monkeypatch.setattr(S, "hot_spans", lambda held, match: tables.append(held.count()) or hot_path(held, match))
     rows = corpus(hot)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     monkeypatch.setattr(S.to_blocks, "__defaults__", (2_000,))
     got = sorted((tuple(r) for r in S.substring_dedup(docs).collect()), key=str)
     assert got == brute(rows)
+    assert [n > 3 for n in tables] == ([True] if hot == 8 else [])
 
 
 def test_keeps_all_columns_and_takes_an_empty_table(spark):
