@@ -12,6 +12,7 @@ from crestline.functions.numeric import clamp, js_round
 
 WATER_REACH = 26.0
 TILE = 4  # cells along a square of the raster that is joined whole
+FAN = 4  # nodes of a pyramid along a node of the level above
 # Sun and relief, the part of a picture's side that fades, and the ramp of the hypsometric tint.
 SUN_AZIMUTH, SUN_ALTITUDE = math.radians(315.0), math.radians(46.0)
 RELIEF_EXAGGERATION, RELIEF_CONTRAST, TINT_CONTRAST = 2.8, 1.15, 1.5
@@ -218,19 +219,64 @@ def marching_squares(dem: DataFrame, interval: float) -> DataFrame:
     return coded.select("level", "r", "c", F.posexplode(single).alias("part", "s")).select("level", "r", "c", "part", "s.*")
 
 
+def top_level() -> Column:
+    """The largest level whose nodes fit into a raster of `rows` and `columns`."""
+    return F.floor(F.log(float(FAN), F.greatest(F.col("rows"), F.col("columns"), F.lit(1)))).cast("int")
+
+
+def pyramid(dem: DataFrame, size: DataFrame) -> DataFrame:
+    """level, r, c, lo, hi: the least and greatest height of squares of FAN ** level cells, from the cells themselves (level 0) up to the raster's size.
+
+    size is its extent. Cells are summed up once; all further levels come from the first, of 1 / FAN ** 2 as many rows.
+    """
+    cells = dem.select(F.lit(0).alias("level"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("z").alias("lo"), F.col("z").alias("hi"))
+    over = lambda at: F.floor(F.col(at) / FAN).alias(at)
+    low_high = F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    first = cells.groupBy(over("r"), over("c")).agg(*low_high)
+    up = lambda at: F.floor(F.col(at) / F.pow(F.lit(FAN), F.col("level") - 1)).alias(at)
+    dealt = first.crossJoin(size.select(top_level().alias("top"))).where("top > 1").withColumn("level", F.explode(F.sequence(F.lit(2), "top")))  # one row
+    upper = dealt.select("level", up("r"), up("c"), "lo", "hi").groupBy("level", "r", "c").agg(*low_high)
+    return cells.union(first.select(F.lit(1).alias("level"), "r", "c", "lo", "hi")).union(upper)
+
+
+def whole_nodes(boxes: DataFrame) -> DataFrame:
+    """boxes (r0, r1, c0, c1, both ends within, and top) with the nodes (level, r, c) of a pyramid that make each up, each cell in one node.
+
+    A level gives the nodes inside the box that the next level leaves, a frame of less than FAN nodes at each side, so the rows of a box
+    grow with its perimeter. A box without a cell keeps one row, with null nodes.
+    """
+    levels = boxes.withColumn("level", F.explode_outer(F.sequence(F.lit(0), "top")))
+    side, above = F.pow(F.lit(FAN), F.col("level")), F.pow(F.lit(FAN), F.col("level") + 1)
+    inside = {}
+    for at in ("r", "c"):
+        inside |= {f"_{at}0": F.ceil(F.col(f"{at}0") / side), f"_{at}1": F.floor((F.col(f"{at}1") + 1) / side)}
+        inside |= {f"_{at}2": F.ceil(F.col(f"{at}0") / above) * FAN, f"_{at}3": F.floor((F.col(f"{at}1") + 1) / above) * FAN}
+    cut = levels.withColumns(inside).withColumn("_next", (F.col("level") < F.col("top")) & (F.col("_r2") < F.col("_r3")) & (F.col("_c2") < F.col("_c3")))
+    none = F.array().cast("array<bigint>")
+    upto = lambda a, b: F.when(F.col(a) < F.col(b), F.sequence(F.col(a), F.col(b) - 1)).otherwise(none)
+    lines = cut.withColumn("r", F.explode_outer(upto("_r0", "_r1")))
+    covered = F.col("_next") & (F.col("r") >= F.col("_r2")) & (F.col("r") < F.col("_r3"))
+    across = F.when(F.col("r").isNull(), none).when(covered, F.concat(upto("_c0", "_c2"), upto("_c3", "_c1"))).otherwise(upto("_c0", "_c1"))
+    nodes = lines.withColumn("c", F.explode_outer(across))
+    return nodes.where(F.col("c").isNotNull() | (F.col("r").isNull() & F.coalesce(F.col("level") == 0, F.lit(True)))).select(*boxes.columns, "level", "r", "c")
+
+
 def local_range(dem: DataFrame, box: DataFrame, north: float, west: float, lat_step: float, lng_step: float, buffer: float = 150.0) -> DataFrame:
-    """key columns of box (n, s, e, w) with low and high of the heights around it; a span under one metre counts as the whole raster's."""
+    """key columns of box (n, s, e, w) with low and high of the heights around it; a span under one metre counts as the whole raster's.
+
+    A box is cut into whole nodes of a min/max pyramid and joined to them. A box with a null bound, or over cells that are not there, has the whole raster's range.
+    """
     degree = 111_320.0
-    whole = F.broadcast(extent(dem))  # one row
+    size = extent(dem)
+    whole = F.broadcast(size)  # one row
     pad_lat, pad_lng = F.lit(buffer / degree), buffer / (degree * F.cos(geo.radians((F.col("n") + F.col("s")) / 2)))
     row = lambda lat: clamp(js_round((F.lit(north) - lat) / lat_step), F.lit(0), F.col("rows") - 1)
     column = lambda lng: clamp(js_round((lng - F.lit(west)) / lng_step), F.lit(0), F.col("columns") - 1)
-    asked = box.crossJoin(whole).withColumns({"r0": row(F.col("n") + pad_lat), "r1": row(F.col("s") - pad_lat), "c0": column(F.col("w") - pad_lng), "c1": column(F.col("e") + pad_lng)})
+    bounded = F.col("n").isNotNull() & F.col("s").isNotNull() & F.col("e").isNotNull() & F.col("w").isNotNull()  # clamp passes over nulls
+    asked = box.crossJoin(whole).withColumns({"r0": row(F.col("n") + pad_lat), "r1": row(F.col("s") - pad_lat), "c0": column(F.col("w") - pad_lng), "c1": column(F.col("e") + pad_lng), "top": F.when(bounded, top_level())})
     keys = [c for c in box.columns if c not in ("n", "s", "e", "w")]
-    # Whole rows are summed up by row first, so a box asks one line per raster row and no cell pairs.
-    lines = asked.withColumn("r", F.explode(F.sequence("r0", "r1"))).join(dem.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", "z"))).alias("cells")), "r")
-    part = F.transform(F.filter("cells", lambda x: x["c"].between(F.col("c0"), F.col("c1"))), lambda x: x["z"])
-    found = lines.groupBy(*keys).agg(F.min(F.array_min(part)).alias("lo"), F.max(F.array_max(part)).alias("hi"), F.first("low").alias("low_all"), F.first("high").alias("high_all"))
+    wanted = whole_nodes(asked.select(*keys, F.col("low").alias("low_all"), F.col("high").alias("high_all"), "r0", "r1", "c0", "c1", "top"))
+    found = wanted.join(pyramid(dem, whole), ["level", "r", "c"], "left").groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("low_all").alias("low_all"), F.first("high_all").alias("high_all"))
     spans = F.coalesce(F.col("hi") - F.col("lo") >= 1, F.lit(False))
     return found.select(*keys, F.when(spans, F.col("lo")).otherwise(F.col("low_all")).alias("low"), F.when(spans, F.col("hi")).otherwise(F.col("high_all")).alias("high"))
 

@@ -330,3 +330,48 @@ def test_simplified_lines_keep_their_ends_and_stay_close():
                 along = line[b] - line[a]
                 t = np.clip((line[a:b] - line[a]) @ along / max(along @ along, 1e-300), 0, 1)
                 assert (np.hypot(*(line[a:b] - line[a] - t[:, None] * along).T) <= tolerance + 1e-9).all()
+
+
+def test_boxes_are_cut_into_whole_nodes(spark):
+    rng = np.random.default_rng(5)
+    ends = np.sort(rng.integers(0, 150, (60, 2, 2)), axis=2)
+    rows = [(k, *map(int, (*e[0], *e[1])), 3) for k, e in enumerate(ends)] + [(60, 4, 3, 0, 9, 3), (61, None, None, 0, 9, 3), (62, 0, 149, 7, 9, 3)]
+    found = raster.whole_nodes(spark.createDataFrame(rows, "box long, r0 long, r1 long, c0 long, c1 long, top int")).toPandas().astype({"level": float})
+    for k, r0, r1, c0, c1, _ in rows:
+        own = found[found["box"] == k]
+        if k in (60, 61):
+            assert len(own) == 1 and own[["r", "c"]].isna().all(axis=None)
+            continue
+        covered = np.zeros((256, 256), int)
+        for level, r, c in own[["level", "r", "c"]].astype(int).itertuples(index=False):
+            side = raster.FAN**level
+            covered[r * side : (r + 1) * side, c * side : (c + 1) * side] += 1
+        inside = np.zeros((256, 256), int)
+        inside[r0 : r1 + 1, c0 : c1 + 1] = 1
+        assert (covered == inside).all()
+        assert len(own) <= 8 * (r1 - r0 + c1 - c0 + 2) + 16
+
+
+def test_local_ranges_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    z = np.round(rng.normal(300, 80, (90, 70)), 1)
+    z[rng.random(z.shape) < 0.3] = np.nan
+    z[20:50, 20:50] = np.nan
+    z[60:80, 5:30] = 250.2
+    dem = spark.createDataFrame([(r, c, float(z[r, c])) for r, c in np.argwhere(~np.isnan(z)).tolist()], "r long, c long, z double")
+    north, west, step, buffer = 50.0, 10.0, 0.001, 150.0
+    boxes = []
+    for k in range(40):
+        (a, b), (x, y) = np.sort(rng.uniform(-5, 95, 2)).tolist(), np.sort(rng.uniform(-5, 75, 2)).tolist()
+        boxes.append((k, north - a * step, north - b * step, west + y * step, west + x * step))
+    boxes += [(40, north - 0.033, north - 0.035, west + 0.036, west + 0.034), (41, north - 0.066, north - 0.072, west + 0.020, west + 0.015), (42, None, 50.0, 10.0, 10.0)]
+    got = {r["box"]: (r["low"], r["high"]) for r in raster.local_range(dem, spark.createDataFrame(boxes, "box long, n double, s double, e double, w double"), north, west, step, step, buffer).collect()}
+    whole = float(np.nanmin(z)), float(np.nanmax(z))
+    place = lambda x, most: min(max(math.floor(x + 0.5), 0), most - 1)
+    for k, n, s, e, w in boxes[:-1]:
+        pad_lat, pad_lng = buffer / 111_320.0, buffer / (111_320.0 * math.cos(math.radians((n + s) / 2)))
+        rows, columns = 1 + int(max(np.argwhere(~np.isnan(z))[:, 0])), 1 + int(max(np.argwhere(~np.isnan(z))[:, 1]))
+        part = z[place((north - n - pad_lat) / step, rows) : place((north - s + pad_lat) / step, rows) + 1, place((w - pad_lng - west) / step, columns) : place((e + pad_lng - west) / step, columns) + 1]
+        known = part[~np.isnan(part)]
+        assert got[k] == ((float(known.min()), float(known.max())) if len(known) and known.max() - known.min() >= 1 else whole), k
+    assert got[40] == got[41] == got[42] == whole
