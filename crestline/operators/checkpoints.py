@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -20,3 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that ensure_checkpoint_dir settles on, for tables that are kept beside checkpoints."""
     ensure_checkpoint_dir(spark)
     return (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """frame as a table in that folder, for loops: it is computed once, and unlike a checkpoint it does not carry over what
+    the optimizer derived from earlier rounds, which doubles with every self-join.
+    """
+    path = f"{shared_folder(frame.sparkSession)}/rounds-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

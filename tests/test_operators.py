@@ -56,9 +56,12 @@ def test_contours_of_a_ramp_are_straight_lines(spark):
     assert contours.contour_lines(grid(spark, [[1, 2], [3, 4]]), 0.0, 1.0, 0.0, 0.1, 0.1).count() == 0
 
 
-def test_stitching_uses_every_segment_once():
-    ends = [((0.0, 0.0), (0.0, 1.0)), ((0.0, 2.0), (0.0, 1.0)), ((5.0, 5.0), (6.0, 6.0)), ((0.0, -1.0), (0.0, 0.0))]
-    assert contours.stitch(ends) == [[(0.0, -1.0), (0.0, 0.0), (0.0, 1.0), (0.0, 2.0)], [(5.0, 5.0), (6.0, 6.0)]]
+def test_trails_use_every_link_once():
+    ends = [("b", "c"), ("d", "c"), ("x", "y"), ("a", "b"), ("z", "z")]
+    assert contours.trails(ends) == [[(3, True), (0, True), (1, False)], [(2, True)], [(4, True)]]
+    crossing = [("m", "a"), ("b", "m"), ("m", "c"), ("d", "m")]  # the least free link goes on where four meet
+    assert contours.trails(crossing) == [[(1, True), (0, True)], [(3, True), (2, True)]]
+    assert contours.trails(crossing, [(0, 0), (9, 9), (1, 1), (2, 2)]) == [[(2, False), (0, True)], [(1, True), (3, False)]]
 
 
 def test_labels_settle_as_by_brute_force():
@@ -197,19 +200,28 @@ def test_debounced_requests_leave_the_state(spark, tmp_path):
     assert [(r.seq, r.state) for r in debounced(rows).collect()] == [(2, "2")]
 
 
-def test_contours_do_not_depend_on_strips(spark, monkeypatch):
-    """Lines over the borders of strips are whole: the same for strips of 3 and 16 rows as for one strip."""
-    from crestline.operators import contours
-
-    cells = [(r, c, 10 * np.sin(r / 6) + 3 * np.cos(c / 2) + r / 10) for r in range(40) for c in range(8)]
-    dem = spark.createDataFrame([(r, c, float(z)) for r, c, z in cells], "r long, c long, z double")
-
-    def lines(strip):
-        monkeypatch.setattr(contours, "STRIP_ROWS", strip)
-        return sorted((r.elevation, r.is_index, [(round(p.lat, 9), round(p.lng, 9)) for p in r.points]) for r in contours.contour_lines(dem, 5.0, 54.0, 18.0, 0.001, 0.001, minimum=5).collect())
-
-    whole = lines(4096)
-    assert whole and lines(16) == whole and lines(3) == whole
+@pytest.mark.parametrize(("rows", "columns", "steps", "tile", "stretch"), [(40, 8, None, 16, 12), (24, 14, 4, 5, 50_000), (12, 9, 2, 256, 50_000)])
+def test_contours_equal_joining_segments_one_by_one(spark, monkeypatch, rows, columns, steps, tile, stretch):
+    """For tiles and stretches of any size, on smooth ground and on heights that are often a level's own, where up to eight ends meet at a spot."""
+    rng = np.random.default_rng(rows)
+    z = [[10 * np.sin(r / 6) + 3 * np.cos(c / 2) + r / 10 if steps is None else rng.integers(0, steps * 5) * 5.0 / steps for c in range(columns)] for r in range(rows)]
+    dem = grid(spark, z)
+
+    def one_by_one():
+        by_level = {}
+        for s in sorted(raster.marching_squares(dem, 5.0).collect(), key=lambda s: (s.r, s.c, s.part)):
+            by_level.setdefault(s.level, []).append(((54.0 - s.a_r * 0.001, 18.0 + s.a_c * 0.001), (54.0 - s.b_r * 0.001, 18.0 + s.b_c * 0.001)))
+        for level, ends in by_level.items():
+            for trail in contours.trails([tuple(tuple(round(x * 1e6) for x in p) for p in pair) for pair in ends]):
+                line = np.array([ends[trail[0][0]][1 - trail[0][1]]] + [ends[k][forward] for k, forward in trail])
+                if len(line) >= 5:
+                    yield level, [tuple(p) for p in contours.simplify(line, 0.00035).round(9)]
+
+    monkeypatch.setattr(contours, "TILE", tile)
+    monkeypatch.setattr(contours, "STRETCH", stretch)
+    found = contours.contour_lines(dem, 5.0, 54.0, 18.0, 0.001, 0.001, minimum=5).collect()
+    whole = sorted(one_by_one())
+    assert whole and sorted((r.elevation, [(round(p.lat, 9), round(p.lng, 9)) for p in r.points]) for r in found) == whole
 
 
 def test_terrain_in_one_row_a_cell(spark):
