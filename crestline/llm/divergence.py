@@ -207,6 +207,7 @@ def pair_divergence(groups: DataFrame, chunks: DataFrame) -> DataFrame:
     """
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("source", kind="stable")  # rows come in any order, and a pair has to be named the same way in every chunk
         size, low, high = int(rows["size"].iloc[0]), rows["low"].iloc[0], rows["high"].iloc[0]
         dense = np.zeros((len(rows), size), np.int64)
         for k, (ids, n, total, kept) in enumerate(zip(rows["ids"], rows["n"], rows["total"], rows["kept"], strict=True)):

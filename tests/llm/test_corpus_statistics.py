@@ -57,6 +57,30 @@ def test_equals_sql(spark, name):
     assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
 
 
+def test_divergence_equals_sql_however_rows_are_dealt(spark):
+    r, docs = random.Random(11), []
+    for k in range(500):
+        lang, source = r.choice(["en", "pl", "", None]), r.choice(["b", "a", "Z", "é", "日", "", None])
+        docs.append((k, " ".join(r.choice(["tak", "NIE", "é", "É", "日本", "ß", "x7y"]) if r.random() < 0.3 else "w" + "abcdefghij"[int(r.paretovariate(0.7)) % 10] * r.randint(1, 6) for _ in range(60)), lang, source))
+    docs += [(600 + k, t, r.choice(["en", "xx"]), "odd") for k, t in enumerate(ODD)] + [(700, "lonely", "de", "only"), docs[0], (None, docs[1][1], "en", "\U0001f600"), (800, None, "en", "\uffff")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", docs)
+    want = con.execute(divergence.SQL)
+    columns = [c[0] for c in want.description]
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = [tuple(row[c] for c in columns) for row in divergence.audit(frame.repartition(5)).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(got, key=repr) == sorted(want.fetchall(), key=repr)
+
+
 # --- decontamination
 
 
