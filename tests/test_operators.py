@@ -70,6 +70,40 @@ def test_labels_settle_as_by_brute_force():
     assert cost == {0: 0.0, 1: 1.0, 2: 2.0} and length[2] == 20.0 and previous[2] == 1
 
 
+def test_what_is_dealt_to_buckets_is_not_broadcast(spark, tmp_path):
+    """An estimate does not count the rows of an explode: 15,000 requests at 361 buckets each were sent whole to every executor."""
+    spark.createDataFrame([(k, 54.0 + k / 1e4, 18.0) for k in range(50)], "request_id long, lat double, lng double").write.parquet(f"{tmp_path}/p")
+    points = spark.read.parquet(f"{tmp_path}/p")
+    spot = geo.Point(F.col("lat"), F.col("lng"))
+    dealt = network.in_buckets(points, spot, spot, 0.002)
+    joined = dealt.join(points.select(network.bucket_key(network.bucket_row(spot.lat), network.bucket_row(spot.lng)).alias("bucket"), F.col("request_id").alias("other")), "bucket")
+    assert joined.count() >= 50
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("many", [0, 1, 60, 400, 3000])
+def test_nearest_nodes_equal_sql_at_any_density(spark, many):
+    """From networks that the first ring never fills to ones that it always does, also below zero and at edges of buckets."""
+    import duckdb
+
+    from crestline.plans.network import nearest
+
+    rng = random.Random(many)
+    coordinate = lambda: rng.choice([rng.uniform(-0.012, 0.012), rng.randint(-12, 12) / 1000])
+    nodes = [(round(lat * 1e6), round(lng * 1e6), lat, lng) for lat, lng in {(coordinate(), coordinate()) for _ in range(many)}]
+    nodes = list({n[:2]: n for n in nodes}.values())
+    asked = [(k, coordinate(), coordinate()) for k in range(60)] + [(99, 5.0, 5.0), (100, None, None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE nodes (lat_e6 BIGINT, lng_e6 BIGINT, lat DOUBLE, lng DOUBLE); CREATE TABLE asked (request_id BIGINT, lat DOUBLE, lng DOUBLE)")
+    for table, rows in (("nodes", nodes), ("asked", asked)):
+        if rows:
+            con.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(rows[0]))})", rows)
+    want = con.execute(nearest("asked", 5)).fetchall()
+    got = network.nearest_nodes(spark.createDataFrame(asked, "request_id long, lat double, lng double"), spark.createDataFrame(nodes, "lat_e6 long, lng_e6 long, lat double, lng double"), 5)
+    assert sorted(map(tuple, got.select("request_id", "rank", "lat_e6", "lng_e6", F.round("meters", 4)).collect())) == sorted(want)
+
+
 def test_reach_equals_brute_force(spark):
     ensure_checkpoint_dir(spark)
     rng = np.random.default_rng(5)
