@@ -104,6 +104,14 @@ def test_nearest_nodes_equal_sql_at_any_density(spark, many):
     assert sorted(map(tuple, got.select("request_id", "rank", "lat_e6", "lng_e6", F.round("meters", 4)).collect())) == sorted(want)
 
 
+def test_reach_writes_its_rounds_as_tables(spark, monkeypatch):
+    """A checkpoint carries over what the optimizer has derived, which grows with the rounds on the driver."""
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda *_: pytest.fail("a checkpoint in the loop"))
+    links = spark.createDataFrame([(str(k), str(k + 1), 1.0) for k in range(4)], "node string, other string, cost double")
+    got = network.reach(spark.createDataFrame([("0", "0")], "source string, node string"), links, 2.5)
+    assert sorted(map(tuple, got.collect())) == [("0", "0", 0.0), ("0", "1", 1.0), ("0", "2", 2.0)]
+
+
 def test_reach_equals_brute_force(spark):
     ensure_checkpoint_dir(spark)
     rng = np.random.default_rng(5)
