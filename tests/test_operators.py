@@ -82,6 +82,23 @@ def test_what_is_dealt_to_buckets_is_not_broadcast(spark, tmp_path):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_barriers_are_not_broadcast_and_openings_count_over_bucket_edges(spark, tmp_path):
+    """Barriers dealt to buckets were sent whole to every task; segment k crosses barrier k, whose opening lies k * 2 m beside the crossing."""
+    rng = random.Random(5)
+    at = [(54.0 + k * 0.01 + rng.choice([0.0, 0.00005, rng.random() / 100]), 18.0 + rng.choice([0.0, 0.00005, rng.random() / 100])) for k in range(12)]
+    walked = [(k, 1, lat, lng - 1e-4, lat, lng + 1e-4) for k, (lat, lng) in enumerate(at)]
+    closed = [(k, lat - 1e-4, lng, lat + 1e-4, lng) for k, (lat, lng) in enumerate(at)]
+    opened = [(lat + rng.choice([-1, 1]) * k * 2.01 / geo.METERS_PER_DEGREE_LATITUDE, lng) for k, (lat, lng) in enumerate(at)]
+    ends = "a_lat double, a_lng double, b_lat double, b_lng double"
+    frames = []
+    for name, rows, schema in (("s", walked, f"way_id long, pos int, {ends}"), ("b", closed, f"barrier_id long, {ends}"), ("o", opened, "lat double, lng double")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+        frames.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    found = network.barrier_violations(*frames)
+    assert sorted(r.way_id for r in found.collect()) == [k for k in range(12) if k * 2.01 > network.OPENING_METERS]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("many", [0, 1, 60, 400, 3000])
 def test_nearest_nodes_equal_sql_at_any_density(spark, many):
     """From networks that the first ring never fills to ones that it always does, also below zero and at edges of buckets."""
