@@ -82,6 +82,12 @@ def tiles(cells: DataFrame, of: list[str] | None = None) -> DataFrame:
     return squares.select(*(of or []), "tile_r", "tile_c", F.col("cells.code").alias("codes"), F.col("cells.z").alias("heights"))
 
 
+def squares(cells: DataFrame, measures: list[str]) -> DataFrame:
+    """tile_r, tile_c, cells: the raster in squares as in tiles(), a struct of measures at each place of a square, null where there is no cell."""
+    named = tiles(cells.select("r", "c", F.struct(*measures).alias("z")))
+    return named.select("tile_r", "tile_c", F.transform(F.sequence(F.lit(0), F.lit((TILE + 1) ** 2 - 1)), lambda k: F.get("heights", (F.array_position("codes", k) - 1).cast("int"))).alias("cells"))
+
+
 def between_cells(points: DataFrame, cells: DataFrame, of: list[str] | None = None) -> DataFrame:
     """points (_y, _x within their raster, _rows, _columns of it) with z, the bilinear height.
 

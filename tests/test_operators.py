@@ -82,6 +82,19 @@ def test_what_is_dealt_to_buckets_is_not_broadcast(spark, tmp_path):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_segments_beyond_the_raster_are_dealt_to_copies_of_its_corner(spark):
+    """They all take their heights from one square, which one task read for all of them."""
+    dem = grid(spark, [[r * 1.0 + c for c in range(9)] for r in range(9)])
+    rows = [(k, 1, 54.01 + k * 1e-6, 19.0, 54.01 + k * 1e-6, 19.0003) for k in range(200)] + [(900, 1, 54.0, 18.0, 54.0 - 2.7e-4, 18.0), (901, 1, 54.0, 18.0, 54.0, 18.0)]
+    segments = spark.createDataFrame(rows, "way_id long, pos int, a_lat double, a_lng double, b_lat double, b_lng double")
+    found = network.segment_profile(segments, ["way_id", "pos"], dem, (54.0, 18.0, 2.7e-4, 4.6e-4))
+    got = {r.way_id: r for r in found.collect()}
+    assert len(got) == 202 and all(r.change_m == 0 and r.distance_m > 15 and r.max_grade == 0 for k, r in got.items() if k < 900)
+    assert math.isclose(got[900].change_m, 1.0, abs_tol=1e-9) and tuple(got[901])[2:] == (0.0,) * 6
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert any("SortMergeJoin" in line and "_copy" in line for line in plan.splitlines())
+
+
 def test_barriers_are_not_broadcast_and_openings_count_over_bucket_edges(spark, tmp_path):
     """Barriers dealt to buckets were sent whole to every task; segment k crosses barrier k, whose opening lies k * 2 m beside the crossing."""
     rng = random.Random(5)
