@@ -7,7 +7,8 @@ overlay of its cells.
 
 from __future__ import annotations
 
-from functools import reduce
+import copy
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,16 @@ from pyspark.sql import functions as F
 
 from crestline.functions import costs, geo
 
-from . import network, overlay, routes, search
+from . import network, overlay, raster, routes, search
 from .checkpoints import ensure_checkpoint_dir
+from .components import component_labels
 
 CONNECTOR_NODES, PATH_NODES = 24, 64
 HOP_TILE = 16
 SETTINGS = ["profile", "max_grade_percent", "aversion", "budget", "allow_crossing", "allow_street", "avoid_water"]
 SHORTEST = 0.5
+#: Degrees around a box within which ways, crossings and openings bear on what lies in it: more than any bucket join looks.
+MARGIN = 0.002
 
 
 def routing_requests(asked: DataFrame) -> DataFrame:
@@ -65,26 +69,63 @@ def legs(requests: DataFrame) -> DataFrame:
 
 
 class Ground:
-    """What a request moves over: the raster and its place, ways and barriers as tables; measures are made from them by joins."""
+    """What a request moves over: the raster and its place, ways and barriers as tables; measures are made from them by joins.
+
+    What is derived from the ways (crossings, roads, nodes, edges) is made when it is first asked for.
+    """
 
     def __init__(self, dem: DataFrame, place: tuple, segments: DataFrame, vertices: DataFrame, ways: DataFrame, barriers: DataFrame, openings: DataFrame, risk: DataFrame | None = None, slopes: DataFrame | None = None):
         ensure_checkpoint_dir(dem.sparkSession)
         self.dem, self.place, self.barriers, self.openings, self.risk, self.slopes = dem, place, barriers, openings, risk, slopes
-        self.crossings = network.crossing_points(segments, ways).select((F.col("lat_e6") / 1e6).alias("lat"), (F.col("lng_e6") / 1e6).alias("lng")).checkpoint()
-        self.roads = segments.join(network.described(ways).where("is_street AND NOT restricted").select("way_id", "walkway"), "way_id").select("way_id", "pos", "walkway", *(f"{e}_{k}" for e in "ab" for k in ("lat", "lng"))).checkpoint()
-        key = lambda lat, lng: F.concat_ws(",", F.col(lat).cast("string"), F.col(lng).cast("string"))
-        self.nodes = network.nodes(vertices, ways).withColumn("node", key("lat_e6", "lng_e6")).checkpoint()
+        self.segments, self.vertices, self.ways = segments, vertices, ways
+
+    @cached_property
+    def crossings(self) -> DataFrame:
+        return network.crossing_points(self.segments, self.ways).select((F.col("lat_e6") / 1e6).alias("lat"), (F.col("lng_e6") / 1e6).alias("lng")).checkpoint()
+
+    @cached_property
+    def roads(self) -> DataFrame:
+        return self.segments.join(network.described(self.ways).where("is_street AND NOT restricted").select("way_id", "walkway"), "way_id").select("way_id", "pos", "walkway", *(f"{e}_{k}" for e in "ab" for k in ("lat", "lng"))).checkpoint()
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return network.nodes(self.vertices, self.ways).withColumn("node", F.concat_ws(",", F.col("lat_e6").cast("string"), F.col("lng_e6").cast("string"))).checkpoint()
+
+    @cached_property
+    def edges(self) -> DataFrame:
         at = lambda end: self.nodes.select(F.col("lat_e6").alias(f"{end}_lat"), F.col("lng_e6").alias(f"{end}_lng"), F.col("node").alias(end), F.col("lat").alias(f"{'a' if end == 'from' else 'b'}_lat0"), F.col("lng").alias(f"{'a' if end == 'from' else 'b'}_lng0"))
-        names = ways.select("way_id", "name", "highway")
-        made = network.edges(segments, vertices, ways).join(at("from"), ["from_lat", "from_lng"]).join(at("to"), ["to_lat", "to_lng"]).join(names, "way_id")
+        names = self.ways.select("way_id", "name", "highway")
+        made = network.edges(self.segments, self.vertices, self.ways).join(at("from"), ["from_lat", "from_lng"]).join(at("to"), ["to_lat", "to_lng"]).join(names, "way_id")
         near = network.near(self.nodes.select("node", "lat", "lng"), self.crossings, network.CROSSING_METERS).select("node").distinct().checkpoint()
         for end in ("from", "to"):
             made = made.join(near.select(F.col("node").alias(end), F.lit(True).alias(f"{end}_near")), end, "left")
-        self.edges = made.select(
+        return made.select(
             "way_id", "pos", F.col("from").alias("a"), F.col("to").alias("b"), *(F.col(f"{e}_{k}0").alias(f"{e}_{k}") for e in "ab" for k in ("lat", "lng")), "is_path", "is_street", "walkway", "surface_class", "bridge_or_tunnel",
             "crosses_street", F.coalesce(F.col("from_near") | F.col("to_near"), F.col("from_near"), F.col("to_near"), F.lit(False)).alias("near_crossing"), "name", "highway",
         ).checkpoint()
 
+    @cached_property
+    def components(self) -> tuple[DataFrame, DataFrame]:
+        """((way_id, component), (node, component)) of the network with all its edges, whatever the rules: ways that share a node hang together."""
+        at_node = self.edges.groupBy(F.col("a").alias("node")).agg(F.min("way_id").alias("first"), F.max("way_id").alias("last")).checkpoint()
+        shared = self.edges.select(F.col("a").alias("node"), "way_id").join(at_node.where("first <> last"), "node").where("way_id <> first")
+        labels = component_labels(shared.select(F.col("way_id").alias("a"), F.col("first").alias("b")).distinct()).withColumnRenamed("id", "way_id")
+        named = lambda rows: rows.join(labels, "way_id", "left").withColumn("component", F.coalesce("component", "way_id"))
+        return named(self.edges.select("way_id").distinct()), named(at_node.select("node", F.col("first").alias("way_id"))).select("node", "component")
+
+    def within(self, low: geo.Point, high: geo.Point) -> Ground:
+        """The same ground for rows a-b inside a box: ways, barriers and openings that touch none of it, with a margin, are left out. The raster stays whole."""
+        edge = {"lat": (low.lat - MARGIN, high.lat + MARGIN), "lng": (low.lng - MARGIN, high.lng + MARGIN)}
+        touches = lambda a, b: reduce(Column.__and__, ((F.greatest(F.col(f"{a}{k}"), F.col(f"{b}{k}")) >= lo) & (F.least(F.col(f"{a}{k}"), F.col(f"{b}{k}")) <= hi) for k, (lo, hi) in edge.items()))
+        part = copy.copy(self)
+        for derived in ("crossings", "roads", "nodes", "edges", "components"):
+            part.__dict__.pop(derived, None)
+        part.segments = self.segments.where(touches("a_", "b_")).checkpoint()
+        part.ways = self.ways.join(part.segments.select("way_id").distinct(), "way_id", "left_semi").checkpoint()
+        part.vertices = self.vertices.join(part.ways.select("way_id"), "way_id", "left_semi")
+        part.barriers, part.openings = self.barriers.where(touches("a_", "b_")), self.openings.where(touches("", ""))
+        return part
+
     def measures(self, rows: DataFrame, key: list[str], surface: str | Column) -> DataFrame:
         """The profile of each segment a-b for the rows' own profile column, or with minutes for every profile where there is none; water risk and side slope are 0 where no raster says more."""
         found = network.segment_profile(rows, key, self.dem, self.place, F.col("profile") if "profile" in rows.columns else list(costs.FLAT_SPEED_KMH), surface, self.risk, self.slopes)
@@ -155,7 +196,10 @@ def hop_tiles(wanted: DataFrame, ground: Ground) -> DataFrame:
     tried = cells.withColumn("h", headings).select(F.col("r").alias("from_r"), F.col("c").alias("from_c"), (F.col("r") + F.col("h.dr")).alias("to_r"), (F.col("c") + F.col("h.dc")).alias("to_c"))
     tried = tried.join(ground.dem.select(F.col("r").alias("to_r"), F.col("c").alias("to_c")), ["to_r", "to_c"], "left_semi")
     ends = {f"{p}_{k}": spot(ground, F.col(f"{n}_r"), F.col(f"{n}_c"))[i] for p, n in (("a", "from"), ("b", "to")) for i, k in enumerate(("lat", "lng"))}
-    hops = ground.open_ground(tried.withColumns(ends), ["from_r", "from_c", "to_r", "to_c"])
+    tried = tried.withColumns(ends).checkpoint()
+    box = tried.agg(*(fn(F.least(f"a_{k}", f"b_{k}") if fn is F.min else F.greatest(f"a_{k}", f"b_{k}")).alias(f"{n}_{k}") for n, fn in (("low", F.min), ("high", F.max)) for k in ("lat", "lng"))).first()
+    around = ground.within(*(geo.fixed_point(box[f"{n}_lat"], box[f"{n}_lng"]) for n in ("low", "high"))) if box["low_lat"] is not None else ground
+    hops = around.open_ground(tried, ["from_r", "from_c", "to_r", "to_c"])
     code = lambda n: (F.shiftleft(F.col(f"{n}_r").cast("long"), 32) + F.col(f"{n}_c")).alias(n)
     listed = F.collect_list(F.struct(code("from"), code("to"), *HOP)).alias("every")
     tiles = hops.groupBy(*(F.floor(F.col(f"from_{k}") / HOP_TILE).alias(f"tile_{k}") for k in "rc")).agg(listed).checkpoint()
@@ -163,16 +207,22 @@ def hop_tiles(wanted: DataFrame, ground: Ground) -> DataFrame:
     return tiles.join(wanted, tile).select("profile", *tile, F.transform("every", lambda h: F.struct(h["from"].alias("from"), h["to"].alias("to"), *(own(h).alias(n) if n == "minutes" else h[n].alias(n) for n in HOP))).alias("hops"))
 
 
-def walkable(sources: DataFrame, ground: Ground) -> DataFrame:
+def source_tiles(sources: DataFrame, ground: Ground) -> DataFrame:
+    """sources (leg_id, end, lat, lng and SETTINGS) with home, their cell, once for each tile of the raster (tile_r, tile_c) within their budget; none for a source without any."""
+    size = raster.extent(ground.dem).select("rows", "columns")
+    placed = home_cells(sources, ground).crossJoin(F.broadcast(size))  # one row
+    for k, last in (("r", "rows"), ("c", "columns")):
+        reach = [F.floor((F.col(k) + sign * F.col(f"spread_{k}")) / HOP_TILE) for sign in (-1, 1)]
+        low, high = F.greatest(reach[0], F.lit(0)), F.least(reach[1], F.floor((F.col(last) - 1) / HOP_TILE))
+        placed = placed.withColumn(f"tile_{k}", F.explode(F.when(low <= high, F.sequence(low, high))))
+    return placed.withColumn("home", F.shiftleft("r", 32) + F.col("c")).drop("r", "c", "spread_r", "spread_c", "rows", "columns").checkpoint()
+
+
+def walkable(placed: DataFrame, ground: Ground) -> DataFrame:
     """leg_id, end, budget, home, steps: for each source and tile within its budget the allowed hops (from, to, cost, meters), priced by its own settings.
 
-    sources: leg_id, end, lat, lng and SETTINGS. A source meets whole tiles, so it moves some rows of arrays, not one a hop.
+    placed: source_tiles. A source meets whole tiles, so it moves some rows of arrays, not one a hop.
     """
-    placed = home_cells(sources, ground)
-    for k in "rc":
-        low, high = (F.floor((F.col(k) + sign * F.col(f"spread_{k}")) / HOP_TILE) for sign in (-1, 1))
-        placed = placed.withColumn(f"tile_{k}", F.explode(F.sequence(low, high)))
-    placed = placed.withColumn("home", F.shiftleft("r", 32) + F.col("c")).drop("r", "c", "spread_r", "spread_c").checkpoint()
     tile = ["profile", "tile_r", "tile_c"]
     priced = lambda h: F.struct(h["from"].alias("from"), h["to"].alias("to"), step_cost(lambda n: h[n] if n in HOP else F.col(n)).alias("cost"), h["distance_m"].alias("meters"))
     allowed = F.filter("hops", lambda h: passable(lambda n: h[n] if n in HOP else F.col(n)))
@@ -206,7 +256,7 @@ def off_trail_reach(sources: DataFrame, ground: Ground) -> DataFrame:
         types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
-    return walkable(sources, ground).groupBy("leg_id", "end").applyInArrow(search_all, schema)
+    return walkable(source_tiles(sources, ground), ground).groupBy("leg_id", "end").applyInArrow(search_all, schema)
 
 
 def connected(asked: DataFrame, ends: DataFrame, ground: Ground) -> tuple[DataFrame, DataFrame]:
@@ -241,9 +291,14 @@ def connected(asked: DataFrame, ends: DataFrame, ground: Ground) -> tuple[DataFr
         types = (pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("r", pa.int64()), ("c", pa.int64())])))
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["leg_id", "end", "node", "via"])
 
-    tiles = walkable(sources, ground)
+    placed = source_tiles(sources, ground)
+    searched = placed.select("leg_id", "end").distinct().checkpoint()
+    tiles = walkable(placed, ground)
     tiles = tiles.toDF(*tiles.columns)  # so that its keys are not taken for those of the targets
-    lines = tiles.groupBy("leg_id", "end").cogroup(targets.groupBy("leg_id", "end")).applyInArrow(propose, "leg_id string, end string, node string, via array<struct<r: long, c: long>>")
+    proposed = "leg_id string, end string, node string, via array<struct<r: long, c: long>>"
+    lines = tiles.groupBy("leg_id", "end").cogroup(targets.join(searched, ["leg_id", "end"], "left_semi").groupBy("leg_id", "end")).applyInArrow(propose, proposed)
+    beside = targets.join(searched, ["leg_id", "end"], "left_anti").where("cell = own")  # no tile of the raster is near: only the source's own cell
+    lines = lines.unionByName(beside.select("leg_id", "end", "node", F.array().cast("array<struct<r: long, c: long>>").alias("via")))
     lines = lines.join(wanted.select("leg_id", "end", "node", "lat", "lng", "t_lat", "t_lng"), ["leg_id", "end", "node"])
     own, other = F.struct("lat", "lng"), F.struct(F.col("t_lat").alias("lat"), F.col("t_lng").alias("lng"))
     between = F.transform("via", lambda v: F.struct(*(x.alias(k) for x, k in zip(spot(ground, v["r"], v["c"]), ("lat", "lng"), strict=True))))

@@ -230,3 +230,28 @@ def test_requests_drop_what_their_mode_has_not(spark):
     assert [len(r.points) for r in made] == [1, 2, 3] and [r.alternatives for r in made] == [3, 1, 3]
     back = I.swapped(t).where("request_id = 2").first()
     assert back.start.asDict() == at(2, 2) and back.target.asDict() == at(1, 1)
+
+
+SOURCE = "leg_id string, end string, lat double, lng double, profile string, max_grade_percent double, aversion double, budget double, allow_crossing boolean, allow_street boolean, avoid_water boolean"
+
+
+def test_reach_makes_neither_tiles_off_the_raster_nor_the_network(spark, ground, monkeypatch):
+    monkeypatch.setattr(I, "HOP_TILE", 5)
+    plain = I.Ground(ground.dem, ground.place, ground.segments, ground.vertices, ground.ways, ground.barriers, ground.openings)
+    sources = spark.createDataFrame([(name, "start", *at(*spot).values(), *RULES["free"]) for name, spot in (("inside", (17.2, 14.8)), ("corner", (0, 40)), ("outside", (-300, 5)))], SOURCE)
+    tiles = I.source_tiles(sources, plain).collect()
+    assert {t.leg_id for t in tiles} == {"inside", "corner"} and all(0 <= t.tile_r <= 8 and 0 <= t.tile_c <= 8 for t in tiles)
+    reached = {r.leg_id: r.n for r in I.off_trail_reach(sources, plain).groupBy("leg_id").agg(F.count("*").alias("n")).collect()}
+    assert reached["inside"] > 1 and reached["corner"] > 1 and "outside" not in reached
+    assert not {"nodes", "edges", "roads", "crossings"} & set(vars(plain))
+
+
+def test_ground_within_a_box_keeps_what_bears_on_it(spark, ground):
+    """Hops in a box are held to the same walls, gates, streets and crossings by the part of the ground around it."""
+    low, high = at(20, 0), at(8, 8)
+    part = ground.within(geo.fixed_point(*low.values()), geo.fixed_point(*high.values()))
+    assert 0 < part.segments.count() < ground.segments.count() and part.ways.count() < ground.ways.count()
+    hops = [(i, *at(8 + i % 12, c).values(), *at(8 + (i * 5) % 13, c + 1 + i % 2).values()) for i, c in ((k, k % 7) for k in range(84))]
+    rows = spark.createDataFrame(hops, "i int, a_lat double, a_lng double, b_lat double, b_lng double")
+    whole, got = (sorted(g.open_ground(rows, ["i"]).select("i", "crosses", "carriageway", "distance_m", "max_grade").collect()) for g in (ground, part))
+    assert got == whole and 0 < len(got) < len(hops) and any(r.crosses for r in got)
