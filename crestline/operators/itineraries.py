@@ -154,16 +154,15 @@ def ends_of(asked: DataFrame, ground: Ground) -> DataFrame:
     """leg_id, end, lat, lng, node, t_lat, t_lng: the nodes to be connected: the nearest reachable ones, and for a nearest path its candidates as goals at no cost."""
 
     def close(rows: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
-        found = network.nearest_nodes(rows.withColumnRenamed("leg_id", "request_id"), nodes, limit)
-        return found.join(ground.nodes, ["lat_e6", "lng_e6"]).select(F.col("request_id").alias("leg_id"), "node", F.col("lat").alias("t_lat"), F.col("lng").alias("t_lng"))
-
-    paths, parts = ground.nodes.where("path_evidence"), []
-    for end, p in (("start", "a"), ("finish", "b")):
-        rows = asked.where(F.col(f"{p}_lat").isNotNull()).select("leg_id", "allow_street", F.col(f"{p}_lat").alias("lat"), F.col(f"{p}_lng").alias("lng"))
-        for chosen, nodes in ((rows.where("allow_street"), ground.nodes), (rows.where("NOT allow_street"), paths)):
-            parts.append(close(chosen, nodes, CONNECTOR_NODES).join(rows.drop("allow_street"), "leg_id").withColumn("end", F.lit(end)))
-    nearest = asked.where("b_lat IS NULL").select("leg_id", F.col("a_lat").alias("lat"), F.col("a_lng").alias("lng"))
-    parts.append(close(nearest, paths, PATH_NODES).join(nearest, "leg_id").withColumn("end", F.lit("goal")))
+        """rows (leg_id, end, lat, lng) with their nearest nodes; what starts or ends at one spot is looked up once."""
+        named = rows.withColumn("request_id", F.concat_ws("|", F.col("lat").cast("string"), F.col("lng").cast("string")))
+        found = network.nearest_nodes(named.select("request_id", "lat", "lng").dropDuplicates(["request_id"]), nodes, limit)
+        return named.join(found.join(ground.nodes, ["lat_e6", "lng_e6"]).select("request_id", "node", F.col("lat").alias("t_lat"), F.col("lng").alias("t_lng")), "request_id").drop("request_id")
+
+    paths = ground.nodes.where("path_evidence")
+    rows = reduce(DataFrame.unionByName, (asked.where(F.col(f"{p}_lat").isNotNull()).select("leg_id", F.lit(end).alias("end"), "allow_street", F.col(f"{p}_lat").alias("lat"), F.col(f"{p}_lng").alias("lng")) for end, p in (("start", "a"), ("finish", "b"))))
+    parts = [close(rows.where(chosen).drop("allow_street"), nodes, CONNECTOR_NODES) for chosen, nodes in (("allow_street", ground.nodes), ("NOT allow_street", paths))]
+    parts.append(close(asked.where("b_lat IS NULL").select("leg_id", F.lit("goal").alias("end"), F.col("a_lat").alias("lat"), F.col("a_lng").alias("lng")), paths, PATH_NODES))
     return reduce(DataFrame.unionByName, parts).checkpoint()
 
 
@@ -319,18 +318,23 @@ def best_ways(asked: DataFrame, entries: DataFrame, goals: DataFrame, ground: Gr
     """leg_id, entry, goal, cost, edges (array of way_id, pos, a, b in order): each leg's cheapest way from an entry over the network to a goal.
 
     entries and goals: leg_id, node, cost. Legs that cannot be served have no row, and are refused before any search.
-    Legs with the same settings share one overlay, so a task holds a cell, or an overlay, and a bounded number of legs.
+    Legs with the same settings share one overlay, so a task holds a cell, or an overlay, and a bounded number of legs. For a set of rules
+    only those components of the whole network are priced in which one of its legs has an entry and a goal: no way leaves its component.
     """
     key = ["way_id", "pos", "a", "b", "profile"]
     named = asked.withColumn("metric", F.concat_ws("|", *(F.col(c).cast("string") for c in METRIC)))
-    rules = named.select("metric", *METRIC).distinct().checkpoint()
-    each = ground.edges.join(rules.select("profile").distinct().where(F.col("profile").isin(list(costs.FLAT_SPEED_KMH))), how="cross")  # three rows at most
+    own = named.select("leg_id", "metric", *METRIC)
+    entries, goals = (r.select("leg_id", "node", "cost").join(ground.components[1], "node", "left").withColumn("component", F.coalesce(F.col("component").cast("string"), "node")).checkpoint() for r in (entries, goals))
+    entries, goals = entries.join(goals, ["leg_id", "component"], "left_semi"), goals.join(entries, ["leg_id", "component"], "left_semi")
+    rules = entries.select("leg_id", "component").distinct().join(own, "leg_id").select("metric", *METRIC, "component").distinct().checkpoint()
+    needed = rules.select("profile", "component").distinct().where(F.col("profile").isin(list(costs.FLAT_SPEED_KMH)))
+    parts = ground.components[0].withColumn("component", F.col("component").cast("string"))
+    each = ground.edges.join(parts.join(needed, "component"), "way_id").checkpoint()
     priced = each.join(ground.measures(each, key, F.col("surface_class")), key)
     allowed = costs.edge_allowed(F.col("profile"), F.col("surface_class"), F.col("is_street"), F.col("walkway"), F.col("allow_street"), F.col("crosses_street"), F.col("allow_crossing"), F.col("near_crossing")) & costs.profile_allowed(F.col("max_grade"), F.col("max_grade_percent"), F.col("water_risk"), F.col("avoid_water"), F.col("bridge_or_tunnel"))
     cost = costs.edge_cost(allowed, F.col("minutes"), F.col("water_risk"), F.col("avoid_water"))
-    edges = priced.join(rules, "profile").select("metric", "way_id", "pos", "a", "b", cost.alias("cost")).where("cost IS NOT NULL")
-    own = named.select("leg_id", "metric")
-    return overlay.Overlay(edges, ground.nodes.select("node", "lat", "lng"), cell_nodes).cheapest(*(r.select("leg_id", "node", "cost").join(own, "leg_id") for r in (entries, goals)))
+    edges = priced.join(rules, ["profile", "component"]).select("metric", "way_id", "pos", "a", "b", cost.alias("cost")).where("cost IS NOT NULL")
+    return overlay.Overlay(edges, ground.nodes.select("node", "lat", "lng"), cell_nodes).cheapest(*(r.select("leg_id", "node", "cost").join(own.select("leg_id", "metric"), "leg_id") for r in (entries, goals)))
 
 
 def route_hops(asked: DataFrame, ground: Ground) -> DataFrame:

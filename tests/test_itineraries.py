@@ -255,3 +255,20 @@ def test_ground_within_a_box_keeps_what_bears_on_it(spark, ground):
     rows = spark.createDataFrame(hops, "i int, a_lat double, a_lng double, b_lat double, b_lng double")
     whole, got = (sorted(g.open_ground(rows, ["i"]).select("i", "crosses", "carriageway", "distance_m", "max_grade").collect()) for g in (ground, part))
     assert got == whole and 0 < len(got) < len(hops) and any(r.crosses for r in got)
+
+
+def test_only_the_components_of_its_legs_are_priced(spark, ground, monkeypatch):
+    """An island of the network, where a leg has an entry but no goal, is not measured."""
+    island = lambda c: F.concat(F.lit("island "), c).alias(c)
+    more = copy.copy(ground)
+    vars(more).pop("components", None)
+    more.edges = ground.edges.unionByName(ground.edges.where("way_id = 0").withColumns({"way_id": F.lit(99).cast("long"), "a": island("a"), "b": island("b")}))
+    more.nodes = ground.nodes.unionByName(ground.nodes.withColumn("node", island("node")))
+    priced, measured = [], I.Ground.measures
+    monkeypatch.setattr(I.Ground, "measures", lambda self, rows, key, surface: (priced.extend(r.way_id for r in rows.select("way_id").distinct().collect()), measured(self, rows, key, surface))[1])
+    legs = I.legs(asked(spark, ("destination", [(11, 12), (29, 28)])))
+    first, last = (ground.edges.where(f"way_id = {w}").agg(F.min("a")).first()[0] for w in (0, 1))
+    ends = lambda *nodes: spark.createDataFrame([("0|0|0", n, 1.0) for n in nodes], "leg_id string, node string, cost double")
+    got = I.best_ways(legs, ends(first, f"island {first}"), ends(last), more, 3).collect()
+    assert len(got) == 1 and got[0].entry == first and got[0].goal == last
+    assert priced and 99 not in priced
