@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crestline.functions import costs, geo
+from crestline.functions.numeric import micro_degrees
 
 from . import network, overlay, raster, routes, search
-from .checkpoints import ensure_checkpoint_dir
+from .checkpoints import ensure_checkpoint_dir, written
 from .components import component_labels
 
 CONNECTOR_NODES, PATH_NODES = 24, 64
@@ -68,6 +69,10 @@ def legs(requests: DataFrame) -> DataFrame:
     )
 
 
+def node_name() -> Column:
+    return F.concat_ws(",", F.col("lat_e6").cast("string"), F.col("lng_e6").cast("string"))
+
+
 class Ground:
     """What a request moves over: the raster and its place, ways and barriers as tables; measures are made from them by joins.
 
@@ -79,47 +84,82 @@ class Ground:
         self.dem, self.place, self.barriers, self.openings, self.risk, self.slopes = dem, place, barriers, openings, risk, slopes
         self.segments, self.vertices, self.ways = segments, vertices, ways
 
+    @cached_property
+    def stored(self) -> Ground:
+        """The same ground with its open ways in a table, a row a way with its points in order, from which lines and nodes are made without moving a segment."""
+        points = self.vertices.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lat", "lng"))).alias("points"))
+        rows = written(points.join(network.open_ways(self.ways), "way_id"))
+        pairs = F.filter(F.arrays_zip(F.col("points").alias("a"), F.slice("points", 2, 1_000_000_000).alias("b")), lambda p: p["b"].isNotNull())
+        cut = rows.select("way_id", *network.SAID, F.size("points").alias("vertices_in_way"), F.explode(pairs).alias("p"))
+        lines = cut.select("way_id", F.col("p.a.pos").alias("pos"), *(F.col(f"p.{e}.{k}").alias(f"{e}_{k}") for e in "ab" for k in ("lat", "lng")), "vertices_in_way", *network.SAID)
+        own = self.underived()
+        own.segments, own.lines, own.met = lines.drop(*network.SAID), lines, rows.select("way_id", *network.SAID, F.inline("points"))
+        own.vertices = own.met.drop(*network.SAID)
+        return own
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """The segments of open ways with what their ways' tags say."""
+        return self.segments.join(network.open_ways(self.ways), "way_id")
+
+    @cached_property
+    def met(self) -> DataFrame:
+        """The vertices of open ways with what their ways' tags say."""
+        return self.vertices.join(network.open_ways(self.ways), "way_id")
+
     @cached_property
     def crossings(self) -> DataFrame:
-        return network.crossing_points(self.segments, self.ways).select((F.col("lat_e6") / 1e6).alias("lat"), (F.col("lng_e6") / 1e6).alias("lng")).checkpoint()
+        return network.crossings_of(self.lines).select((F.col("lat_e6") / 1e6).alias("lat"), (F.col("lng_e6") / 1e6).alias("lng")).checkpoint()
 
     @cached_property
     def roads(self) -> DataFrame:
-        return self.segments.join(network.described(self.ways).where("is_street AND NOT restricted").select("way_id", "walkway"), "way_id").select("way_id", "pos", "walkway", *(f"{e}_{k}" for e in "ab" for k in ("lat", "lng"))).checkpoint()
+        return self.lines.where("is_street").select("way_id", "pos", "walkway", *(f"{e}_{k}" for e in "ab" for k in ("lat", "lng")))
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return network.nodes(self.vertices, self.ways).withColumn("node", F.concat_ws(",", F.col("lat_e6").cast("string"), F.col("lng_e6").cast("string"))).checkpoint()
+        return written(network.nodes_of(self.met)).withColumn("node", node_name())
 
     @cached_property
     def edges(self) -> DataFrame:
-        at = lambda end: self.nodes.select(F.col("lat_e6").alias(f"{end}_lat"), F.col("lng_e6").alias(f"{end}_lng"), F.col("node").alias(end), F.col("lat").alias(f"{'a' if end == 'from' else 'b'}_lat0"), F.col("lng").alias(f"{'a' if end == 'from' else 'b'}_lng0"))
-        names = self.ways.select("way_id", "name", "highway")
-        made = network.edges(self.segments, self.vertices, self.ways).join(at("from"), ["from_lat", "from_lng"]).join(at("to"), ["to_lat", "to_lng"]).join(names, "way_id")
-        near = network.near(self.nodes.select("node", "lat", "lng"), self.crossings, network.CROSSING_METERS).select("node").distinct().checkpoint()
+        return self.edges_among()
+
+    def edges_among(self, ways: DataFrame | None = None) -> DataFrame:
+        """The edges of the network, or those of some ways (way_id): nodes and crossings are looked up for these only."""
+        if ways is not None and "edges" in vars(self):
+            return self.edges.join(ways, "way_id", "left_semi")
+        lines, local = self.lines, self.nodes
+        if ways is not None:
+            lines = written(lines.join(ways, "way_id", "left_semi"))
+            ends = reduce(DataFrame.union, (lines.select(micro_degrees(F.col(f"{e}_lat")).alias("lat_e6"), micro_degrees(F.col(f"{e}_lng")).alias("lng_e6")) for e in "ab"))
+            local = written(local.join(written(ends.distinct()), ["lat_e6", "lng_e6"], "left_semi").drop("ways"))
+        at = lambda end: local.select(F.col("lat_e6").alias(f"{end}_lat"), F.col("lng_e6").alias(f"{end}_lng"), F.col("node").alias(end), F.col("lat").alias(f"{'a' if end == 'from' else 'b'}_lat0"), F.col("lng").alias(f"{'a' if end == 'from' else 'b'}_lng0"))
+        made = network.edges_of(lines, local.where("on_street").select("lat_e6", "lng_e6"), ("name", "highway")).join(at("from"), ["from_lat", "from_lng"]).join(at("to"), ["to_lat", "to_lng"])
+        near = network.near(local.select("node", "lat", "lng"), self.crossings, network.CROSSING_METERS).select("node").distinct().checkpoint()
         for end in ("from", "to"):
             made = made.join(near.select(F.col("node").alias(end), F.lit(True).alias(f"{end}_near")), end, "left")
-        return made.select(
+        return written(made.select(
             "way_id", "pos", F.col("from").alias("a"), F.col("to").alias("b"), *(F.col(f"{e}_{k}0").alias(f"{e}_{k}") for e in "ab" for k in ("lat", "lng")), "is_path", "is_street", "walkway", "surface_class", "bridge_or_tunnel",
             "crosses_street", F.coalesce(F.col("from_near") | F.col("to_near"), F.col("from_near"), F.col("to_near"), F.lit(False)).alias("near_crossing"), "name", "highway",
-        ).checkpoint()
+        ))
 
     @cached_property
-    def components(self) -> tuple[DataFrame, DataFrame]:
-        """((way_id, component), (node, component)) of the network with all its edges, whatever the rules: ways that share a node hang together."""
-        at_node = self.edges.groupBy(F.col("a").alias("node")).agg(F.min("way_id").alias("first"), F.max("way_id").alias("last")).checkpoint()
-        shared = self.edges.select(F.col("a").alias("node"), "way_id").join(at_node.where("first <> last"), "node").where("way_id <> first")
-        labels = component_labels(shared.select(F.col("way_id").alias("a"), F.col("first").alias("b")).distinct()).withColumnRenamed("id", "way_id")
-        named = lambda rows: rows.join(labels, "way_id", "left").withColumn("component", F.coalesce("component", "way_id"))
-        return named(self.edges.select("way_id").distinct()), named(at_node.select("node", F.col("first").alias("way_id"))).select("node", "component")
+    def components(self) -> DataFrame:
+        """way_id, component of ways that share a node with others, whatever the rules: they hang together, and the component is the least of their ids. A way that is not there is alone."""
+        meets = self.nodes.where(F.size("ways") > 1).select(F.array_min("ways").alias("b"), F.explode("ways").alias("a")).where("a <> b")
+        return component_labels(meets.distinct()).withColumnRenamed("id", "way_id")
+
+    def underived(self) -> Ground:
+        """A copy without what is derived from the ways."""
+        part = copy.copy(self)
+        for derived in ("stored", "lines", "met", "crossings", "roads", "nodes", "edges", "components"):
+            part.__dict__.pop(derived, None)
+        return part
 
     def within(self, low: geo.Point, high: geo.Point) -> Ground:
         """The same ground for rows a-b inside a box: ways, barriers and openings that touch none of it, with a margin, are left out. The raster stays whole."""
         edge = {"lat": (low.lat - MARGIN, high.lat + MARGIN), "lng": (low.lng - MARGIN, high.lng + MARGIN)}
         touches = lambda a, b: reduce(Column.__and__, ((F.greatest(F.col(f"{a}{k}"), F.col(f"{b}{k}")) >= lo) & (F.least(F.col(f"{a}{k}"), F.col(f"{b}{k}")) <= hi) for k, (lo, hi) in edge.items()))
-        part = copy.copy(self)
-        for derived in ("crossings", "roads", "nodes", "edges", "components"):
-            part.__dict__.pop(derived, None)
+        part = self.underived()
         part.segments = self.segments.where(touches("a_", "b_")).checkpoint()
         part.ways = self.ways.join(part.segments.select("way_id").distinct(), "way_id", "left_semi").checkpoint()
         part.vertices = self.vertices.join(part.ways.select("way_id"), "way_id", "left_semi")
@@ -151,19 +191,19 @@ def step_cost(of=F.col) -> Column:
 
 
 def ends_of(asked: DataFrame, ground: Ground) -> DataFrame:
-    """leg_id, end, lat, lng, node, t_lat, t_lng: the nodes to be connected: the nearest reachable ones, and for a nearest path its candidates as goals at no cost."""
+    """leg_id, end, budget, lat, lng, node, t_lat, t_lng: the nodes to be connected: the nearest reachable ones, and for a nearest path its candidates as goals at no cost."""
 
     def close(rows: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
-        """rows (leg_id, end, lat, lng) with their nearest nodes; what starts or ends at one spot is looked up once."""
+        """rows (leg_id, end, budget, lat, lng) with their nearest nodes; what starts or ends at one spot is looked up once."""
         named = rows.withColumn("request_id", F.concat_ws("|", F.col("lat").cast("string"), F.col("lng").cast("string")))
-        found = network.nearest_nodes(named.select("request_id", "lat", "lng").dropDuplicates(["request_id"]), nodes, limit)
-        return named.join(found.join(ground.nodes, ["lat_e6", "lng_e6"]).select("request_id", "node", F.col("lat").alias("t_lat"), F.col("lng").alias("t_lng")), "request_id").drop("request_id")
+        found = network.nearest(named.select("request_id", "lat", "lng").dropDuplicates(["request_id"]), nodes.select("lat_e6", "lng_e6", "lat", "lng"), limit)
+        return named.join(found.select("request_id", node_name().alias("node"), F.col("lat").alias("t_lat"), F.col("lng").alias("t_lng")), "request_id").drop("request_id")
 
     paths = ground.nodes.where("path_evidence")
-    rows = reduce(DataFrame.unionByName, (asked.where(F.col(f"{p}_lat").isNotNull()).select("leg_id", F.lit(end).alias("end"), "allow_street", F.col(f"{p}_lat").alias("lat"), F.col(f"{p}_lng").alias("lng")) for end, p in (("start", "a"), ("finish", "b"))))
+    rows = reduce(DataFrame.unionByName, (asked.where(F.col(f"{p}_lat").isNotNull()).select("leg_id", F.lit(end).alias("end"), "budget", "allow_street", F.col(f"{p}_lat").alias("lat"), F.col(f"{p}_lng").alias("lng")) for end, p in (("start", "a"), ("finish", "b"))))
     parts = [close(rows.where(chosen).drop("allow_street"), nodes, CONNECTOR_NODES) for chosen, nodes in (("allow_street", ground.nodes), ("NOT allow_street", paths))]
-    parts.append(close(asked.where("b_lat IS NULL").select("leg_id", F.lit("goal").alias("end"), F.col("a_lat").alias("lat"), F.col("a_lng").alias("lng")), paths, PATH_NODES))
-    return reduce(DataFrame.unionByName, parts).checkpoint()
+    parts.append(close(asked.where("b_lat IS NULL").select("leg_id", F.lit("goal").alias("end"), "budget", F.col("a_lat").alias("lat"), F.col("a_lng").alias("lng")), paths, PATH_NODES))
+    return written(reduce(DataFrame.unionByName, parts))
 
 
 HOP = ("distance_m", "minutes", "max_grade", "side_slope", "water_risk", "crosses", "carriageway")
@@ -177,11 +217,20 @@ def spot(ground: Ground, r: Column, c: Column) -> tuple[Column, Column]:
 
 def home_cells(rows: DataFrame, ground: Ground) -> DataFrame:
     """rows (lat, lng, budget and others) with r, c, their cell, and spread_r, spread_c, how many cells away the budget can lead, by the length of a degree there."""
-    north, west, lat_step, lng_step = ground.place
+    _, _, lat_step, lng_step = ground.place
     farthest = F.least(F.abs("lat") + F.col("budget") / geo.METERS_PER_DEGREE_LATITUDE + lat_step, F.lit(89.0))
     height, width = lat_step * geo.METERS_PER_DEGREE_LATITUDE, F.cos(F.radians(farthest)) * (lng_step * geo.METERS_PER_DEGREE_LATITUDE)
-    near = {"r": F.round((F.lit(north) - F.col("lat")) / lat_step).cast("long"), "c": F.round((F.col("lng") - F.lit(west)) / lng_step).cast("long")}
-    return rows.withColumns(near | {"spread_r": (F.ceil(F.col("budget") / height) + 1).cast("long"), "spread_c": (F.ceil(F.col("budget") / width) + 1).cast("long")})
+    r, c = home_cell(ground, F.col("lat"), F.col("lng"))
+    return rows.withColumns({"r": r, "c": c, "spread_r": (F.ceil(F.col("budget") / height) + 1).cast("long"), "spread_c": (F.ceil(F.col("budget") / width) + 1).cast("long")})
+
+
+def home_cell(ground: Ground, lat: Column, lng: Column) -> tuple[Column, Column]:
+    north, west, lat_step, lng_step = ground.place
+    return F.round((F.lit(north) - lat) / lat_step).cast("long"), F.round((lng - F.lit(west)) / lng_step).cast("long")
+
+
+def cell_code(r: Column, c: Column) -> Column:
+    return F.shiftleft(r, 32) + c
 
 
 def hop_tiles(wanted: DataFrame, ground: Ground) -> DataFrame:
@@ -208,13 +257,20 @@ def hop_tiles(wanted: DataFrame, ground: Ground) -> DataFrame:
 
 def source_tiles(sources: DataFrame, ground: Ground) -> DataFrame:
     """sources (leg_id, end, lat, lng and SETTINGS) with home, their cell, once for each tile of the raster (tile_r, tile_c) within their budget; none for a source without any."""
+    placed = tiles_near(sources, ground)
+    for k in "rc":
+        placed = placed.withColumn(f"tile_{k}", F.explode(F.when(F.col(f"low_{k}") <= F.col(f"high_{k}"), F.sequence(f"low_{k}", f"high_{k}"))))
+    return placed.withColumn("home", cell_code(F.col("r"), F.col("c"))).drop("r", "c", "low_r", "high_r", "low_c", "high_c").checkpoint()
+
+
+def tiles_near(rows: DataFrame, ground: Ground) -> DataFrame:
+    """rows (lat, lng, budget and others) with r, c, their cell, and the first and last tiles of the raster within their budget (low_r, high_r, low_c, high_c); where last is before first there are none."""
     size = raster.extent(ground.dem).select("rows", "columns")
-    placed = home_cells(sources, ground).crossJoin(F.broadcast(size))  # one row
+    placed = home_cells(rows, ground).crossJoin(F.broadcast(size))  # one row
     for k, last in (("r", "rows"), ("c", "columns")):
         reach = [F.floor((F.col(k) + sign * F.col(f"spread_{k}")) / HOP_TILE) for sign in (-1, 1)]
-        low, high = F.greatest(reach[0], F.lit(0)), F.least(reach[1], F.floor((F.col(last) - 1) / HOP_TILE))
-        placed = placed.withColumn(f"tile_{k}", F.explode(F.when(low <= high, F.sequence(low, high))))
-    return placed.withColumn("home", F.shiftleft("r", 32) + F.col("c")).drop("r", "c", "spread_r", "spread_c", "rows", "columns").checkpoint()
+        placed = placed.withColumns({f"low_{k}": F.greatest(reach[0], F.lit(0)), f"high_{k}": F.least(reach[1], F.floor((F.col(last) - 1) / HOP_TILE))})
+    return placed.drop("spread_r", "spread_c", "rows", "columns")
 
 
 def walkable(placed: DataFrame, ground: Ground) -> DataFrame:
@@ -264,12 +320,12 @@ def connected(asked: DataFrame, ends: DataFrame, ground: Ground) -> tuple[DataFr
     A search over cells proposes the cells between; then each proposed line is measured from its real ends, priced as it is walked.
     """
     settings = asked.select("leg_id", *SETTINGS)
-    wanted = ends.where("end <> 'goal'").join(settings.select("leg_id", "budget"), "leg_id")
-    wanted = wanted.where(geo.distance(geo.Point(F.col("lat"), F.col("lng")), geo.at("t")) <= F.col("budget"))
-    there = home_cells(wanted.select("leg_id", "end", "node", "budget", F.col("t_lat").alias("lat"), F.col("t_lng").alias("lng")), ground)
-    sources = wanted.select("leg_id", "end", "lat", "lng").distinct().join(settings, "leg_id")
-    code = F.shiftleft("r", 32) + F.col("c")
-    targets = there.select("leg_id", "end", "node", code.alias("cell")).join(home_cells(sources, ground).select("leg_id", "end", code.alias("own")), ["leg_id", "end"]).checkpoint()
+    wanted = ends.where("end <> 'goal'").where(geo.distance(geo.Point(F.col("lat"), F.col("lng")), geo.at("t")) <= F.col("budget"))
+    there = tiles_near(wanted, ground).withColumns({"own": cell_code(F.col("r"), F.col("c")), "cell": cell_code(*home_cell(ground, F.col("t_lat"), F.col("t_lng")))})
+    # Where no tile of the raster is near, only the source's own cell is reached.
+    there = there.withColumn("searched", F.expr("low_r <= high_r AND low_c <= high_c")).where("searched OR cell = own")
+    targets = written(there.select("leg_id", "end", "node", "lat", "lng", "t_lat", "t_lng", "own", "cell", "searched"))
+    sources = targets.where("searched").select("leg_id", "end", "lat", "lng").distinct().join(settings, "leg_id")
 
     def propose(tiles: pa.Table, asked: pa.Table) -> pa.Table:
         home = asked["own"][0].as_py() if asked.num_rows else 0
@@ -290,15 +346,13 @@ def connected(asked: DataFrame, ends: DataFrame, ground: Ground) -> tuple[DataFr
         types = (pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("r", pa.int64()), ("c", pa.int64())])))
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["leg_id", "end", "node", "via"])
 
-    placed = source_tiles(sources, ground)
-    searched = placed.select("leg_id", "end").distinct().checkpoint()
-    tiles = walkable(placed, ground)
+    tiles = walkable(source_tiles(sources, ground), ground)
     tiles = tiles.toDF(*tiles.columns)  # so that its keys are not taken for those of the targets
     proposed = "leg_id string, end string, node string, via array<struct<r: long, c: long>>"
-    lines = tiles.groupBy("leg_id", "end").cogroup(targets.join(searched, ["leg_id", "end"], "left_semi").groupBy("leg_id", "end")).applyInArrow(propose, proposed)
-    beside = targets.join(searched, ["leg_id", "end"], "left_anti").where("cell = own")  # no tile of the raster is near: only the source's own cell
-    lines = lines.unionByName(beside.select("leg_id", "end", "node", F.array().cast("array<struct<r: long, c: long>>").alias("via")))
-    lines = lines.join(wanted.select("leg_id", "end", "node", "lat", "lng", "t_lat", "t_lng"), ["leg_id", "end", "node"])
+    lines = tiles.groupBy("leg_id", "end").cogroup(targets.where("searched").select("leg_id", "end", "node", "cell", "own").groupBy("leg_id", "end")).applyInArrow(propose, proposed)
+    spots = ["leg_id", "end", "node", "lat", "lng", "t_lat", "t_lng"]
+    beside = targets.where("NOT searched").select(*spots, F.array().cast("array<struct<r: long, c: long>>").alias("via"))
+    lines = lines.join(targets.where("searched").select(*spots), ["leg_id", "end", "node"]).select(*spots, "via").unionByName(beside)
     own, other = F.struct("lat", "lng"), F.struct(F.col("t_lat").alias("lat"), F.col("t_lng").alias("lng"))
     between = F.transform("via", lambda v: F.struct(*(x.alias(k) for x, k in zip(spot(ground, v["r"], v["c"]), ("lat", "lng"), strict=True))))
     points = F.when(F.col("end") == "start", F.concat(F.array(own), between, F.array(other))).otherwise(F.concat(F.array(other), between, F.array(own)))
@@ -319,22 +373,32 @@ def best_ways(asked: DataFrame, entries: DataFrame, goals: DataFrame, ground: Gr
 
     entries and goals: leg_id, node, cost. Legs that cannot be served have no row, and are refused before any search.
     Legs with the same settings share one overlay, so a task holds a cell, or an overlay, and a bounded number of legs. For a set of rules
-    only those components of the whole network are priced in which one of its legs has an entry and a goal: no way leaves its component.
+    only those components of the whole network are made and priced in which one of its legs has an entry and a goal: no way leaves its component.
     """
+    return ways_and_edges(asked, entries, goals, ground, cell_nodes)[0]
+
+
+def ways_and_edges(asked: DataFrame, entries: DataFrame, goals: DataFrame, ground: Ground, cell_nodes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(best_ways, the edges of the ground among which they were searched)."""
     key = ["way_id", "pos", "a", "b", "profile"]
     named = asked.withColumn("metric", F.concat_ws("|", *(F.col(c).cast("string") for c in METRIC)))
     own = named.select("leg_id", "metric", *METRIC)
-    entries, goals = (r.select("leg_id", "node", "cost").join(ground.components[1], "node", "left").withColumn("component", F.coalesce(F.col("component").cast("string"), "node")).checkpoint() for r in (entries, goals))
-    entries, goals = entries.join(goals, ["leg_id", "component"], "left_semi"), goals.join(entries, ["leg_id", "component"], "left_semi")
+    both = reduce(DataFrame.unionByName, (r.select("leg_id", "node", "cost", F.lit(side).alias("side")) for r, side in ((entries, "entry"), (goals, "goal"))))
+    first = ground.nodes.select("node", "lat", "lng", F.array_min("ways").alias("way_id"))
+    ends = written(both.join(first, "node").join(ground.components, "way_id", "left").select("leg_id", "node", "cost", "side", "lat", "lng", F.coalesce("component", "way_id").alias("component")))
+    entries, goals = (ends.where(F.col("side") == side) for side in ("entry", "goal"))
+    entries, goals = (written(r.join(other, ["leg_id", "component"], "left_semi")) for r, other in ((entries, goals), (goals, entries)))
     rules = entries.select("leg_id", "component").distinct().join(own, "leg_id").select("metric", *METRIC, "component").distinct().checkpoint()
     needed = rules.select("profile", "component").distinct().where(F.col("profile").isin(list(costs.FLAT_SPEED_KMH)))
-    parts = ground.components[0].withColumn("component", F.col("component").cast("string"))
-    each = ground.edges.join(parts.join(needed, "component"), "way_id").checkpoint()
+    ways = written(needed.withColumn("way_id", F.col("component")).unionByName(needed.join(ground.components, "component")).distinct())
+    among = ground.edges_among(ways.select("way_id").distinct())
+    each = written(among.join(ways, "way_id"))
     priced = each.join(ground.measures(each, key, F.col("surface_class")), key)
     allowed = costs.edge_allowed(F.col("profile"), F.col("surface_class"), F.col("is_street"), F.col("walkway"), F.col("allow_street"), F.col("crosses_street"), F.col("allow_crossing"), F.col("near_crossing")) & costs.profile_allowed(F.col("max_grade"), F.col("max_grade_percent"), F.col("water_risk"), F.col("avoid_water"), F.col("bridge_or_tunnel"))
     cost = costs.edge_cost(allowed, F.col("minutes"), F.col("water_risk"), F.col("avoid_water"))
     edges = priced.join(rules, ["profile", "component"]).select("metric", "way_id", "pos", "a", "b", cost.alias("cost")).where("cost IS NOT NULL")
-    return overlay.Overlay(edges, ground.nodes.select("node", "lat", "lng"), cell_nodes).cheapest(*(r.select("leg_id", "node", "cost").join(own.select("leg_id", "metric"), "leg_id") for r in (entries, goals)))
+    spots = reduce(DataFrame.union, [*(r.select("node", "lat", "lng") for r in (entries, goals)), *(among.select(e, f"{e}_lat", f"{e}_lng") for e in "ab")]).dropDuplicates(["node"])
+    return overlay.Overlay(edges, spots, cell_nodes).cheapest(*(r.select("leg_id", "node", "cost").join(own.select("leg_id", "metric"), "leg_id") for r in (entries, goals))), among
 
 
 def route_hops(asked: DataFrame, ground: Ground) -> DataFrame:
@@ -342,12 +406,13 @@ def route_hops(asked: DataFrame, ground: Ground) -> DataFrame:
     ends = ends_of(asked, ground)
     good, lines = connected(asked, ends, ground)
     goals = good.where("end = 'finish'").drop("end").unionByName(ends.where("end = 'goal'").select("leg_id", "node", F.lit(0.0).alias("cost")))
-    chosen = best_ways(asked, good.where("end = 'start'").drop("end"), goals, ground).checkpoint()
+    chosen, edges = ways_and_edges(asked, good.where("end = 'start'").drop("end"), goals, ground)
+    chosen = chosen.checkpoint()
     about = asked.select("leg_id", "request_id", "flavor_index", "flavor", "leg", "profile")
     whole = about.join(chosen.select("leg_id", F.lit(1).alias("found")), "leg_id", "left").groupBy("request_id", "flavor_index").agg(F.count("*").alias("n"), F.count("found").alias("m")).where("n = m").select("request_id", "flavor_index")
     line = lambda end, node, part: lines.where(F.col("end") == end).join(chosen.select("leg_id", F.col(node).alias("node")), ["leg_id", "node"]).select("leg_id", F.lit(part).alias("part"), "k", *(f"{p}_{x}" for p in "ab" for x in ("lat", "lng")), F.lit("open-terrain").alias("surface"), F.lit(False).alias("mapped"), F.lit(None).cast("string").alias("way_name"), F.lit(None).cast("string").alias("highway"))
     walked = chosen.select("leg_id", F.posexplode("edges").alias("k", "e")).select("leg_id", F.lit(1).alias("part"), "k", F.col("e.way_id").alias("way_id"), F.col("e.pos").alias("pos"), F.col("e.a").alias("a"), F.col("e.b").alias("b"))
-    walked = walked.join(ground.edges, ["way_id", "pos", "a", "b"]).select("leg_id", "part", "k", *(f"{p}_{x}" for p in "ab" for x in ("lat", "lng")), F.col("surface_class").alias("surface"), F.col("is_path").alias("mapped"), F.col("name").alias("way_name"), "highway")
+    walked = walked.join(edges, ["way_id", "pos", "a", "b"]).select("leg_id", "part", "k", *(f"{p}_{x}" for p in "ab" for x in ("lat", "lng")), F.col("surface_class").alias("surface"), F.col("is_path").alias("mapped"), F.col("name").alias("way_name"), "highway")
     every = line("start", "entry", 0).unionByName(walked).unionByName(line("finish", "goal", 2)).where(geo.distance(geo.at("a"), geo.at("b")) >= SHORTEST)
     placed = every.join(about, "leg_id").join(whole, ["request_id", "flavor_index"], "left_semi").checkpoint()
     key = ["request_id", "flavor_index", "leg", "part", "k"]
@@ -361,7 +426,7 @@ def plan(requests: DataFrame, ground: Ground, has_elevation: bool = True) -> Dat
     Of routes of one request with the same signature the first flavour's stays; a request without any route has no row.
     """
     key = F.concat_ws("|", F.col("request_id").cast("string"), "flavor_index")
-    rows = route_hops(legs(requests).checkpoint(), ground).withColumn("route", key).checkpoint()
+    rows = route_hops(legs(requests).checkpoint(), ground.stored).withColumn("route", key).checkpoint()
     part = lambda condition: F.sum(F.when(condition, F.col("meters")).otherwise(0.0))
     listed = F.array_sort(F.collect_list(F.struct("seq", "a_lat", "a_lng", "b_lat", "b_lng")))
     rolled = rows.groupBy("route", "request_id", "flavor_index", "flavor").agg(

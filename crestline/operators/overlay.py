@@ -135,7 +135,8 @@ class Overlay:
         dealt = rows.withColumn("salt", _dealt(order, "metric", "cell")).checkpoint()
         groups = dealt.select(*own).distinct().toDF(*own)
         asked = dealt if more is None else dealt.unionByName(groups.join(more, ["metric", "cell"]), allowMissingColumns=True)
-        return self.inner.join(groups, ["metric", "cell"]).groupBy(*own).cogroup(asked.groupBy(*own))
+        beside = self.inner.join(groups, ["metric", "cell"])
+        return beside.toDF(*beside.columns).groupBy(*own).cogroup(asked.groupBy(*own))  # renamed, so that its keys are not taken for those of the rows
 
     def _ends(self, entries: DataFrame, goals: DataFrame) -> DataFrame:
         """leg_id, metric, kind, cell, u, v, cost: from an entry to a border node, from one to a goal, or within one cell from entry to goal (kind direct)."""
@@ -201,8 +202,8 @@ class Overlay:
                     out.append((leg, rows["metric"].iloc[0], *ends_at, best[0], [dict(zip(("cell", "u", "v", "way_id", "pos"), p, strict=True)) for p in pieces if p[1] != p[2]]))
             return pd.DataFrame(out, columns=["leg_id", "metric", "entry", "goal", "cost", "pieces"])
 
-        sent = arcs.join(dealt.select(*own).distinct().toDF(*own), "metric").groupBy(*own)
-        return sent.cogroup(dealt.groupBy(*own)).applyInPandas(choose, f"leg_id string, metric string, entry string, goal string, cost double, pieces array<{piece}>")
+        sent = arcs.join(dealt.select(*own).distinct().toDF(*own), "metric")
+        return sent.toDF(*sent.columns).groupBy(*own).cogroup(dealt.groupBy(*own)).applyInPandas(choose, f"leg_id string, metric string, entry string, goal string, cost double, pieces array<{piece}>")
 
     def _unfolded(self, wanted: DataFrame) -> DataFrame:
         """wanted (metric, cell, u, v) with edges, the cheapest way from u to v within the cell."""

@@ -272,3 +272,32 @@ def test_only_the_components_of_its_legs_are_priced(spark, ground, monkeypatch):
     got = I.best_ways(legs, ends(first, f"island {first}"), ends(last), more, 3).collect()
     assert len(got) == 1 and got[0].entry == first and got[0].goal == last
     assert priced and 99 not in priced
+
+
+def listed(frame, *columns):
+    return sorted(str(tuple(r)) for r in frame.select(*(columns or sorted(frame.columns))).collect())
+
+
+def test_only_the_ways_that_legs_can_use_become_edges(spark, ground):
+    """A search does not make the whole network's edges, and those of some ways are the network's."""
+    plain = ground.underived()
+    legs = I.legs(asked(spark, ("destination", [(11, 12), (29, 28)])))
+    first, last = (ground.edges.where(f"way_id = {w}").agg(F.min("a")).first()[0] for w in (0, 1))
+    ends = lambda node: spark.createDataFrame([("0|0|0", node, 1.0)], "leg_id string, node string, cost double")
+    got = I.best_ways(legs, ends(first), ends(last), plain, 3).collect()
+    assert len(got) == 1 and got[0].edges and "edges" not in vars(plain)
+    some = listed(plain.edges_among(spark.createDataFrame([(0,), (4,)], "way_id long")))
+    assert some == listed(ground.edges.where("way_id IN (0, 4)")) and 0 < len(some) < ground.edges.count()
+
+
+def test_stored_ways_give_the_same_lines_and_nodes(spark, ground):
+    """A way of one vertex has a node and no line; a closed way has neither."""
+    plain = ground.underived()
+    lone, closed = (ground.ways.where("way_id = 0").withColumns({"way_id": F.lit(w).cast("long"), "access": F.lit(access).cast("string")}) for w, access in ((6, None), (7, "private")))
+    plain.ways = ground.ways.unionByName(lone).unionByName(closed)
+    plain.vertices = ground.vertices.unionByName(spark.createDataFrame([(6, 1, *at(3, 3).values()), (7, 1, *at(4, 4).values())], "way_id long, pos int, lat double, lng double"))
+    stored = plain.stored
+    assert listed(stored.lines) == listed(plain.lines) and listed(stored.met) == listed(plain.met)
+    nodes = lambda g: listed(g.nodes.withColumn("ways", F.array_sort("ways")))
+    assert nodes(stored) == nodes(plain) and len(nodes(stored)) == ground.nodes.count() + 1
+    assert listed(stored.segments) == listed(ground.segments) and not {"nodes", "lines"} & set(vars(stored.underived()))
